@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import merge_queries, metric_queries, text_queries  # noqa: F401
+from . import merge_queries, metric_queries, run_queries, text_queries  # noqa: F401
 from .registry import oracles, queries
 
 __all__ = ["queries", "oracles"]
