@@ -1,14 +1,15 @@
 """Ranking quality: NDCG per query and its summaries.
 
-Plan shape (per ``ndcg_per_query``) — three branches over the same input,
+Plan shape (per ``ndcg_per_query``) — two branches over the same input,
 joined on the query key once each is down to one row per query:
 
-* actual DCG: ``row_number() over (partition by key order by score desc, tie)``
-  filtered ``<= K``.  Catalyst turns this into a *partial* WindowGroupLimit
-  before the exchange and a final one after it, so each map task ships at most
-  K rows per query: a hot query key holding a third of all rows costs
-  K x (map tasks) rows in one reducer, never the whole group.
-* ideal DCG: the same with ``order by rel desc``.
+* DCG, actual and ideal: every row is emitted once per side (side 0 ordered
+  by score desc, side 1 by label desc) and ranked by one
+  ``row_number() over (partition by key, side order by ...)`` filtered
+  ``<= K``.  Catalyst turns this into a *partial* WindowGroupLimit before the
+  exchange and a final one after it, so each map task ships at most 2K rows
+  per query: a hot query key holding a third of all rows costs
+  2K x (map tasks) rows in one reducer, never the whole group.
 * document count and first appearance: a plain partial/final hash aggregate.
 
 No query's rows are ever collected into a list.
@@ -50,15 +51,32 @@ def top_k_per_query(df: DataFrame, k: int, qid: str = "qid", score: str = "score
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def _dcg_branch(df: DataFrame, keys: list[str], rel: str, order: list[Column],
-                ks: Sequence[int], prefix: str) -> DataFrame:
+def _dcg_sides(df: DataFrame, keys: list[str], rel: str, score: str, tie: Sequence[str],
+               ks: Sequence[int]) -> DataFrame:
+    """Actual and ideal DCG@k per query from one ranked pass.
+
+    Each row is emitted twice: side 0 ordered by score (NaN last), side 1 by
+    label.  One ``row_number`` window over ``(keys, side)`` ranks both, and its
+    ``<= K`` filter becomes a partial WindowGroupLimit below the single
+    exchange.
+    """
     kmax = max(ks)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= kmax)
+    sides = F.array(
+        F.struct(F.lit(0).alias("__side"), _bad_score(score).alias("__k1"),
+                 F.col(score).cast("double").alias("__k2")),
+        F.struct(F.lit(1).alias("__side"), F.lit(0).alias("__k1"),
+                 F.col(rel).cast("double").alias("__k2")))
+    both = df.select(*keys, rel, *tie, F.inline(sides))
+    w = Window.partitionBy(*keys, "__side").orderBy(
+        F.col("__k1").asc(), F.col("__k2").desc(), *[F.col(c).asc() for c in tie])
+    ranked = both.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= kmax)
     term = dcg_term(F.col(rel).cast("double"), F.col("__r"))
-    return ranked.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("__r") <= k, term).otherwise(F.lit(0.0))).alias(f"{prefix}{k}")
-        for k in ks])
+    aggs = []
+    for k in ks:
+        for side, prefix in ((0, "__dcg"), (1, "__idcg")):
+            hit = (F.col("__side") == side) & (F.col("__r") <= k)
+            aggs.append(F.sum(F.when(hit, term).otherwise(F.lit(0.0))).alias(f"{prefix}{k}"))
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,12 +101,11 @@ def ndcg_per_query(df: DataFrame, qid: str = "qid", rel: str = "rel", score: str
     """
     keys = list(by) + [qid]
     base = df.select(*keys, rel, score, *tie)
-    actual = _dcg_branch(base, keys, rel, rank_order(score, tie), ks, "__dcg")
-    ideal = _dcg_branch(base, keys, rel, ideal_order(rel, tie), ks, "__idcg")
+    dcg = _dcg_sides(base, keys, rel, score, tie, ks)
     first = F.struct(*[F.col(c) for c in tie]) if len(tie) > 1 else F.col(tie[0])
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_docs"),
                                      F.min(first).alias("first_key"))
-    out = _join_null_safe(_join_null_safe(counts, actual, keys), ideal, keys)
+    out = _join_null_safe(counts, dcg, keys)
     cols = [F.col(c) for c in keys] + [F.col("num_docs"), F.col("first_key")]
     for k in ks:
         i, a = F.col(f"__idcg{k}"), F.col(f"__dcg{k}")

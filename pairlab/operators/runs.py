@@ -21,6 +21,8 @@ from ..functions import dist
 from ..functions.constants import ECE_BINS, SOFTEN_TEMPERATURE
 from .calibration import bin_index
 from .ranking import ndcg_per_query
+from .sharpness import with_sharpness
+from ..session import ensure_checkpoint_dir
 
 RUN_KEYS = ("run", "dataset")
 
@@ -52,17 +54,14 @@ def calibration_sharpness(scores: DataFrame, score: str, label: str, probs: str,
     task); level 2 combines the bins per run.  Margin variance is combined
     exactly from per-bin count, mean and M2 (no sum-of-squares cancellation).
     """
-    q = dist.renormalize(probs, num_labels)
     lab = F.col(label).cast("double")
     if label_max > 1:
         lab = lab / F.lit(float(label_max))
     s = F.col(score).cast("double")
-    row = scores.select(
-        *keys, s.alias("__s"), lab.alias("__l"),
-        dist.entropy(q, num_labels).alias("__ent"),
-        dist.max_prob(q, num_labels).alias("__mx"),
-        dist.entropy(dist.soften(q, num_labels, temperature), num_labels).alias("__sent"),
-        (dist.margin(q) if num_labels == 2 else F.lit(None).cast("double")).alias("__mg"))
+    row = scores.select(*keys, s.alias("__s"), lab.alias("__l"), F.col(probs).alias("__p"))
+    row = with_sharpness(row, "__p", num_labels, temperature)
+    if num_labels != 2:
+        row = row.withColumn("__mg", F.lit(None).cast("double"))
     row = row.withColumn("__bin", bin_index("__s", n_bins))
     per_bin = row.groupBy(*keys, "__bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum("__s").alias("ss"), F.sum("__l").alias("sl"),
@@ -119,17 +118,25 @@ def leaderboard(scores: DataFrame, expected: DataFrame | None = None, qid: str =
 
 
 def evaluate_runs(scores: DataFrame, pairs: DataFrame, join_keys: Sequence[str] = ("dataset", "global_idx"),
-                  expected: DataFrame | None = None, **kw) -> DataFrame:
+                  expected: DataFrame | None = None, materialize: bool = True,
+                  **kw) -> DataFrame:
     """Evaluate every run of a long score table against its pairs.
 
     ``scores``: ``run, dataset, <row key>, probs[, score]``; ``pairs``:
     ``dataset, <row key>, qid, rel``.  Without a ``score`` column the weighted
-    score of ``probs`` is used (C4).
+    score of ``probs`` is used (C4).  ``materialize`` writes the joined narrow
+    table once as a reliable checkpoint (the session's ``spark.checkpoint.dir``)
+    and evaluates from it.
     """
     n = kw.get("num_labels", 2)
     if "score" not in scores.columns:
         scores = scores.withColumn("score", dist.weighted_score("probs", n))
     joined = scores.join(pairs, list(join_keys), "inner")
+    if materialize:
+        # Four metric branches read the joined rows; without this each would
+        # re-run the join (their column sets differ, so no exchange is reused).
+        ensure_checkpoint_dir(joined.sparkSession)
+        joined = joined.checkpoint(eager=True)
     return leaderboard(joined, expected=expected, **kw)
 
 

@@ -17,27 +17,35 @@ from ..functions import dist
 from ..functions.constants import SOFTEN_TEMPERATURE
 
 
-def sharpness_columns(p, n: int, temperature: float = SOFTEN_TEMPERATURE,
-                      renorm: bool = True) -> dict:
+def with_sharpness(df: DataFrame, p, n: int, temperature: float = SOFTEN_TEMPERATURE,
+                   renorm: bool = True) -> DataFrame:
+    """Per-row ``__ent``, ``__mx``, ``__sent`` (softened entropy) and, for two
+    labels, ``__mg`` (C5-C8).
+
+    Each intermediate distribution is its own column (label-only ``__q``, then
+    softened ``__soft``), so a later expression reads it instead of re-deriving
+    it: an inlined softened entropy would repeat the max and the normaliser in
+    every term.
+    """
     q = dist.renormalize(p, n) if renorm else (F.col(p) if isinstance(p, str) else p)
-    cols = {
-        "entropy": dist.entropy(q, n),
-        "max_prob": dist.max_prob(q, n),
-        "soft_entropy": dist.entropy(dist.soften(q, n, temperature), n),
-    }
+    df = df.withColumn("__q", q)
+    df = df.withColumn("__soft", dist.soften("__q", n, temperature))
+    cols = {"__ent": dist.entropy("__q", n), "__mx": dist.max_prob("__q", n),
+            "__sent": dist.entropy("__soft", n)}
     if n == 2:
-        cols["margin"] = dist.margin(q)
-    return cols
+        cols["__mg"] = dist.margin("__q")
+    for k, v in cols.items():
+        df = df.withColumn(k, v)
+    return df.drop("__q", "__soft")
 
 
 def temp_soften(df: DataFrame, probs: str, n: int,
                 temperature: float = SOFTEN_TEMPERATURE) -> DataFrame:
     """Per-row softened distribution and its entropy change."""
-    q = dist.renormalize(probs, n)
-    soft = dist.soften(q, n, temperature)
-    return df.withColumn("soft_probs", soft) \
-        .withColumn("entropy", dist.entropy(q, n)) \
-        .withColumn("soft_entropy", dist.entropy("soft_probs", n))
+    df = df.withColumn("__q", dist.renormalize(probs, n))
+    df = df.withColumn("soft_probs", dist.soften("__q", n, temperature))
+    return df.withColumn("entropy", dist.entropy("__q", n)) \
+        .withColumn("soft_entropy", dist.entropy("soft_probs", n)).drop("__q")
 
 
 def polarization(df: DataFrame, probs: str, n: int, by: Sequence[str] = (),
@@ -49,15 +57,16 @@ def polarization(df: DataFrame, probs: str, n: int, by: Sequence[str] = (),
     ``logits_margin`` names a precomputed ``logit_1 - logit_0`` column; without
     it the margin comes from the probabilities (same value, C5).
     """
-    c = sharpness_columns(probs, n, temperature, renorm)
+    keep = list(by) + ([logits_margin] if logits_margin else [])
+    rows = with_sharpness(df.select(*keep, probs), probs, n, temperature, renorm)
     aggs = [F.count(F.lit(1)).alias("num_samples"),
-            F.avg(c["entropy"]).alias("mean_entropy"),
-            F.avg(c["max_prob"]).alias("mean_maxprob"),
-            (F.avg(c["soft_entropy"]) - F.avg(c["entropy"])).alias("temp_sensitivity")]
+            F.avg("__ent").alias("mean_entropy"),
+            F.avg("__mx").alias("mean_maxprob"),
+            (F.avg("__sent") - F.avg("__ent")).alias("temp_sensitivity")]
     if n == 2:
-        m = F.col(logits_margin) if logits_margin else c["margin"]
+        m = F.col(logits_margin) if logits_margin else F.col("__mg")
         aggs += [F.avg(m).alias("mean_margin"), F.var_pop(m).alias("var_margin")]
-    return df.groupBy(*by).agg(*aggs)
+    return rows.groupBy(*by).agg(*aggs)
 
 
 def polarization_trend(report: DataFrame, size_col: str = "teacher_size",
