@@ -57,12 +57,13 @@ def reliability(df: DataFrame, score: str = "score", label: str = "label",
 def ece_from_reliability(rel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     binned = F.col("bin").isNotNull()
     gap = F.col("count") * F.abs(F.col("avg_conf") - F.col("avg_acc"))
+    n = F.coalesce(F.col("num_samples"), F.lit(0))
     return rel.groupBy(*by).agg(
         F.sum("count").alias("num_samples"),
         F.sum(F.when(~binned, F.col("count")).otherwise(0)).alias("unbinned"),
         F.sum(F.when(binned, gap).otherwise(0.0)).alias("__gap")) \
-        .select(*by, "num_samples", "unbinned",
-                F.when(F.col("num_samples") == 0, F.lit(0.0))
+        .select(*by, n.alias("num_samples"), F.coalesce("unbinned", F.lit(0)).alias("unbinned"),
+                F.when(n == 0, F.lit(0.0))
                 .otherwise(F.col("__gap") / F.col("num_samples")).alias("ece"))
 
 
