@@ -41,7 +41,7 @@ def pending(todo: DataFrame, done: DataFrame, available: DataFrame | None = None
     out = todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
     if available is not None:
         out = out.join(available.select("dataset").distinct(), "dataset", "left_semi")
-    return out
+    return out.select(*todo.columns)
 
 
 def calibration_sharpness(scores: DataFrame, score: str, label: str, probs: str,
