@@ -179,3 +179,30 @@ def q_shuffle(spark, sf_dir):
     """Seeded, partition-independent shuffle of the pair rows (rows-only check)."""
     pairs = fx.table(spark, sf_dir, "lineitem").select(*KEY)
     return shards.seeded_shuffle(pairs, 42, *KEY)
+
+
+# -- label-order vectors and JSON text (B18, B20) ------------------------------
+
+@register("prob_vector", sql=f"""WITH {_PARSE_CTES}
+SELECT line_idx, global_idx, ROUND(p0, 6) AS b0, ROUND(p1, 6) AS b1,
+  ROUND(p3, 6) AS w3, CAST(0 AS DOUBLE) AS w4, CAST(0 AS DOUBLE) AS w5 FROM pr""")
+def q_prob_vector(spark, sf_dir):
+    """4-label maps as a 2-label vector (first two entries, T10) and as a
+    6-label vector (absent labels are 0.0)."""
+    from ..functions.parse import prob_vector
+    ok = _ok(spark, sf_dir)
+    v2 = prob_vector("probs", 2)
+    v6 = prob_vector("probs", 6, missing="zero")
+    return ok.select("line_idx", "global_idx", r6(F.get(v2, 0), "b0"), r6(F.get(v2, 1), "b1"),
+                     r6(F.get(v6, 3), "w3"), r6(F.get(v6, 4), "w4"), r6(F.get(v6, 5), "w5"))
+
+
+@register("soft_label_json", sql=f"""WITH {_MERGE_CTES}
+SELECT global_idx, '{{"0":' || CAST(p0 AS VARCHAR) || ',"1":' || CAST(p1 AS VARCHAR)
+  || ',"2":' || CAST(p2 AS VARCHAR) || ',"3":' || CAST(p3 AS VARCHAR) || '}}' AS teacher_probs
+FROM m WHERE status = 'written'""")
+def q_soft_label_json(spark, sf_dir):
+    """The soft-label table's ``teacher_probs`` JSON text (B20, A8 column)."""
+    pairs, scores = _merge_inputs(spark, sf_dir)
+    out = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=True)
+    return out.select("global_idx", "teacher_probs")

@@ -47,7 +47,7 @@ def q_ndcg_per_query(spark, sf_dir):
 
 
 @register("ndcg_summary", sql=f"""WITH {_NDCG_SQL_CTES}
-SELECT count(*) AS num_queries, sum(num_docs) AS num_docs,
+SELECT count(*) AS num_queries, CAST(sum(num_docs) AS BIGINT) AS num_docs,
   ROUND(avg(ndcg5), 6) AS ndcg5_mean, ROUND(stddev_pop(ndcg5), 6) AS ndcg5_std,
   ROUND(avg(ndcg10), 6) AS ndcg10_mean, ROUND(stddev_pop(ndcg10), 6) AS ndcg10_std FROM pq""")
 def q_ndcg_summary(spark, sf_dir):
@@ -80,7 +80,7 @@ def q_worst_queries(spark, sf_dir):
 
 
 @register("corpus_stats", sql=f"""WITH {_NDCG_SQL_CTES}
-SELECT count(*) AS num_queries, sum(num_docs) AS num_docs, min(num_docs) AS min_docs,
+SELECT count(*) AS num_queries, CAST(sum(num_docs) AS BIGINT) AS num_docs, min(num_docs) AS min_docs,
   max(num_docs) AS max_docs, ROUND(avg(num_docs), 6) AS mean_docs FROM pq""")
 def q_corpus_stats(spark, sf_dir):
     s = ranking.corpus_stats(_per_query(spark, sf_dir))
@@ -124,8 +124,8 @@ def q_reliability(spark, sf_dir):
 
 
 @register("ece", sql=f"""WITH {_REL_SQL}
-SELECT run, dataset, sum(cnt) AS num_samples,
-  sum(CASE WHEN bin IS NULL THEN cnt ELSE 0 END) AS unbinned,
+SELECT run, dataset, CAST(sum(cnt) AS BIGINT) AS num_samples,
+  CAST(sum(CASE WHEN bin IS NULL THEN cnt ELSE 0 END) AS BIGINT) AS unbinned,
   ROUND(sum(CASE WHEN bin IS NOT NULL THEN cnt * abs(avg_conf - avg_acc) ELSE 0 END) / sum(cnt), 6) AS ece
 FROM rb GROUP BY run, dataset""")
 def q_ece(spark, sf_dir):

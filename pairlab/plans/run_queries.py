@@ -66,7 +66,7 @@ rs AS (SELECT *, exp(z0 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(
 rt AS (SELECT *, -(least(greatest(s0, 1e-12), 1.0) * ln(least(greatest(s0, 1e-12), 1.0))
         + least(greatest(s1, 1e-12), 1.0) * ln(least(greatest(s1, 1e-12), 1.0))) AS sent FROM rs),
 bins AS (SELECT run, dataset, bin, count(*) AS n, avg(score) AS conf, avg(lab) AS acc FROM rt GROUP BY run, dataset, bin),
-ec AS (SELECT run, dataset, sum(n) AS num_samples,
+ec AS (SELECT run, dataset, CAST(sum(n) AS BIGINT) AS num_samples,
         sum(CASE WHEN bin IS NOT NULL THEN n * abs(conf - acc) ELSE 0 END) / sum(n) AS ece FROM bins GROUP BY run, dataset),
 po AS (SELECT run, dataset, avg(ent) AS mean_entropy, avg(mx) AS mean_maxprob,
         avg(sent) - avg(ent) AS temp_sensitivity, avg(mg) AS mean_margin, var_pop(mg) AS var_margin

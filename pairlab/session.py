@@ -38,7 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint dir; set a scratch one only if unset.
 
     Clusters name a shared folder in ``spark.checkpoint.dir``; it is never
-    overridden here.  Local runs without one get a fresh temp folder.
+    overridden here.  Only a local-mode session without one gets a fresh temp
+    folder (tests); a cluster session without one is an error, since a
+    machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder "
+                           "(all executors must see it) before running this job")
     path = tempfile.mkdtemp(prefix="pairlab-ckpt-")
     sc.setCheckpointDir(path)
     return path
