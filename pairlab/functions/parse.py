@@ -91,7 +91,7 @@ def prob_vector(m, num_labels: int, missing: str = "zero") -> Column:
 
 def probs_to_text(m) -> Column:
     """Map -> single-quoted dict text that tolerant and strict readers both parse."""
-    return F.translate(F.to_json(_col(m)), '"', "'")
+    return F.replace(F.to_json(_col(m)), F.lit('"'), F.lit("'"))
 
 
 # -- names and tags (B24) ----------------------------------------------------

@@ -169,7 +169,7 @@ def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx_txt = (F.when(k == 13, F.concat(F.lit("x"), i.cast("string")))
                .when(k == 29, (i - 1).cast("string"))
                .otherwise(i.cast("string")))
-    text = F.translate(F.col("text"), "\n", " ")
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     w = _digits(F.pmod(i * 7, F.lit(1000)))
     line = (F.when(k == 43, F.lit(""))
             .when(k == 7, idx_txt)
@@ -194,7 +194,7 @@ def score_lines_sql() -> str:
                  f"WHEN {k} = 23 THEN '{{' || {body} ELSE '{{' || {body} || '}}' END)")
     idx_txt = (f"(CASE WHEN {k} = 13 THEN 'x' || CAST(doc_id AS VARCHAR) "
                f"WHEN {k} = 29 THEN CAST(doc_id - 1 AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END)")
-    text = "translate(text, chr(10), ' ')"
+    text = "replace(text, chr(10), ' ')"
     w = _digits_sql("((doc_id * 7) % 1000)")
     line = (f"(CASE WHEN {k} = 43 THEN '' WHEN {k} = 7 THEN {idx_txt} "
             f"ELSE {idx_txt} || chr(9) || {probs_txt} || chr(9) || {text} || chr(9) || {w} END)")
