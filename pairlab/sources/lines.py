@@ -33,31 +33,31 @@ def _as_list(paths) -> list[str]:
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Raw lines with their file path, file order and split start."""
+    """Raw lines with their file path, split start and ``given_ord`` (the
+    position of the path argument that produced the file)."""
     plist = _as_list(paths)
-    df = spark.read.text(plist)
-    df = df.select(F.col("value").alias("line"),
-                   F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_block_start").alias("block_start"))
-    return df
-
-
-def with_file_order(spark: SparkSession, df: DataFrame, paths: str | Sequence[str]) -> DataFrame:
-    """``file_ord``: position of the file in the given path list (G5); files
-    found under a directory are ordered by path after that."""
-    plist = _as_list(paths)
-    order = spark.createDataFrame([(i, p) for i, p in enumerate(plist)], "ord int, given string")
-    files = df.select("file_path").distinct()
-    # a file matches the given entry it equals or lies under
-    cond = (F.col("file_path") == F.concat(F.lit("file:"), F.col("given"))) | \
-           (F.col("file_path") == F.col("given")) | \
-           F.col("file_path").startswith(F.concat(F.lit("file:"), F.col("given"), F.lit("/"))) | \
-           F.col("file_path").startswith(F.concat(F.col("given"), F.lit("/")))
-    ranked = (files.join(F.broadcast(order), cond, "left")
-              .groupBy("file_path").agg(F.min("ord").alias("__given_ord")))
-    w = Window.orderBy(F.col("__given_ord").asc_nulls_last(), F.col("file_path"))
-    ranked = ranked.withColumn("file_ord", F.row_number().over(w) - 1).drop("__given_ord")
-    return df.join(F.broadcast(ranked), "file_path")
+    parts = []
+    for i, p in enumerate(plist):
+        df = spark.read.text(p).select(
+            F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.lit(i).alias("given_ord"))
+        parts.append(df)
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def with_file_order(splits: DataFrame) -> DataFrame:
+    """``file_ord``: files ordered by the given path list, then by path inside a
+    directory (G5).  ``splits`` has one row per input split, so this window is
+    over the split table, never over rows."""
+    files = splits.groupBy("file_path").agg(F.min("given_ord").alias("__g"))
+    w = Window.orderBy("__g", "file_path")
+    files = files.withColumn("file_ord", F.row_number().over(w) - 1).drop("__g")
+    return splits.join(F.broadcast(files), "file_path")
 
 
 def read_indexed(spark: SparkSession, paths: str | Sequence[str],
@@ -71,8 +71,9 @@ def read_indexed(spark: SparkSession, paths: str | Sequence[str],
         lines = lines.where(py_strip("line") != "")
     lines = lines.withColumn("__mid", F.monotonically_increasing_id())
     splits = (lines.groupBy("file_path", "block_start")
-              .agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0")))
-    splits = with_file_order(spark, splits, paths)
+              .agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"),
+                   F.min("given_ord").alias("given_ord")))
+    splits = with_file_order(splits)
     w_all = Window.orderBy("file_ord", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     w_file = Window.partitionBy("file_path").orderBy("block_start") \
         .rowsBetween(Window.unboundedPreceding, -1)

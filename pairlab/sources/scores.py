@@ -78,7 +78,7 @@ def score_row_status(df: DataFrame, line: str, h: str) -> DataFrame:
 
 def parse_score_lines(lines: DataFrame, header: Sequence[str] | None = None,
                       file_col: str = "file_ord", line_col: str = "line",
-                      line_idx_col: str = "line_idx") -> DataFrame:
+                      line_idx_col: str = "line_idx", keep: Sequence[str] = ()) -> DataFrame:
     """Tolerant parse of score-file lines (A4).
 
     ``lines`` holds ``file_col``, ``line_idx_col`` (physical, 0 = header) and
@@ -100,7 +100,7 @@ def parse_score_lines(lines: DataFrame, header: Sequence[str] | None = None,
     r = score_row_status(body, line_col, "__h")
     ok = F.col("status") == STATUS_OK
     return r.select(
-        F.col(file_col), F.col(line_idx_col), "status",
+        F.col(file_col), F.col(line_idx_col), *keep, "status",
         F.when(ok, F.col("__idx")).alias("global_idx"),
         F.when(ok, F.col("__probs")).alias("probs"),
         F.when(ok & (text_pos >= 0), F.get(F.col("__parts"), text_pos)).alias("output_text"),
@@ -164,9 +164,9 @@ def read_score_shards(spark: SparkSession, prefix: str, world_size: int,
     rank = F.regexp_extract("file_path", "\\.rank(\\d+)\\.tmp$", 1).cast("int")
     if tolerant:
         lines = read_indexed(spark, files, "physical")
-        ranks = lines.select("file_ord", rank.alias("rank")).distinct()
-        parsed = parse_score_lines(lines.select("file_ord", F.col("line_in_file").alias("line_idx"), "line"))
-        return parsed.join(F.broadcast(ranks), "file_ord")
+        lines = lines.select("file_ord", F.col("line_in_file").alias("line_idx"), "line",
+                             rank.alias("rank"))
+        return parse_score_lines(lines, keep=("rank",))
     df = (spark.read.option("sep", "\t").option("header", "true")
           .option("quote", '"').option("escape", '"').schema(SCORE_SCHEMA).csv(files))
     return (df.withColumn("file_path", F.col("_metadata.file_path"))
