@@ -4,7 +4,8 @@ Label distributions have a known, small length (``num_labels`` is 2 or 4),
 so the hot functions unroll to plain ``get(p, i)`` arithmetic: that keeps
 them inside whole-stage codegen, where higher-order lambdas would not be.
 Functions over arrays of unknown length (``softmax`` of a vocabulary-sized
-logit vector) use ``aggregate``/``transform``.
+logit vector) use ``aggregate``/``transform``.  The element-wise helpers
+(clip, exp, ln, log2, pow, max, sum) are Spark's own functions (C18).
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def check_kind(kind: str) -> str:
 
 def divergence(teacher, student, n: int, kind: str,
                eps: float = DIVERGENCE_EPS) -> Column:
-    """Per-row divergence between teacher ``t`` and student ``s`` (C11-C14).
+    """Per-row divergence between teacher ``t`` and student ``s``.
 
     * ``jsd``  ½KL(s‖m) + ½KL(t‖m), m = ½(s+t), both clamped
     * ``fkl``  KL(t‖s)

@@ -54,7 +54,7 @@ def py_strip(c) -> Column:
 
 
 def normalize_field(c, on_null: str = "empty") -> Column:
-    """Pair-field normalisation: null -> "", stringify, half-width, lower.
+    """Pair-field normalisation: null -> "", stringify, half-width, lower.
 
     ``on_null='fail'`` raises on null instead (the strict loaders).
     """

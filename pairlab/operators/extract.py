@@ -15,7 +15,7 @@ def extract_fields(df: DataFrame, fields: Sequence[str] = ("query", "title", "pa
     """Chosen columns stringified, falsy values (null, "", 0, False) -> "" (B15).
 
     ``keep`` columns pass through untouched (e.g. a row id).  A narrow
-    projection: Parquet reads only these columns, no shuffle.
+    projection (B28): Parquet reads only these columns, no shuffle.
     """
     out = [F.col(k) for k in keep]
     for f in fields:
