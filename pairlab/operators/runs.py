@@ -145,3 +145,25 @@ def polarization_report_names(report: DataFrame, path_col: str = "path") -> Data
     from ..functions.parse import teacher_name, teacher_size
     return report.withColumn("teacher", teacher_name(path_col)) \
         .withColumn("teacher_size", teacher_size("teacher"))
+
+
+def write_results(results: DataFrame, path: str, keys: Sequence[str] = RUN_KEYS) -> None:
+    """Append leaderboard rows to a result store partitioned by ``keys``.
+
+    Dynamic partition overwrite replaces only the (run, dataset) partitions
+    present in ``results``, so a re-run of one combination does not touch the
+    others.
+    """
+    (results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*keys).parquet(path))
+
+
+def done_combinations(spark, path: str, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """(run, dataset) combinations already in the result store (A12).  Only the
+    partition columns are selected; an absent store means nothing is done."""
+    schema = ", ".join(f"{k} string" for k in keys)
+    try:
+        store = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - no store yet
+        return spark.createDataFrame([], schema)
+    return store.select(*keys).distinct()

@@ -7,7 +7,9 @@ and appends their valid rows — tagged with the batch id — to a Parquet score
 log.  ``latest_scores`` reads the log and keeps the last row per
 ``global_idx`` (later batch, then later file, then later line), which is the
 upsert of the batch jobs expressed as an append-only log plus a grouped
-read.  The streaming checkpoint gives exactly-once batches across restarts.
+read.  The streaming checkpoint tracks which files each batch took, and a
+batch writes only its own ``batch_id`` partition, so a retried batch replaces
+its earlier attempt instead of duplicating it.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ def _append_batch(log_path: str):
             return
         spark = batch.sparkSession
         parsed = valid_scores(read_scores_tolerant(spark, files))
+        # A retried batch rewrites only its own partition: idempotent.
         (parsed.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("append").partitionBy("batch_id").parquet(log_path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(log_path))
     return run
 
 

@@ -62,3 +62,17 @@ def test_union_and_duplicates(spark):
     u = merge.union_shards([s1, s2])
     assert u.count() == 3
     assert [r["global_idx"] for r in merge.duplicate_indexes(u).collect()] == [1]
+
+
+def test_result_store_skips_done(spark, tmp_path):
+    from pairlab.operators import runs
+    store = str(tmp_path / "store")
+    grid = runs.evaluation_grid(spark.createDataFrame([("r1",), ("r2",)], "run string"), ["d1", "d2"])
+    assert runs.pending(grid, runs.done_combinations(spark, store)).count() == 4
+    res = spark.createDataFrame([("r1", "d1", 0.5), ("r2", "d1", 0.6)], "run string, dataset string, ndcg10 double")
+    runs.write_results(res, store)
+    pend = sorted(tuple(r) for r in runs.pending(grid, runs.done_combinations(spark, store)).collect())
+    assert pend == [("r1", "d2"), ("r2", "d2")]
+    runs.write_results(spark.createDataFrame([("r1", "d1", 0.9)], "run string, dataset string, ndcg10 double"), store)
+    back = {(r["run"], r["dataset"]): r["ndcg10"] for r in spark.read.parquet(store).collect()}
+    assert back == {("r1", "d1"): 0.9, ("r2", "d1"): 0.6}
