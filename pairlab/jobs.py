@@ -10,18 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.constants import NDCG_KS, SCORE_WEIGHTED_COLUMN
-from .functions.text import normalize_qid
+from .functions.text import label_int, normalize_qid, py_strip
 from .operators import merge, ranking, shards
 from .session import ensure_checkpoint_dir
 from .operators.evaluate import eval_columns, join_scores
 from .operators.extract import extract_fields
 from .sources.lines import read_indexed
-from .sources.pairs import detect_keys, read_pairs, read_parquet_tree
+from .sources.pairs import PAIR_SCHEMA, detect_keys, read_pairs, read_parquet_tree
 from .sources.scores import read_score_shards, read_scores, read_scores_tolerant, write_scores
 from .sources.sinks import write_jsonl, write_report, write_soft_labels
 
@@ -82,12 +82,15 @@ def ndcg_report(spark: SparkSession, infer_path: str, data_path: str, out_path:
 
 def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str | Sequence[str],
                          out_path: str, filter_invalid: bool = False,
-                         bounded: bool = False) -> DataFrame:
+                         bounded: bool = False) -> dict[str, int]:
     """Pair JSONL ⋈ score TSVs -> soft-label Parquet (3.2); returns the counters.
 
-    Pairs are numbered physically (blank lines count, T1); scores are parsed
-    tolerantly, de-duplicated last-wins across files (E11); an empty valid
-    score set is an error (T20).
+    Pair lines are numbered physically (blank lines count, T1) and joined to
+    the scores as raw text; the JSON of a line is parsed only after the join,
+    for lines that will be written.  Scores are parsed tolerantly and
+    de-duplicated last-wins across files (E11); an empty valid score set is an
+    error (T20).  The written / skipped / missing counters are observed during
+    the write itself (E9), so the join runs once.
     """
     parsed = read_scores_tolerant(spark, tsv_paths)
     latest = merge.latest_by_index(merge.valid_scores(parsed)).select("global_idx", "probs")
@@ -95,11 +98,25 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
     latest = latest.checkpoint(eager=True)
     if latest.isEmpty():
         raise ValueError("no valid score records")
-    pairs = read_pairs(spark, jsonl_path, numbering="physical",
-                       absent_as_empty=("query", "title", "passage"))
-    out = merge.merge_soft_labels(pairs, latest, filter_invalid=filter_invalid, bounded=bounded)
+    lines = read_indexed(spark, jsonl_path, "physical").select(
+        "global_idx", "line", (py_strip("line") == "").alias("is_blank"))
+    status = merge.merge_status(lines, latest, filter_invalid=filter_invalid, bounded=bounded)
+    obs = Observation("merge_counts")
+    counted = status.observe(obs, *[F.sum(F.when(F.col("status") == k, 1).otherwise(0)).alias(k)
+                                   for k in ("written", "skipped", "missing")])
+    written = counted.where(F.col("status") == "written")
+    obj = F.from_json("line", PAIR_SCHEMA, {"mode": "FAILFAST"})
+    present = F.json_object_keys("line")
+    cols = {}
+    for f in ("query", "title", "passage"):
+        cols[f] = F.when(F.array_contains(present, F.lit(f)), obj[f]).otherwise(F.lit(""))
+    out = written.select(
+        "global_idx", cols["query"].alias("query"), cols["title"].alias("title"),
+        cols["passage"].alias("passage"),
+        label_int(F.coalesce(obj["label"], F.lit("0"))).alias("label"),
+        F.to_json("__probs").alias("teacher_probs"))
     write_soft_labels(out, out_path)
-    return merge.merge_stats(pairs, latest, filter_invalid=filter_invalid)
+    return {k: int(v or 0) for k, v in obs.get.items()}
 
 
 def extract_to_jsonl(spark: SparkSession, src: str, out_path: str,
