@@ -66,6 +66,9 @@ def ndcg_tables(spark: SparkSession, infer_path: str, data_path: str,
     joined = join_scores(pairs, _positional_scores(spark, infer_path, score_col))
     ev = normalize_qid(eval_columns(joined, qk, lk, "__score"), "qid")
     pq = ranking.ndcg_per_query(ev, ks=ks, tie=("global_idx",))
+    # one row per query, read by five outputs: materialise it once
+    ensure_checkpoint_dir(spark)
+    pq = pq.checkpoint(eager=True)
     return {
         "per_query": pq.orderBy("first_key"),
         "summary": ranking.ndcg_summary(pq, ks),

@@ -14,7 +14,7 @@ probabilities is forward KL up to the teacher's constant entropy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -149,7 +149,3 @@ def resume_scores(pairs: DataFrame, existing: DataFrame, scorer: Callable[[DataF
         todo = unscored_rows(pairs, existing)
     cols = existing.columns
     return existing.unionByName(scorer(todo).select(*cols))
-
-
-def label_columns(n: int) -> Sequence[str]:
-    return [str(i) for i in range(n)]

@@ -33,7 +33,7 @@ def oracles() -> dict[str, str]:
 
 
 def r6(c, name: str | None = None) -> Column:
-    """Report rounding used by both sides of the oracle check."""
-    col = F.col(c) if isinstance(c, str) else c
-    col = F.round(col, 6)
-    return col.alias(name or (c if isinstance(c, str) else None)) if (name or isinstance(c, str)) else col
+    """Report rounding used by both sides of the oracle check (6 dp)."""
+    col = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    alias = name or (c if isinstance(c, str) else None)
+    return col.alias(alias) if alias else col

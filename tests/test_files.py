@@ -197,3 +197,17 @@ def test_parquet_tree(spark, tmp_path):
     assert got.columns == ["query", "passage"] and got.count() == 1
     with pytest.raises(FileNotFoundError):
         read_parquet_tree(spark, str(tmp_path / "empty_missing"))
+
+
+def test_extract_job(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    spark.createDataFrame([("q1", "t1", "p1", 3), ("", None, "p2", 4)],
+                          "query string, title string, passage string, other int") \
+        .coalesce(1).write.parquet(str(src / "a.parquet"))
+    out = str(tmp_path / "out")
+    counts = jobs.extract_to_jsonl(spark, str(src), out)
+    assert sum(r["count"] for r in counts.collect()) == 2
+    files = [os.path.join(out, f) for f in os.listdir(out) if f.endswith(".json")]
+    rows = [json.loads(line) for f in files for line in open(f, encoding="utf-8") if line.strip()]
+    assert sorted(tuple(r.values()) for r in rows) == [("", "", "p2"), ("q1", "t1", "p1")]
