@@ -51,12 +51,17 @@ def _positional_scores(spark: SparkSession, path: str, score_col: str) -> DataFr
 
 def ndcg_tables(spark: SparkSession, infer_path: str, data_path: str,
                 query_key: str | None = None, label_key: str | None = None,
-                score_col: str = SCORE_WEIGHTED_COLUMN, ks: Sequence[int] = NDCG_KS) -> dict:
+                score_col: str = SCORE_WEIGHTED_COLUMN, ks: Sequence[int] = NDCG_KS,
+                qid_mode: str = "nfkc") -> dict:
     """NDCG evaluation of a score file against its pair file (3.1).
 
     Scores align with the non-blank pair lines by position (dense numbering,
-    T2); the row counts must match (B22).  Query keys are NFKC-normalised (B4).
+    T2); the row counts must match (B22).  Query keys are NFKC-normalised,
+    lower-cased and stripped (``qid_mode='nfkc'``, B4) or taken as their raw
+    text (``'raw'``, T5).
     """
+    if qid_mode not in ("nfkc", "raw"):
+        raise ValueError("qid_mode must be 'nfkc' or 'raw'")
     keys = _first_object_keys(spark, data_path)
     probe = spark.createDataFrame([], ", ".join(f"`{k}` string" for k in keys) or "x string")
     qk, lk = detect_keys(probe, query_key, label_key)
@@ -64,7 +69,9 @@ def ndcg_tables(spark: SparkSession, infer_path: str, data_path: str,
         if qk != lk else T.StructType([T.StructField(qk, T.StringType())])
     pairs = read_pairs(spark, data_path, schema=schema, numbering="dense")
     joined = join_scores(pairs, _positional_scores(spark, infer_path, score_col))
-    ev = normalize_qid(eval_columns(joined, qk, lk, "__score"), "qid")
+    ev = eval_columns(joined, qk, lk, "__score")
+    if qid_mode == "nfkc":
+        ev = normalize_qid(ev, "qid")
     pq = ranking.ndcg_per_query(ev, ks=ks, tie=("global_idx",))
     # one row per query, read by five outputs: materialise it once
     ensure_checkpoint_dir(spark)

@@ -140,11 +140,16 @@ def evaluate_runs(scores: DataFrame, pairs: DataFrame, join_keys: Sequence[str]
     return leaderboard(joined, expected=expected, **kw)
 
 
-def polarization_report_names(report: DataFrame, path_col: str = "path") -> DataFrame:
-    """Teacher name (parent directory) and size tag for a polarization report."""
+def teacher_report(scores: DataFrame, num_labels: int, path_col: str = "path",
+                   probs: str = "probs") -> DataFrame:
+    """Polarization per teacher (E7, B24): the teacher is the parent directory
+    of the checkpoint path (else its basename), with its size tag and sample
+    count; one row per teacher, sorted by name (G4)."""
     from ..functions.parse import teacher_name, teacher_size
-    return report.withColumn("teacher", teacher_name(path_col)) \
-        .withColumn("teacher_size", teacher_size("teacher"))
+    from .sharpness import polarization
+    named = scores.withColumn("checkpoint_name", teacher_name(path_col))
+    rep = polarization(named, probs, num_labels, by=("checkpoint_name",))
+    return rep.withColumn("teacher_size", teacher_size("checkpoint_name")).orderBy("checkpoint_name")
 
 
 def write_results(results: DataFrame, path: str, keys: Sequence[str] = RUN_KEYS) -> None:

@@ -108,3 +108,20 @@ def test_score_log_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["global_idx"]: dict(r["probs"]) for r in latest_scores(spark, log).collect()}
     assert got == {0: {"0": 0.2, "1": 0.8}, 1: {"0": 0.1, "1": 0.9}}
+
+
+def test_teacher_report_and_trend(spark):
+    from pairlab.operators import sharpness
+    rows = []
+    for size, sharp in (("1b", 0.6), ("7b", 0.8), ("32b", 0.95)):
+        for i in range(10):
+            p1 = sharp if i < 7 else 1 - sharp
+            rows.append((f"/m/{size}_fkl/checkpoint-{i}", [1 - p1, p1]))
+    df = spark.createDataFrame(rows, "path string, probs array<double>")
+    rep = runs.teacher_report(df, 2)
+    got = {r["checkpoint_name"]: r for r in rep.collect()}
+    assert set(got) == {"1b_fkl", "7b_fkl", "32b_fkl"} and got["7b_fkl"]["num_samples"] == 10
+    assert got["32b_fkl"]["mean_entropy"] < got["1b_fkl"]["mean_entropy"]
+    order = rep.withColumn("n", F.regexp_extract("teacher_size", "([0-9]+)", 1).cast("int"))
+    tr = sharpness.polarization_trend(order, "n").collect()
+    assert {r["trend_holds"] for r in tr} == {True}
