@@ -211,3 +211,15 @@ def test_extract_job(spark, tmp_path):
     files = [os.path.join(out, f) for f in os.listdir(out) if f.endswith(".json")]
     rows = [json.loads(line) for f in files for line in open(f, encoding="utf-8") if line.strip()]
     assert sorted(tuple(r.values()) for r in rows) == [("", "", "p2"), ("q1", "t1", "p1")]
+
+
+def test_quoted_multiline_text_t17(spark, tmp_path):
+    f = write(tmp_path / "m.tsv",
+              "global_idx\tall_digit_scores\toutput_texts\tweighted_scores\n"
+              "0\t{'0': 0.4, '1': 0.6}\t\"first\nsecond\"\t0.6\n"
+              "1\t{'0': 0.7, '1': 0.3}\tplain\t0.3\n")
+    tol = read_scores_tolerant(spark, str(f))
+    status = {r["line_idx"]: (r["status"], r["global_idx"]) for r in tol.collect()}
+    assert status == {1: ("ok", 0), 2: ("bad_index", None), 3: ("ok", 1)}
+    strict = read_scores(spark, str(f), multiline=True).orderBy("global_idx").collect()
+    assert [r["output_texts"] for r in strict] == ["first\nsecond", "plain"]
