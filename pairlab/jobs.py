@@ -103,7 +103,8 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
     the write itself (E9), so the join runs once.
     """
     parsed = read_scores_tolerant(spark, tsv_paths)
-    latest = merge.latest_by_index(merge.valid_scores(parsed)).select("global_idx", "probs")
+    latest = merge.latest_by_index(merge.valid_scores(parsed), payload=("probs",)) \
+        .select("global_idx", "probs")
     ensure_checkpoint_dir(spark)
     latest = latest.checkpoint(eager=True)
     if latest.isEmpty():

@@ -23,13 +23,18 @@ def valid_scores(parsed: DataFrame) -> DataFrame:
 
 
 def latest_by_index(scores: DataFrame, order: Sequence[str] = ("file_ord", "line_idx"),
-                    index: str = "global_idx") -> DataFrame:
+                    index: str = "global_idx", payload: Sequence[str] | None = None) -> DataFrame:
     """One row per index: the last by ``order`` wins.
 
     ``max_by`` is a partial aggregate, so duplicates collapse map-side before
-    the shuffle; a hot index costs one row per map task.
+    the shuffle; a hot index costs one row per map task.  ``payload`` names
+    the columns to keep (default: all).  Name them: fields inside the
+    aggregate's struct are not pruned later, so a wide payload (e.g. the
+    output text) would travel through the shuffle for nothing.
     """
-    payload = [c for c in scores.columns if c != index]
+    if payload is None:
+        payload = [c for c in scores.columns if c != index and c not in order]
+    payload = list(order) + [c for c in payload if c not in order]
     best = F.max_by(F.struct(*[F.col(c) for c in payload]), F.struct(*[F.col(c) for c in order]))
     return scores.groupBy(index).agg(best.alias("__row")).select(index, "__row.*")
 

@@ -33,7 +33,7 @@ def q_fit_hard_score(spark, sf_dir):
 @register("fit_soft_score")
 def q_fit_soft_score(spark, sf_dir):
     pairs = fx.pairs_text(spark, sf_dir)
-    scores = merge.latest_by_index(_ok(spark, sf_dir))
+    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
     soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
     model = learn.fit_soft(soft, NL, kind="fkl", max_iter=15)
     return _score_cols(learn.score_pairs(model, pairs, NL))

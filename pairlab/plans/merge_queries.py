@@ -68,14 +68,14 @@ def q_score_reject_reasons(spark, sf_dir):
 @register("latest_by_index", sql=f"""WITH {_PARSE_CTES}
 SELECT global_idx, line_idx, {_P_SQL} FROM latest""")
 def q_latest_by_index(spark, sf_dir):
-    latest = merge.latest_by_index(_ok(spark, sf_dir))
+    latest = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
     return latest.select("global_idx", "line_idx", *_probs_cols())
 
 
 @register("index_range", sql=f"""WITH {_PARSE_CTES}
 SELECT count(*) AS num_records, min(global_idx) AS min_idx, max(global_idx) AS max_idx FROM latest""")
 def q_index_range(spark, sf_dir):
-    return merge.index_range(merge.latest_by_index(_ok(spark, sf_dir)))
+    return merge.index_range(merge.latest_by_index(_ok(spark, sf_dir), payload=()))
 
 
 @register("drop_low_mass", sql=f"""WITH {_PARSE_CTES}
@@ -88,7 +88,7 @@ def q_drop_low_mass(spark, sf_dir):
 
 def _merge_inputs(spark, sf_dir):
     pairs = fx.pairs_text(spark, sf_dir)
-    scores = merge.latest_by_index(_ok(spark, sf_dir))
+    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
     return pairs, scores
 
 
