@@ -37,13 +37,16 @@ def parse_prob_map(c) -> Column:
 def last_key_wins(m: Column) -> Column:
     """Drop earlier duplicates of a key, as a Python dict literal does.
 
-    ``from_json`` keeps duplicate map keys; an entry survives only if no later
-    entry has the same key.  Maps here hold a handful of labels.
+    ``from_json`` keeps duplicate map keys.  One fold over the entries
+    rebuilds the map, each entry replacing an earlier one with its key; the
+    parsed map is referenced once (a lambda that re-read it would re-parse
+    the JSON per element).  A null map stays null.
     """
-    e = F.map_entries(m)
-    keep = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e) + 1),
-                                               lambda y: y["key"] == x["key"]))
-    return F.when(m.isNull(), m).otherwise(F.map_from_entries(keep))
+    empty = F.create_map().cast(PROB_MAP_TYPE)
+    return F.aggregate(
+        F.map_entries(m), empty,
+        lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, v: k != e["key"]),
+                                    F.create_map(e["key"], e["value"])))
 
 
 def decode_probs(df: DataFrame, col: str) -> Column:
