@@ -41,21 +41,37 @@ def _xlnx(x: Column) -> Column:
 
 # -- softmax family ----------------------------------------------------------
 
-def softmax(a) -> Column:
-    """Softmax of an array of any length (C1): shift by max, exp, normalise."""
-    a = _col(a)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+def softmax_stats(a) -> Column:
+    """``struct(m, s)``: max and ``Σ exp(x - m)`` of an array in one pass.
+
+    An online fold (rescale the running sum when the max grows), so no lambda
+    refers back to the array: a lambda that read ``array_max(a)`` would
+    recompute it for every element, quadratic in a vocabulary-sized vector.
+    """
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, x):
+        m = F.greatest(acc["m"], x)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(x - m)).alias("s"))
+    return F.aggregate(_col(a), init, step)
+
+
+def with_softmax(df, a: str, out: str):
+    """Softmax of an array column of any length (C1), as a new column.
+
+    The max/sum struct is its own column first, so the per-element lambda
+    reads a column instead of re-deriving the statistics.
+    """
+    df = df.withColumn("__sm", softmax_stats(a))
+    return df.withColumn(out, F.transform(a, lambda x: F.exp(x - F.col("__sm.m")) / F.col("__sm.s"))) \
+        .drop("__sm")
 
 
 def label_probs_full(logits, label_ids) -> Column:
     """Full-vocabulary softmax gathered at the label ids (C2); Σ <= 1."""
     a = _col(logits)
-    m = F.array_max(a)
-    s = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return F.array(*[F.exp(F.get(a, F.lit(i)) - m) / s for i in label_ids])
+    st = softmax_stats(a)
+    return F.array(*[F.exp(F.get(a, F.lit(i)) - st["m"]) / st["s"] for i in label_ids])
 
 
 def label_probs_only(logits, label_ids) -> Column:

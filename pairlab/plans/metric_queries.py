@@ -253,7 +253,7 @@ SELECT vec_id, ROUND(list_sum(list_transform(logits, lambda x: exp(x - list_max(
 FROM v""")
 def q_softmax_vector(spark, sf_dir):
     """Full softmax of the 64-wide vector, reduced to ``Σ p_i x_i`` for checking."""
-    v = fx.logits(spark, sf_dir).withColumn("p", dist.softmax("logits"))
+    v = dist.with_softmax(fx.logits(spark, sf_dir), "logits", "p")
     e = F.aggregate(F.zip_with("p", "logits", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     return v.select("vec_id", r6(e, "expected_logit"))
 

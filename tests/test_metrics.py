@@ -154,7 +154,7 @@ def test_softmax_family(spark):
     df = spark.createDataFrame([(logits,)], "a array<double>")
     e = np.exp(np.array(logits) - max(logits))
     full = e / e.sum()
-    r = df.select(dist.softmax("a").alias("sm"), dist.label_probs_full("a", [1, 2]).alias("full"),
+    r = dist.with_softmax(df, "a", "sm").select("sm", dist.label_probs_full("a", [1, 2]).alias("full"),
                   dist.label_probs_only("a", [1, 2]).alias("only"),
                   dist.renormalize(dist.label_probs_full("a", [1, 2]), 2).alias("renorm")).first()
     assert r["sm"] == pytest.approx(list(full))
