@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,8 +99,10 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
     the scores as raw text; the JSON of a line is parsed only after the join,
     for lines that will be written.  Scores are parsed tolerantly and
     de-duplicated last-wins across files (E11); an empty valid score set is an
-    error (T20).  The written / skipped / missing counters are observed during
-    the write itself (E9), so the join runs once.
+    error (T20).  The written / skipped / missing counters (E9) are a
+    ``groupBy(status)`` over the same join; ``Dataset.observe`` would save that
+    pass, but an Observation left on the session breaks the serialization of
+    later tasks in Spark 4.1, so it is not used.
     """
     parsed = read_scores_tolerant(spark, tsv_paths)
     latest = merge.latest_by_index(merge.valid_scores(parsed), payload=("probs",)) \
@@ -112,10 +114,7 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
     lines = read_indexed(spark, jsonl_path, "physical").select(
         "global_idx", "line", (py_strip("line") == "").alias("is_blank"))
     status = merge.merge_status(lines, latest, filter_invalid=filter_invalid, bounded=bounded)
-    obs = Observation("merge_counts")
-    counted = status.observe(obs, *[F.sum(F.when(F.col("status") == k, 1).otherwise(0)).alias(k)
-                                   for k in ("written", "skipped", "missing")])
-    written = counted.where(F.col("status") == "written")
+    written = status.where(F.col("status") == "written")
     obj = F.from_json("line", PAIR_SCHEMA, {"mode": "FAILFAST"})
     present = F.json_object_keys("line")
     cols = {}
@@ -127,7 +126,11 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
         label_int(F.coalesce(obj["label"], F.lit("0"))).alias("label"),
         F.to_json("__probs").alias("teacher_probs"))
     write_soft_labels(out, out_path)
-    return {k: int(v or 0) for k, v in obs.get.items()}
+    counts = {k: 0 for k in ("written", "skipped", "missing")}
+    # a second, narrow pass: index and blank flag only, at most three rows back
+    for r in status.groupBy("status").count().collect():
+        counts[r["status"]] = int(r["count"])
+    return counts
 
 
 def extract_to_jsonl(spark: SparkSession, src: str, out_path: str,
