@@ -18,7 +18,7 @@ from .functions.constants import NDCG_KS, SCORE_WEIGHTED_COLUMN
 from .functions.text import label_int, normalize_qid, py_strip
 from .operators import merge, ranking, shards
 from .session import ensure_checkpoint_dir
-from .operators.evaluate import eval_columns, join_scores
+from .operators.evaluate import eval_columns, join_scores, round_report
 from .operators.extract import extract_fields
 from .sources.lines import read_indexed
 from .sources.pairs import PAIR_SCHEMA, detect_keys, read_pairs, read_parquet_tree
@@ -85,8 +85,14 @@ def ndcg_tables(spark: SparkSession, infer_path: str, data_path: str,
     }
 
 
-def ndcg_report(spark: SparkSession, infer_path: str, data_path: str, out_path: str, **kw) -> None:
+def ndcg_report(spark: SparkSession, infer_path: str, data_path: str, out_path: str,
+                round_dp: int | None = 4, **kw) -> None:
+    """Write the NDCG report tables; metric values rounded as Python rounds
+    them (4 dp by default, ``None`` keeps full precision)."""
     t = ndcg_tables(spark, infer_path, data_path, **kw)
+    if round_dp is not None:
+        t = {k: round_report(v.drop("first_key") if "first_key" in v.columns else v, round_dp)
+             for k, v in t.items()}
     write_report(t["summary"], out_path, {k: v for k, v in t.items() if k != "summary"})
 
 

@@ -52,3 +52,11 @@ def round_py(c, dp: int) -> Column:
     only (one per run), never on the row-level data."""
     col = F.col(c) if isinstance(c, str) else c
     return _py_round(col.cast("double"), F.lit(dp))
+
+
+def round_report(df: DataFrame, dp: int = 4) -> DataFrame:
+    """Round every DOUBLE column of a report table the way Python's ``round``
+    does (B23); other columns pass through."""
+    cols = [round_py(f.name, dp).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+            else F.col(f.name) for f in df.schema.fields]
+    return df.select(*cols)

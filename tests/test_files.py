@@ -186,6 +186,12 @@ def test_ndcg_job_matches_numpy(spark, tmp_path):
         idx, rels, sc = zip(*items)
         assert per_q[q] == pytest.approx(ref.ndcg(list(rels), list(sc), list(idx), 10))
     assert t["summary"].first()["num_queries"] == 6
+    out = str(tmp_path / "report")
+    jobs.ndcg_report(spark, str(tp), str(jp), out)
+    summ = spark.read.json(f"{out}/summary").first()
+    want = round(float(np.mean([ref.ndcg([x[1] for x in it], [x[2] for x in it], [x[0] for x in it], 10)
+                                for it in groups.values()])), 4)
+    assert summ["ndcg10_mean"] == want
 
 
 def test_parquet_tree(spark, tmp_path):
