@@ -163,3 +163,18 @@ def test_softmax_family(spark):
     assert r["renorm"] == pytest.approx(r["only"])
     w = df.select(dist.weighted_score(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3), F.lit(0.4)), 4)).first()[0]
     assert w == pytest.approx((0.2 + 0.6 + 1.2) / 3)
+
+
+def test_ndcg_hot_query_key(spark):
+    """One query holds a third of all rows: results stay exact (no capping)."""
+    n = 3000
+    data = [(i, 0 if i % 3 == 0 else 1 + i % 97, float((i * 7) % 4), float((i * 13) % 101) / 100)
+            for i in range(n)]
+    df = spark.createDataFrame(data, "global_idx long, qid int, rel double, score double").repartition(6)
+    got = {r["qid"]: (r["ndcg10"], r["num_docs"]) for r in ranking.ndcg_per_query(df).collect()}
+    hot = [(i, r, s) for i, q, r, s in data if q == 0]
+    idx, rels, scores = zip(*hot)
+    assert got[0][1] == n // 3
+    assert got[0][0] == pytest.approx(ref.ndcg(list(rels), list(scores), list(idx), 10), abs=1e-12)
+    plan = ranking.ndcg_per_query(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
