@@ -24,9 +24,8 @@ from ..sources.scores import read_scores_tolerant
 
 def _append_batch(log_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        # The file list of one micro-batch is bounded by maxFilesPerTrigger.
-        files = [r.path for r in batch.select(F.col("_metadata.file_path").alias("path"))
-                 .distinct().orderBy("path").collect()]
+        # One row per new file (metadata only); at most maxFilesPerTrigger.
+        files = [r.path for r in batch.select("path").orderBy("path").collect()]
         if not files:
             return
         spark = batch.sparkSession
@@ -42,11 +41,14 @@ def start_score_log(spark: SparkSession, shard_dir: str, log_path: str, checkpoi
                     max_files_per_trigger: int = 64, glob: str = "*.tmp",
                     available_now: bool = False) -> StreamingQuery:
     """Watch ``shard_dir`` for score files and append parsed rows to ``log_path``."""
-    stream = (spark.readStream.format("text")
+    # binaryFile with only ``path`` selected lists new files without reading
+    # them; the batch function then scans exactly those files once.
+    stream = (spark.readStream.format("binaryFile")
+              .schema("path string, modificationTime timestamp, length long, content binary")
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", glob)
               .load(shard_dir)
-              .select("value", "_metadata"))
+              .select("path"))
     writer = stream.writeStream.foreachBatch(_append_batch(log_path)) \
         .option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
