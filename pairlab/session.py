@@ -8,6 +8,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _driver_memory(cap_gb: int = 16) -> str:
+    """Heap for a local session: 60% of physical memory, at most ``cap_gb``."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    except (ValueError, OSError, AttributeError):
+        return f"{cap_gb}g"
+    return f"{max(1, min(cap_gb, int(total * 0.6)))}g"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "pairlab") -> SparkSession:
     """Local session with the settings the library is tuned for.
@@ -26,7 +35,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _driver_memory())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
