@@ -119,14 +119,13 @@ def score_pairs(model: PipelineModel, pairs: DataFrame, num_labels: int) -> Data
 
 
 def score_with(pairs: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
-               schema: T.StructType | str, batch_rows: int | None = None) -> DataFrame:
+               schema: T.StructType | str) -> DataFrame:
     """Bring-your-own scorer over Arrow batches (I4): ``fn`` maps a pandas batch
-    of pair rows to a pandas frame of the given schema."""
+    of pair rows to a pandas frame of the given schema.  The batch size is the
+    session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` (B27)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             yield fn(batch)
-    if batch_rows:
-        pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return pairs.mapInPandas(run, schema)
 
 
