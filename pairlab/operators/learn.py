@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.parse import prob_vector
+from ..functions.parse import decode_probs, prob_vector
 from ..functions.text import clamp_label, doc_text, label_int, normalize_field
 
 # Hash space per text side; the gradient L-BFGS aggregates every iteration is
@@ -89,12 +89,16 @@ def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "
 
     ``kind='fkl'``: one row per (pair, label) weighted by the teacher
     probability (``posexplode``); ``kind='hard'``: the teacher's first argmax.
-    ``probs`` may be a map (``{"0": p, ...}``) or an array in label order.
+    ``probs`` may be JSON text, a map (``{"0": p, ...}``) or an array in label
+    order.
     """
     if kind not in ("fkl", "hard"):
         raise ValueError("kind must be 'fkl' or 'hard'")
     dt = soft.schema[probs].dataType
-    vec = prob_vector(probs, num_labels, "zero") if isinstance(dt, T.MapType) else F.col(probs)
+    if isinstance(dt, T.ArrayType):
+        vec = F.col(probs)
+    else:   # a map, or JSON text as written by the soft-label sink (A7)
+        vec = prob_vector(decode_probs(soft, probs), num_labels, "zero")
     base = pair_features(soft).withColumn("__t", vec)
     if kind == "hard":
         train = base.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))

@@ -93,6 +93,9 @@ def test_soft_student_beats_uniform(spark):
     assert kl < uni
     hard = learn.fit_hard(soft, 2, max_iter=10)
     assert learn.score_pairs(hard, soft, 2).count() == 120
+    as_json = soft.withColumn("teacher_probs", F.to_json("teacher_probs"))   # the Parquet sink form
+    m2 = learn.fit_soft(as_json, 2, "hard", max_iter=5)
+    assert learn.score_pairs(m2, soft, 2).count() == 120
 
 
 def test_score_log_stream(spark, tmp_path):
