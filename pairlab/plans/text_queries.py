@@ -140,9 +140,14 @@ def q_label_clamp(spark, sf_dir):
                     tx.scale_label(lab, 3).alias("label_scaled"))
 
 
-@register("normalize_qid")
+# DuckDB has no NFKC, but on this fixture (full-width ASCII, U+3000, and Latin
+# letters already in composed form) NFKC is exactly the half-width fold.
+@register("normalize_qid", sql=f"""WITH v AS ({V3})
+SELECT global_idx, trim(lower({_hw_sql("(chr(12288) || translate(query, " + _sql_str(fx.ASCII_ALNUM)
+                                        + ", " + _sql_str(fx.FULLWIDTH_ALNUM) + ") || ' ')")}), {_WS}) AS qid_norm
+FROM v""")
 def q_normalize_qid(spark, sf_dir):
-    """NFKC query keys; no oracle (DuckDB has no NFKC), rows-only check."""
+    """NFKC query keys (B4) via the distinct-key pandas UDF path."""
     v = fx.pairs_text(spark, sf_dir).select("global_idx", F.col("query").alias("qkey"))
     v = v.withColumn("qkey", F.concat(_fullwidth(F.col("qkey")), F.lit(" ")))
     return tx.normalize_qid(v, "qkey", "qid_norm").select("global_idx", "qid_norm")
