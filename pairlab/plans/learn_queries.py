@@ -47,7 +47,18 @@ def _overlap_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"global_idx": batch["global_idx"], "score": frac})
 
 
-@register("score_with")
+_WS_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+@register("score_with", sql=f"""WITH v AS ({fx.V3_SQL}),
+w AS (SELECT global_idx,
+  CASE WHEN trim(lower(query), {_WS_SQL}) = '' THEN []
+       ELSE regexp_split_to_array(trim(lower(query), {_WS_SQL}), '[\t\n\x0b\x0c\r ]+') END AS qw,
+  CASE WHEN trim(lower(passage), {_WS_SQL}) = '' THEN []
+       ELSE regexp_split_to_array(trim(lower(passage), {_WS_SQL}), '[\t\n\x0b\x0c\r ]+') END AS dw
+  FROM v)
+SELECT global_idx, len(list_filter(qw, lambda x: list_contains(dw, x))) / greatest(len(qw), 1) AS score
+FROM w""")
 def q_score_with(spark, sf_dir):
     pairs = fx.pairs_text(spark, sf_dir).select("global_idx", "query", "passage")
     return learn.score_with(pairs, _overlap_scorer, "global_idx long, score double")
