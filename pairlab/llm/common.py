@@ -154,3 +154,22 @@ def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
     before = F.element_at(F.array(*map(F.lit, offsets or [0])), F.col("_part") + 1)
     nth = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return ranged.withColumn(name, (before + nth - 1).cast("long")).drop("_part")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer file ``name`` lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tiktoken_encoding(path: str):
+    """A tiktoken encoding from a ``.tiktoken`` file, without special tokens."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
