@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secret_scan
+from . import mixing, packing, quality, secret_scan
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,11 @@ def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
              for k, kind in enumerate(secret_scan.KINDS[:3])]
     return found.select("row.doc_id", *count, F.sha2(secret_scan.span_list(base), 256).alias("base_sha256"),
                         secret_scan.span_list(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "score")
