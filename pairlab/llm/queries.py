@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_scan
+from . import mixing, packing, quality, secret_scan, simhash
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op9_judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "score")
+
+
+@query
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
