@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, secret_scan, simhash, substring
+from . import fingerprints, lm, mixing, packing, quality, secret_scan, simhash, substring
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op9_judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "score")
 
 
+@query
+def op6_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))

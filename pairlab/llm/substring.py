@@ -79,7 +79,7 @@ class _Words:
 _PROBE, _DIGEST, _SECOND = 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
-def _bucketed(keys: np.ndarray, buckets: int) -> np.ndarray:
+def bucketed(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket numbers from the high half of a hash; the low half stays free for the entry."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
@@ -93,7 +93,7 @@ def _probes(words: _Words, buckets: int):
     at, key = words.rolling(BLOCK, _PROBE)
     long_enough = words.counts[words.doc[at]] >= WINDOW
     at, key = at[long_enough], key[long_enough]
-    bucket = _bucketed(key, buckets)
+    bucket = bucketed(key, buckets)
     packed = (bucket << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
     order = np.argsort(packed, kind="stable")
     ranked = packed[order]
@@ -101,7 +101,7 @@ def _probes(words: _Words, buckets: int):
     return at, order, run, (ranked[run] >> np.uint64(32)).astype(np.int64), ranked[run].astype(np.uint32)
 
 
-def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def bucket_slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Each bucket of a sorted array with its range."""
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
     for a, b in zip(cut, [*cut[1:], len(bucket)]):
@@ -116,7 +116,7 @@ def _send_probes(buckets: int):
         is_block = (words.place[at[order]] % BLOCK == 0).astype(np.uint8)
         block = np.maximum.reduceat(is_block, run) if len(run) else is_block
         out = [(key[0].as_py(), n, planes(entry[a:b]),
-                np.packbits(np.stack([block[a:b], size[a:b] > 1])).tobytes()) for n, a, b in _slices(bucket)]
+                np.packbits(np.stack([block[a:b], size[a:b] > 1])).tobytes()) for n, a, b in bucket_slices(bucket)]
         return _table(out, ("chunk", "bucket", "keys", "flags"), 2)
     return send
 
@@ -161,7 +161,7 @@ def _send_windows(buckets: int):
         at, order, run, bucket, _ = _probes(words, buckets)
         bits = dict(zip(hits["bucket"].to_pylist(), hits["keys"].to_pylist()))
         hit = np.zeros(len(run), bool)
-        for n, a, b in _slices(bucket):
+        for n, a, b in bucket_slices(bucket):
             if n in bits:
                 hit[a:b] = np.unpackbits(np.frombuffer(bits[n], np.uint8))[:b - a]
         struck = np.zeros(len(words.hashes) + 1, np.int64)
@@ -171,14 +171,14 @@ def _send_windows(buckets: int):
         # windows that hold a whole struck probe
         near = struck[start + WINDOW - BLOCK + 1] > struck[start]
         start, digest = start[near], digest[near]
-        bucket = _bucketed(words.rolling(WINDOW, _SECOND)[1][near], buckets)
+        bucket = bucketed(words.rolling(WINDOW, _SECOND)[1][near], buckets)
         order = np.lexsort((start, digest, bucket))  # documents are in id order, so the first of a run is earliest
         start, digest, bucket = start[order], digest[order], bucket[order]
         new = np.concatenate(([True], (digest[1:] != digest[:-1]) | (bucket[1:] != bucket[:-1]))) if len(start) else []
         start, digest, bucket = start[new], digest[new], bucket[new]
         ids, places = words.ids[words.doc[start]], words.place[start].astype(np.int64)
         out = [(key[0].as_py(), n, planes(digest[a:b]), planes(ids[a:b]), planes(places[a:b]))
-               for n, a, b in _slices(bucket)]
+               for n, a, b in bucket_slices(bucket)]
         return _table(out, ("chunk", "bucket", "keys", "ids", "starts"), 2)
     return send
 
@@ -211,7 +211,7 @@ def _finish(buckets: int):
         covered = np.zeros(len(words.hashes) + 1, np.int64)
         start, digest = words.rolling(WINDOW, _DIGEST)
         if len(start):
-            bucket = _bucketed(words.rolling(WINDOW, _SECOND)[1], buckets)
+            bucket = bucketed(words.rolling(WINDOW, _SECOND)[1], buckets)
             ids, places = words.ids[words.doc[start]], words.place[start]
             order = np.lexsort((start, digest, bucket))
             new = np.concatenate(([True], (digest[order][1:] != digest[order][:-1])
@@ -220,7 +220,7 @@ def _finish(buckets: int):
             # the earliest place of each window: here, unless a bucket names an earlier one
             first_id, first_place = ids[order[run]].copy(), places[order[run]].astype(np.int64)
             mine = dict(zip(found["bucket"].to_pylist(), zip(*(found[c].to_pylist() for c in ("keys", "ids", "starts")))))
-            for n, a, b in _slices(bucket[order[run]].astype(np.int64)):
+            for n, a, b in bucket_slices(bucket[order[run]].astype(np.int64)):
                 if n in mine:
                     k, i, s = (from_planes(x, t) for x, t in zip(mine[n], (np.uint64, np.int64, np.int64)))
                     at = a + np.searchsorted(digest[order[run[a:b]]], k)
