@@ -103,6 +103,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     score = F.when(F.col("n_words") > 0, F.col("total") / (2 * SCALE * F.col("n_words"))).otherwise(0.0)
-    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       failed.alias("base_failed"), score.alias("score"),
-                       (~failed & (score >= threshold)).alias("kept"))
+    # a generator, so that a filter on the verdict isn't pushed below and all of this computed once more for it
+    return rows.select("row", F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        score.alias("score"), (~failed & (score >= threshold)).alias("kept")))))
