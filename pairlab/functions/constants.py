@@ -57,9 +57,6 @@ DIVERGENCE_KINDS = ("soft", "jsd", "fkl", "rkl", "hard")
 # Low-mass filter for teacher distributions.
 MIN_PROB_MASS = 0.99
 
-# A score shard counts as present only above this size in bytes.
-SHARD_MIN_BYTES = 100
-
 # Characters Python's str.strip() removes: derived from str.isspace(), whose
 # highest member is U+3000.
 PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())

@@ -20,9 +20,10 @@ from .operators import merge, ranking, shards
 from .session import ensure_checkpoint_dir
 from .operators.evaluate import eval_columns, join_scores, round_report
 from .operators.extract import extract_fields
-from .sources.lines import read_indexed
+from .sources.lines import read_indexed, with_positions
 from .sources.pairs import PAIR_SCHEMA, detect_keys, read_pairs, read_parquet_tree
-from .sources.scores import read_score_shards, read_scores, read_scores_tolerant, write_scores
+from .sources.scores import (read_score_rows, read_scores_tolerant, read_shard_rows, shard_files,
+                             write_scores)
 from .sources.sinks import write_jsonl, write_report, write_soft_labels
 
 
@@ -37,16 +38,11 @@ def _first_object_keys(spark: SparkSession, path: str) -> list[str]:
 
 
 def _positional_scores(spark: SparkSession, path: str, score_col: str) -> DataFrame:
-    """Score rows numbered by position among the non-blank data lines."""
-    lines = read_indexed(spark, path, "dense")
-    header = spark.read.option("sep", "\t").option("header", "true").csv(path).columns
-    if score_col not in header:
-        raise ValueError(f"score column {score_col!r} not in {header}")
-    pos = header.index(score_col)
-    parts = F.split("line", "\t", -1)
-    return lines.where(F.col("global_idx") > 0).select(
-        (F.col("global_idx") - 1).alias("global_idx"),
-        F.get(parts, pos).try_cast("double").alias("__score"))
+    """Score rows numbered by position among the data rows of the file(s): each
+    file has its own header, quoted values may hold tabs and line breaks, and a
+    value that is no number raises."""
+    rows = read_score_rows(spark, path, columns=((score_col, "double", True),))
+    return with_positions(rows, path).select("global_idx", F.col(score_col).alias("__score"))
 
 
 def ndcg_tables(spark: SparkSession, infer_path: str, data_path: str,
@@ -121,16 +117,19 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
         "global_idx", "line", (py_strip("line") == "").alias("is_blank"))
     status = merge.merge_status(lines, latest, filter_invalid=filter_invalid, bounded=bounded)
     written = status.where(F.col("status") == "written")
-    obj = F.from_json("line", PAIR_SCHEMA, {"mode": "FAILFAST"})
-    present = F.json_object_keys("line")
-    cols = {}
-    for f in ("query", "title", "passage"):
-        cols[f] = F.when(F.array_contains(present, F.lit(f)), obj[f]).otherwise(F.lit(""))
+    # one parse per line; a generator, so that no field is parsed again for itself
+    parsed = F.struct(F.from_json("line", PAIR_SCHEMA, {"mode": "FAILFAST"}).alias("obj"),
+                      F.json_object_keys("line").alias("keys"))
+    written = written.select("global_idx", "__probs", F.inline(F.array(parsed)))
+
+    def field(name: str, absent: str):
+        """An absent key has a default; a JSON null stays null."""
+        return F.when(F.array_contains("keys", F.lit(name)), F.col(f"obj.{name}")).otherwise(F.lit(absent))
     out = written.select(
-        "global_idx", cols["query"].alias("query"), cols["title"].alias("title"),
-        cols["passage"].alias("passage"),
-        label_int(F.coalesce(obj["label"], F.lit("0"))).alias("label"),
-        F.to_json("__probs").alias("teacher_probs"))
+        "global_idx", *[field(f, "").alias(f) for f in ("query", "title", "passage")],
+        label_int(field("label", "0")).alias("label"), F.to_json("__probs").alias("teacher_probs"))
+    # line order, as in the pair file
+    out = out.repartitionByRange("global_idx").sortWithinPartitions("global_idx")
     write_soft_labels(out, out_path)
     counts = {k: 0 for k in ("written", "skipped", "missing")}
     # a second, narrow pass: index and blank flag only, at most three rows back
@@ -150,7 +149,10 @@ def extract_to_jsonl(spark: SparkSession, src: str, out_path: str,
 def merge_shards(spark: SparkSession, prefix: str, world_size: int, out_path: str) -> DataFrame:
     """Concatenate present shards ordered by ``global_idx`` (H1, G1); returns
     the missing ranks (D5)."""
-    rows = read_score_shards(spark, prefix, world_size)
+    present = [(r["rank"], r["path"]) for r in  # at most world_size names
+               shard_files(spark, prefix, world_size).where("present").orderBy("rank").collect()]
+    rows = read_shard_rows(spark, [path for _, path in present])
     write_scores(rows.withColumnRenamed("output_texts", "output_text")
                  .withColumnRenamed("weighted_scores", "weighted_score"), out_path)
-    return shards.missing_ranks(spark, shards.present_ranks(rows), world_size)
+    ranks = spark.createDataFrame([(rank,) for rank, _ in present], "rank int")
+    return shards.missing_ranks(spark, ranks, world_size)

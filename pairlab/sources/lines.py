@@ -1,88 +1,103 @@
 """Position-indexed line scans.
 
 Spark rows have no position, but score files are keyed by the 0-based line
-number of the pair file.  ``read_indexed`` attaches it without a
-single-partition window and without ``zipWithIndex``:
+number of the pair file.  ``with_positions`` attaches it to the rows of any
+file scan without a single-partition window over rows and without
+``zipWithIndex``:
 
-1. scan the text files; every row carries its split ``(file, block_start)``
-   and ``monotonically_increasing_id()`` (contiguous inside a split);
-2. aggregate per split: line count and smallest id — one row per split;
+1. every row carries its split ``(file, block_start)`` and
+   ``monotonically_increasing_id()`` (contiguous inside a split);
+2. aggregate per split: row count, smallest id and first line — one row per split;
 3. prefix-sum the split counts in (file order, block start) order — a window
    over the split table only, whose size is bytes / maxPartitionBytes;
-4. join the offsets back (broadcast: the split table has a proven bound).
+4. join the offsets back.
 
+That is two scans of the files: one narrow for the splits, one for the rows.
 ``numbering='physical'`` counts every line; ``'dense'`` drops blank lines
 (whitespace only) first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 
-# Size bound of the broadcast split table: one ~100-byte row per input split,
-# i.e. about 1 MB per 1.3 TB of text at 128 MB splits.
 
-
-def _as_list(paths) -> list[str]:
+def as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _path_pattern(path: str) -> str:
+    """A regular expression for the files that a path argument names: the file
+    itself, what lies below a directory, or what a glob matches."""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", path).rstrip("/")
+    globs = {"*": "[^/]*", "?": "[^/]", "{": "(", "}": ")", ",": "|", "[": "[", "]": "]"}
+    is_glob = any(c in path for c in "*?[{")
+    body = "".join(globs[c] if is_glob and c in globs else re.escape(c) for c in path)
+    return rf"(^|[^/]/|:/*|//[^/]*){body}(/.*)?$" if path.startswith("/") else rf"(^|/){body}(/.*)?$"
+
+
+def given_order(file_path: Column, paths: Sequence[str]) -> Column:
+    """The position of the first path argument that names the file."""
+    plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    patterns = F.array(*[F.lit(_path_pattern(p)) for p in paths])
+    hits = F.transform(patterns, lambda p, i: F.when(F.rlike(plain, p), i))
+    return F.coalesce(F.array_min(hits), F.lit(len(paths)))
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Raw lines with their file path, split start and ``given_ord`` (the
-    position of the path argument that produced the file)."""
-    plist = _as_list(paths)
-    parts = []
-    for i, p in enumerate(plist):
-        df = spark.read.text(p).select(
-            F.col("value").alias("line"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.lit(i).alias("given_ord"))
-        parts.append(df)
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df)
-    return out
-
-
-def with_file_order(splits: DataFrame) -> DataFrame:
-    """``file_ord``: files ordered by the given path list, then by path inside a
-    directory (G5).  ``splits`` has one row per input split, so this window is
-    over the split table, never over rows."""
-    files = splits.groupBy("file_path").agg(F.min("given_ord").alias("__g"))
-    w = Window.orderBy("__g", "file_path")
-    files = files.withColumn("file_ord", F.row_number().over(w) - 1).drop("__g")
-    return splits.join(F.broadcast(files), "file_path")
+    """Raw lines with their file path and split start, from one scan of all paths."""
+    return spark.read.text(as_list(paths)).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"))
+
+
+def with_positions(rows: DataFrame, paths: str | Sequence[str],
+                   first_of: str | None = None) -> DataFrame:
+    """``rows`` of a file scan (with ``file_path, block_start``) plus ``file_ord``
+    (files in the given order, then by path), ``global_idx`` (across files) and
+    ``line_in_file`` (A2, T1, G5).  ``first_of`` names a column whose first
+    value in the file every row gets as ``file_first`` (a header line).
+
+    The windows below run over the split table, one row per input split.
+    """
+    rows = rows.withColumn("__mid", F.monotonically_increasing_id())
+    first = F.min_by(F.col(first_of), "__mid") if first_of else F.lit(None).cast("string")
+    splits = rows.groupBy("file_path", "block_start").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"), first.alias("__first"))
+    splits = splits.withColumn("__given", given_order(F.col("file_path"), as_list(paths)))
+    files = Window.orderBy("__given", "file_path")
+    w_all = Window.orderBy("__given", "file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file_path").orderBy("block_start")
+    offsets = splits.select(
+        "file_path", "block_start", "__mid0",
+        (F.dense_rank().over(files) - 1).alias("file_ord"),
+        F.coalesce(F.sum("__n").over(w_all), F.lit(0)).alias("__off"),
+        F.coalesce(F.sum("__n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__foff"),
+        F.first("__first").over(in_file).alias("file_first"))
+    local = F.col("__mid") - F.col("__mid0")
+    out = rows.join(offsets, ["file_path", "block_start"]) \
+        .withColumn("global_idx", F.col("__off") + local).withColumn("line_in_file", F.col("__foff") + local)
+    drop = ["__mid", "__mid0", "__off", "__foff", "block_start"]
+    return out.drop(*drop) if first_of else out.drop(*drop, "file_first")
 
 
 def read_indexed(spark: SparkSession, paths: str | Sequence[str],
-                 numbering: str = "physical") -> DataFrame:
-    """Lines with ``global_idx`` (across files, in file order) and
-    ``line_in_file`` (0-based, per file), by the chosen numbering (A2, T1)."""
+                 numbering: str = "physical", with_first: bool = False) -> DataFrame:
+    """Lines with ``file_path, file_ord, global_idx`` (across files, in file
+    order) and ``line_in_file`` (0-based, per file), by the chosen numbering;
+    ``with_first`` adds each file's first line as ``file_first``."""
     if numbering not in ("physical", "dense"):
         raise ValueError("numbering must be 'physical' or 'dense'")
     lines = read_lines(spark, paths)
     if numbering == "dense":
         lines = lines.where(py_strip("line") != "")
-    lines = lines.withColumn("__mid", F.monotonically_increasing_id())
-    splits = (lines.groupBy("file_path", "block_start")
-              .agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"),
-                   F.min("given_ord").alias("given_ord")))
-    splits = with_file_order(splits)
-    w_all = Window.orderBy("file_ord", "block_start").rowsBetween(Window.unboundedPreceding, -1)
-    w_file = Window.partitionBy("file_path").orderBy("block_start") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    splits = (splits.withColumn("__off", F.coalesce(F.sum("__n").over(w_all), F.lit(0)))
-              .withColumn("__foff", F.coalesce(F.sum("__n").over(w_file), F.lit(0))))
-    offs = F.broadcast(splits.select("file_path", "block_start", "file_ord", "__off", "__foff", "__mid0"))
-    out = lines.join(offs, ["file_path", "block_start"])
-    local = F.col("__mid") - F.col("__mid0")
-    return out.select("file_path", "file_ord",
-                      (F.col("__off") + local).alias("global_idx"),
-                      (F.col("__foff") + local).alias("line_in_file"),
-                      "line")
+    out = with_positions(lines, paths, "line" if with_first else None)
+    cols = ["file_path", "file_ord", "global_idx", "line_in_file", "line"]
+    return out.select(*cols, *(["file_first"] if with_first else []))

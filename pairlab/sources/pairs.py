@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,26 +55,23 @@ def read_pairs(spark: SparkSession, paths: str | Sequence[str],
     return out.drop("line")
 
 
-def parquet_files(path: str) -> list[str]:
-    """Parquet files of a file or directory: ``*.parquet`` sorted, else the
-    recursive ``**/*.parquet`` sorted (A3, G5).  Listing happens once on the
-    driver, as any Spark file source lists its input."""
-    if os.path.isfile(path):
-        return [path]
-    files = sorted(glob.glob(os.path.join(path, "*.parquet")))
-    if not files:
-        files = sorted(glob.glob(os.path.join(path, "**", "*.parquet"), recursive=True))
-    return files
-
-
 def read_parquet_tree(spark: SparkSession, path: str,
                       columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet file, flat directory or nested directory (A3).  ``columns``
-    prunes the scan.  An empty tree raises ``FileNotFoundError``."""
-    files = parquet_files(path)
-    if not files:
-        raise FileNotFoundError(f"no parquet files under {path}")
-    df = spark.read.parquet(*files)
+    """Parquet file, flat directory or, where that holds no Parquet file, nested
+    directory (A3), on any file system that Spark reads.  ``columns`` prunes the
+    scan.  An empty or absent tree raises ``FileNotFoundError``."""
+    none = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+    try:
+        df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    except AnalysisException as flat:
+        if flat.getCondition() not in none:
+            raise
+        try:
+            df = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+        except AnalysisException as nested:
+            if nested.getCondition() not in none:
+                raise
+            raise FileNotFoundError(f"no parquet files under {path}") from nested
     return df.select(*columns) if columns else df
 
 

@@ -6,34 +6,29 @@ A score file is a tab-separated text file with a header naming at least
 * tolerant (``read_scores_tolerant``): naive tab split of the stripped line,
   no quoting; blank, short, bad-index and bad-dict lines are skipped with a
   reason.  Each file's own header (line 0) locates the columns.
-* strict (``read_scores``): CSV with quoting and an explicit schema.
+* strict (``read_scores``): CSV with quoting; columns are found by header name,
+  so files of any column order and of the three-column layout are read alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.constants import (
     SCORE_INDEX_COLUMN, SCORE_PROBS_COLUMN, SCORE_TEXT_COLUMN, SCORE_WEIGHTED_COLUMN,
-    SHARD_MIN_BYTES,
 )
 from ..functions.parse import parse_prob_map, probs_to_text
 from ..functions.text import py_strip
-from .lines import read_indexed
+from .lines import as_list, read_indexed
 
 STATUS_OK = "ok"
-REJECT_REASONS = ("blank", "too_few_columns", "bad_index", "bad_probs")
-
-SCORE_SCHEMA = T.StructType([
-    T.StructField(SCORE_INDEX_COLUMN, T.LongType()),
-    T.StructField(SCORE_PROBS_COLUMN, T.StringType()),
-    T.StructField(SCORE_TEXT_COLUMN, T.StringType()),
-    T.StructField(SCORE_WEIGHTED_COLUMN, T.DoubleType()),
-])
+#: Columns of a score file, their types, and whether a file must have them.
+SCORE_COLUMNS = ((SCORE_INDEX_COLUMN, "bigint", True), (SCORE_PROBS_COLUMN, "string", True),
+                 (SCORE_TEXT_COLUMN, "string", False), (SCORE_WEIGHTED_COLUMN, "double", False))
 
 
 def _pos(cols: Column, name: str) -> Column:
@@ -57,7 +52,7 @@ def score_row_status(df: DataFrame, line: str, h: str) -> DataFrame:
     df = df.withColumn("__itxt", F.get(F.col("__parts"), F.col("__ip"))) \
         .withColumn("__ptxt", F.get(F.col("__parts"), F.col("__pp")))
     df = df.withColumn("__idx", F.when(F.col("__itxt").rlike("^\\s*[+-]?[0-9]+\\s*$"),
-                                       F.trim("__itxt").cast("long"))) \
+                                       F.trim("__itxt").try_cast("long"))) \
         .withColumn("__probs", parse_prob_map("__ptxt"))
     status = (F.when(F.col("__s") == "", F.lit("blank"))
               .when(F.size("__parts") <= F.greatest("__ip", "__pp"), F.lit("too_few_columns"))
@@ -82,16 +77,15 @@ def parse_score_lines(lines: DataFrame, header: Sequence[str] | None = None,
     """Tolerant parse of score-file lines (A4).
 
     ``lines`` holds ``file_col``, ``line_idx_col`` (physical, 0 = header) and
-    ``line_col``.  With ``header=None`` each file's line 0 is its header (a
-    one-row-per-file table, broadcast); otherwise ``header`` applies to all
-    lines and no line is treated as a header.  Output: every body line with
+    ``line_col``.  With ``header=None`` each file's line 0 is its header, found
+    in ``file_first`` on every row; otherwise ``header`` applies to all lines
+    and no line is treated as a header.  An index beyond 64 bits is bad.  Output: every body line with
     ``status`` and, when ok, ``global_idx``, ``probs``, ``output_text`` and
     ``weighted_score`` (the last two when the header names them).
     """
     if header is None:
-        heads = (lines.where(F.col(line_idx_col) == 0)
-                 .select(file_col, F.split(py_strip(line_col), "\t", -1).alias("__h")))
-        body = lines.where(F.col(line_idx_col) > 0).join(F.broadcast(heads), file_col, "left")
+        body = lines.where(F.col(line_idx_col) > 0) \
+            .withColumn("__h", F.split(py_strip("file_first"), "\t", -1)).drop("file_first")
     else:
         body = lines.withColumn("__h", F.array(*[F.lit(c) for c in header]))
     h = F.col("__h")
@@ -110,68 +104,114 @@ def parse_score_lines(lines: DataFrame, header: Sequence[str] | None = None,
 
 def read_scores_tolerant(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Tolerant scan of one or more score files in the given order (A4)."""
-    lines = read_indexed(spark, paths, "physical") \
-        .select("file_ord", F.col("line_in_file").alias("line_idx"), "line")
+    lines = read_indexed(spark, paths, "physical", with_first=True) \
+        .select("file_ord", F.col("line_in_file").alias("line_idx"), "line", "file_first")
     return parse_score_lines(lines)
 
 
-def read_scores(spark: SparkSession, paths: str | Sequence[str],
-                multiline: bool = False) -> DataFrame:
-    """Strict CSV scan with quoting and an explicit all-typed schema."""
-    df = (spark.read.option("sep", "\t").option("header", "true")
-          .option("quote", '"').option("escape", '"')
-          .option("multiLine", str(multiline).lower())
-          .schema(SCORE_SCHEMA).csv(paths if isinstance(paths, str) else list(paths)))
-    return df.withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN))
+def _csv(spark: SparkSession, multiline: bool):
+    return (spark.read.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
+            .option("multiLine", str(multiline).lower()))
+
+
+def _typed(raw: DataFrame, name: str, dtype: str, required: bool) -> Column:
+    """A column by header name; bad values and a missing index raise."""
+    if name not in raw.columns:
+        if required:
+            raise ValueError(f"score file lacks column {name!r}: {raw.columns}")
+        return F.lit(None).cast(dtype).alias(name)
+    value = F.col(f"`{name}`")
+    if dtype != "string":
+        value = F.trim(value).cast(dtype)  # ANSI: bad text raises
+    if name == SCORE_INDEX_COLUMN:
+        value = F.when(value.isNull(), F.raise_error(F.lit("score row without an index")).cast(dtype)).otherwise(value)
+    return value.alias(name)
+
+
+def read_score_rows(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True,
+                    columns: Sequence[tuple[str, str, bool]] = SCORE_COLUMNS) -> DataFrame:
+    """Strict rows with ``file_path`` and ``block_start``.
+
+    Columns are taken by each file's own header: one scan per distinct header
+    among the given paths (a directory counts as one layout).  With
+    ``multiline`` a quoted value may hold line breaks; a file is then one task,
+    so part files and shards are the unit of parallelism.
+    """
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in as_list(paths):  # reads header lines only
+        layouts.setdefault(tuple(_csv(spark, False).csv(path).columns), []).append(path)
+    out = None
+    for files in layouts.values():
+        raw = _csv(spark, multiline).csv(files)
+        part = raw.select(*[_typed(raw, *c) for c in columns], F.col("_metadata.file_path").alias("file_path"),
+                          F.col("_metadata.file_block_start").alias("block_start"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_scores(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
+    """Strict CSV scan with quoting, by header name (A5, T16): the score columns and ``probs``."""
+    rows = read_score_rows(spark, paths, multiline).drop("file_path", "block_start")
+    return rows.withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN))
 
 
 def shard_path(prefix: str, rank: int) -> str:
     return f"{prefix}.rank{rank}.tmp"
 
 
-def shard_files(spark: SparkSession, prefix: str, world_size: int,
-                min_bytes: int = SHARD_MIN_BYTES) -> DataFrame:
+def shard_files(spark: SparkSession, prefix: str, world_size: int, min_bytes: int | None = None) -> DataFrame:
     """Shard files with ``rank``, ``path``, ``length`` and ``present``.
 
-    Uses the ``binaryFile`` source with the content column pruned, so only file
-    metadata is listed; works on any Hadoop file system.
+    Present: a header and at least one more line that isn't blank.  With
+    ``min_bytes`` a file must also be larger than that.  File metadata and
+    non-blank lines are read; works on any Hadoop file system.
     """
     schema = "path string, length long, rank int, present boolean"
+    rank = F.regexp_extract("path", "\\.rank(\\d+)\\.tmp$", 1)
     try:
-        meta = (spark.read.format("binaryFile")
-                .option("pathGlobFilter", "*.tmp")
-                .load(f"{prefix}.rank*.tmp").select("path", "length"))
-    except Exception:  # noqa: BLE001 - no file matches the glob
+        meta = (spark.read.format("binaryFile").load(f"{prefix}.rank*.tmp").select("path", "length")
+                .withColumn("rank", F.when(rank != "", rank.cast("int"))))
+        lines = spark.read.text(f"{prefix}.rank*.tmp").where(py_strip("value") != "") \
+            .withColumn("path", F.col("_metadata.file_path"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rank = F.regexp_extract("path", "\\.rank(\\d+)\\.tmp$", 1)
-    return (meta.withColumn("rank", F.when(rank != "", rank.cast("int")))
-            .where(F.col("rank").isNotNull() & (F.col("rank") < world_size))
-            .withColumn("present", F.col("length") > F.lit(min_bytes)))
+    full = lines.groupBy(rank.cast("int").alias("rank")).agg((F.count(F.lit(1)) > 1).alias("__full"))
+    out = meta.where(F.col("rank").isNotNull() & (F.col("rank") < world_size)).join(full, "rank", "left")
+    present = F.coalesce("__full", F.lit(False))
+    if min_bytes is not None:
+        present = present & (F.col("length") > min_bytes)
+    return out.select("path", "length", "rank", present.alias("present"))
 
 
-def read_score_shards(spark: SparkSession, prefix: str, world_size: int,
-                      min_bytes: int = SHARD_MIN_BYTES, tolerant: bool = False) -> DataFrame:
+def read_score_shards(spark: SparkSession, prefix: str, world_size: int, min_bytes: int | None = None,
+                      tolerant: bool = False, multiline: bool = True) -> DataFrame:
     """Score rows of every present shard ``<prefix>.rank{r}.tmp`` with ``rank``.
 
-    Present = exists and larger than ``min_bytes``.  The present-file list
-    (at most ``world_size`` names) is what the scan is built from; absent
-    shards contribute no rows (``operators.shards.missing_ranks`` reports them).
+    The present-file list (at most ``world_size`` names) is what the scan is
+    built from; absent shards contribute no rows
+    (``operators.shards.missing_ranks`` reports them).
     """
     files = [r.path for r in shard_files(spark, prefix, world_size, min_bytes)
              .where("present").orderBy("rank").select("path").collect()]
+    return read_shard_rows(spark, files, tolerant, multiline)
+
+
+def read_shard_rows(spark: SparkSession, files: Sequence[str], tolerant: bool = False,
+                    multiline: bool = True) -> DataFrame:
+    """Score rows of the given shard files with ``rank``."""
     if not files:
-        raise FileNotFoundError(f"no score shard of {prefix} is present")
+        raise FileNotFoundError("no score shard is present")
     rank = F.regexp_extract("file_path", "\\.rank(\\d+)\\.tmp$", 1).cast("int")
     if tolerant:
-        lines = read_indexed(spark, files, "physical")
-        lines = lines.select("file_ord", F.col("line_in_file").alias("line_idx"), "line",
+        lines = read_indexed(spark, files, "physical", with_first=True)
+        lines = lines.select("file_ord", F.col("line_in_file").alias("line_idx"), "line", "file_first",
                              rank.alias("rank"))
         return parse_score_lines(lines, keep=("rank",))
-    df = (spark.read.option("sep", "\t").option("header", "true")
-          .option("quote", '"').option("escape", '"').schema(SCORE_SCHEMA).csv(files))
-    return (df.withColumn("file_path", F.col("_metadata.file_path"))
-            .withColumn("rank", rank).drop("file_path")
-            .withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN)))
+    rows = read_score_rows(spark, files, multiline)
+    return rows.withColumn("rank", rank).drop("file_path", "block_start") \
+        .withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN))
 
 
 def write_scores(df: DataFrame, path: str, round_dp: int | None = None,

@@ -123,6 +123,7 @@ def test_shards_discovery_and_resume(spark, tmp_path):
     write(f"{prefix}.rank2.tmp", header[:20])            # too small: counts as missing
     meta = {r["rank"]: r["present"] for r in shard_files(spark, prefix, 4).collect()}
     assert meta == {0: True, 1: True, 2: False}
+    assert {r["rank"]: r["present"] for r in shard_files(spark, prefix, 4, min_bytes=10**6).collect()} == {0: False, 1: False, 2: False}
     rows = read_score_shards(spark, prefix, 4)
     assert {r["rank"]: r["count"] for r in shards.shard_counts(rows).collect()} == {0: 10, 1: 10}
     missing = shards.missing_ranks(spark, shards.present_ranks(rows), 4)
