@@ -67,11 +67,15 @@ def with_softmax(df, a: str, out: str):
         .drop("__sm")
 
 
-def label_probs_full(logits, label_ids) -> Column:
-    """Full-vocabulary softmax gathered at the label ids (C2); Σ <= 1."""
-    a = _col(logits)
-    st = softmax_stats(a)
-    return F.array(*[F.exp(F.get(a, F.lit(i)) - st["m"]) / st["s"] for i in label_ids])
+def with_label_probs_full(df, logits: str, label_ids, out: str):
+    """Full-vocabulary softmax gathered at the label ids, as a new column (C2); Σ <= 1.
+
+    The vocabulary is folded once, in a generator of its own: an inlined fold
+    would run for every label's numerator and denominator.
+    """
+    df = df.select("*", F.inline(F.array(F.struct(softmax_stats(logits).alias("__sm")))))
+    probs = F.array(*[F.exp(F.get(logits, F.lit(i)) - F.col("__sm.m")) / F.col("__sm.s") for i in label_ids])
+    return df.withColumn(out, probs).drop("__sm")
 
 
 def label_probs_only(logits, label_ids) -> Column:
@@ -85,10 +89,11 @@ def label_probs_only(logits, label_ids) -> Column:
 
 
 def renormalize(p, n: int) -> Column:
-    """``p_i / Σp`` (C3 identity: label-only softmax from full-vocab probs)."""
+    """``p_i / Σp`` (C3 identity: label-only softmax from full-vocab probs);
+    null where there is no mass to share."""
     xs = _items(p, n)
     s = _sum(xs)
-    return F.array(*[x / s for x in xs])
+    return F.when(s > 0, F.array(*[F.try_divide(x, s) for x in xs]))
 
 
 def weighted_score(p, n: int) -> Column:
@@ -99,9 +104,10 @@ def weighted_score(p, n: int) -> Column:
     return _sum([x * F.lit(float(i)) for i, x in enumerate(xs)]) / F.lit(float(n - 1))
 
 
-def margin(p) -> Column:
-    """Binary margin ``ln p1 - ln p0`` (= logit_1 - logit_0)."""
-    xs = _items(p, 2)
+def margin(p, eps: float = ENTROPY_EPS) -> Column:
+    """Binary margin ``ln p1 - ln p0`` (= logit_1 - logit_0), clipped as in the
+    entropy, so that a probability rounded to 0 has a finite margin (C5)."""
+    xs = [_clip(x, eps, 1.0) for x in _items(p, 2)]
     return F.ln(xs[1]) - F.ln(xs[0])
 
 
@@ -131,16 +137,6 @@ def soften(p, n: int, temperature: float = SOFTEN_TEMPERATURE,
     return F.array(*[x / s for x in e])
 
 
-def temp_delta(p, n: int, temperature: float = SOFTEN_TEMPERATURE) -> Column:
-    """Per-row entropy increase under softening; its mean is C9."""
-    return entropy(soften(p, n, temperature), n) - entropy(p, n)
-
-
-def clamp(p, n: int, eps: float = DIVERGENCE_EPS) -> Column:
-    """Clamp every entry to ``[eps, 1-eps]``."""
-    return F.array(*[_clip(x, eps, 1.0 - eps) for x in _items(p, n)])
-
-
 def hard_label(t, n: int) -> Column:
     """First index of the maximum."""
     xs = _items(t, n)
@@ -169,14 +165,16 @@ def divergence(teacher, student, n: int, kind: str,
     * ``jsd``  ½KL(s‖m) + ½KL(t‖m), m = ½(s+t), both clamped
     * ``fkl``  KL(t‖s)
     * ``rkl``  KL(s‖t)
-    * ``hard`` -ln(s_h / Σs), h = first argmax of t (label-only softmax of the student)
+    * ``hard`` -ln(s_h / Σs), h = first argmax of t (label-only softmax of the
+      student, clipped at the entropy's bound; null without student mass)
     """
     kind = check_kind(kind)
     if kind == "hard":
         s = _items(student, n)
         h = hard_label(teacher, n)
         sh = F.get(F.array(*s), h)
-        return -F.ln(sh / _sum(s))
+        mass = _sum(s)
+        return F.when(mass > 0, -F.ln(_clip(F.try_divide(sh, mass), ENTROPY_EPS, 1.0)))
     t = [_clip(x, eps, 1.0 - eps) for x in _items(teacher, n)]
     s = [_clip(x, eps, 1.0 - eps) for x in _items(student, n)]
     if kind == "fkl":

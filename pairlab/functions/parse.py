@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,7 +147,3 @@ def batch_id(idx, size: int) -> Column:
 def shuffle_key(seed: int, *cols) -> Column:
     """Seeded order key that does not depend on partitioning."""
     return F.xxhash64(F.lit(seed), *[_col(c) for c in cols])
-
-
-def all_of(preds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, preds)

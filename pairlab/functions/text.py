@@ -3,7 +3,7 @@
 All are Column -> Column built on JVM functions (``translate``, ``lower``,
 ``btrim``, ``concat``), so they stay inside whole-stage codegen.  The one
 exception is Unicode NFKC (``normalize_qid``), which Spark has no function
-for; it runs as an Arrow ``pandas_udf`` on the distinct non-ASCII keys only.
+for; it runs as an Arrow ``pandas_udf`` on the non-ASCII keys only.
 """
 
 from __future__ import annotations
@@ -75,31 +75,24 @@ def is_ascii(c) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc_lower_strip(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None
-                 else unicodedata.normalize("NFKC", v).lower().strip())
+    # a page of text shares few keys, so each is normalised once a batch
+    keys = [None if pd.isna(v) else v for v in s]
+    known = {v: v if v is None else unicodedata.normalize("NFKC", v).lower().strip() for v in set(keys)}
+    return pd.Series([known[v] for v in keys], dtype="object")
 
 
 def normalize_qid(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Query-key normalisation: NFKC, lower, Unicode strip.
 
-    ASCII keys (NFKC is the identity on them) are handled by JVM functions.
-    Only the *distinct* non-ASCII keys go through Python, and only the
-    non-ASCII rows are joined back, so the Python work scales with the key
-    vocabulary, not with the row count.  Null keys become ``"none"``
-    (``str(None).lower()``).
+    One pass over ``df``: ASCII keys (NFKC is the identity on them) are handled
+    by JVM functions, and the Arrow function gets a null for them, so Python
+    sees only non-ASCII keys.  Null keys become ``"none"`` (``str(None).lower()``).
     """
-    out = out or col
     key = F.coalesce(F.col(col).cast("string"), F.lit("None"))
-    tagged = df.withColumn("__qraw", key).withColumn("__qascii", is_ascii("__qraw"))
-    fast = (tagged.where("__qascii")
-            .withColumn(out, F.btrim(F.lower("__qraw"), F.lit(_ASCII_WS))))
-    slow = tagged.where(~F.col("__qascii"))
-    mapping = (slow.select("__qraw").distinct()
-               .withColumn("__qnorm", _nfkc_lower_strip("__qraw")))
-    slow = (slow.join(mapping, "__qraw", "left")
-            .withColumn(out, F.col("__qnorm")).drop("__qnorm"))
-    cols = [c for c in fast.columns if c not in ("__qraw", "__qascii")]
-    return fast.select(cols).unionByName(slow.select(cols))
+    staged = df.withColumn("__qraw", key)
+    staged = staged.withColumn("__qnorm", _nfkc_lower_strip(F.when(~is_ascii("__qraw"), F.col("__qraw"))))
+    plain = F.btrim(F.lower("__qraw"), F.lit(_ASCII_WS))
+    return staged.withColumn(out or col, F.coalesce("__qnorm", plain)).drop("__qraw", "__qnorm")
 
 
 def doc_text(title, passage, style: str = "prompt") -> Column:
@@ -183,14 +176,3 @@ def falsy_to_empty(c, dtype) -> Column:
     else:
         falsy = c.isNull()
     return F.when(falsy, F.lit("")).otherwise(c.cast("string"))
-
-
-def with_pair_defaults(df: DataFrame, fields=("query", "title", "passage"),
-                       null_as_empty: bool = False) -> DataFrame:
-    """Missing fields become "" (B13); with ``null_as_empty`` nulls do too."""
-    for f in fields:
-        if f not in df.columns:
-            df = df.withColumn(f, F.lit(""))
-        elif null_as_empty:
-            df = df.withColumn(f, F.coalesce(F.col(f).cast("string"), F.lit("")))
-    return df

@@ -11,12 +11,15 @@ from pyspark.sql import types as T
 
 def eval_columns(df: DataFrame, query_key: str, label_key: str, score_col: str | None = None,
                  qid: str = "qid", rel: str = "rel", score: str = "score") -> DataFrame:
-    """Query id as text, label and score as DOUBLE."""
-    out = df.withColumn(qid, F.col(query_key).cast("string")) \
-        .withColumn(rel, F.col(label_key).cast("double"))
-    if score_col is not None:
-        out = out.withColumn(score, F.col(score_col).cast("double"))
-    return out
+    """Query id as text, label and score as DOUBLE (B21); a null, absent or
+    non-numeric label or score raises."""
+    out = df.withColumn(qid, F.col(query_key).cast("string")).withColumn(rel, _number(label_key))
+    return out if score_col is None else out.withColumn(score, _number(score_col))
+
+
+def _number(name: str) -> Column:
+    absent = F.raise_error(F.lit(f"null {name} in evaluation rows")).cast("double")
+    return F.when(F.col(name).isNull(), absent).otherwise(F.col(name).cast("double"))
 
 
 def assert_same_count(a: DataFrame, b: DataFrame, what: str = "rows") -> int:
@@ -48,10 +51,12 @@ def _py_round(x: pd.Series, dp: pd.Series) -> pd.Series:
 
 def round_py(c, dp: int) -> Column:
     """Python ``round(x, dp)`` (B23, T8): correctly rounded from the binary
-    value, which neither ``round`` nor ``bround`` is.  Used on report rows
-    only (one per run), never on the row-level data."""
-    col = F.col(c) if isinstance(c, str) else c
-    return _py_round(col.cast("double"), F.lit(dp))
+    value.  ``round`` differs from it only next to the middle of two results,
+    so only those values go through Python; the others are null there."""
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scaled = F.abs(col) * F.lit(10.0 ** dp)
+    near_middle = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-3
+    return F.coalesce(_py_round(F.when(near_middle | (scaled > 1e11), col), F.lit(dp)), F.round(col, dp))
 
 
 def round_report(df: DataFrame, dp: int = 4) -> DataFrame:

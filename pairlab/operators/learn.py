@@ -34,6 +34,9 @@ from ..functions.text import clamp_label, doc_text, label_int, normalize_field
 # 2 * NUM_FEATURES * num_labels doubles, so this is the knob for speed.
 NUM_FEATURES = 1 << 14
 
+# What separates tokens: anything but letters, marks, digits and underscore of any script.
+NON_WORD = r"(?U)\W+"
+
 
 def pair_features(pairs: DataFrame) -> DataFrame:
     """Normalised query and document text and the query-term overlap."""
@@ -41,46 +44,52 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     d = normalize_field(doc_text(F.coalesce("title", F.lit("")), F.coalesce("passage", F.lit("")),
                                  "cross"))
     df = pairs.withColumn("__qtext", q).withColumn("__dtext", d)
-    qt = F.array_distinct(F.split(F.col("__qtext"), "\\W+"))
-    dt = F.array_distinct(F.split(F.col("__dtext"), "\\W+"))
+    qt = F.array_distinct(F.split(F.col("__qtext"), NON_WORD))
+    dt = F.array_distinct(F.split(F.col("__dtext"), NON_WORD))
     qt = F.filter(qt, lambda x: x != "")
     overlap = F.size(F.array_intersect(qt, dt)) / F.greatest(F.size(qt), F.lit(1))
     return df.withColumn("__overlap", overlap.cast("double"))
 
 
-def _pipeline(num_labels: int, weight_col: str | None, max_iter: int, reg: float,
-              num_features: int = NUM_FEATURES) -> Pipeline:
-    stages = [
-        RegexTokenizer(inputCol="__qtext", outputCol="__qtok", pattern="\\W+"),
-        RegexTokenizer(inputCol="__dtext", outputCol="__dtok", pattern="\\W+"),
+def _features(num_features: int) -> Pipeline:
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol="__qtext", outputCol="__qtok", pattern=NON_WORD),
+        RegexTokenizer(inputCol="__dtext", outputCol="__dtok", pattern=NON_WORD),
         HashingTF(inputCol="__qtok", outputCol="__qtf", numFeatures=num_features),
         HashingTF(inputCol="__dtok", outputCol="__dtf", numFeatures=num_features),
         IDF(inputCol="__qtf", outputCol="__qv"),
         IDF(inputCol="__dtf", outputCol="__dv"),
         VectorAssembler(inputCols=["__qv", "__dv", "__overlap"], outputCol="features"),
-    ]
-    lr = LogisticRegression(featuresCol="features", labelCol="__label", family="multinomial",
-                            maxIter=max_iter, regParam=reg)
-    if weight_col:
-        lr.setWeightCol(weight_col)
-    return Pipeline(stages=stages + [lr])
+    ])
+
 
+def _fit(pairs: DataFrame, label_rows: Callable[[DataFrame], DataFrame], weight_col: str | None,
+         max_iter: int, reg: float, num_features: int = NUM_FEATURES) -> PipelineModel:
+    """Fit features on the pairs, then the classifier on their labelled rows.
 
-def _fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    """Fit with the training rows persisted (memory, spilling to disk) for the
-    passes of IDF and the L-BFGS iterations; lost blocks are recomputed."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    Document frequencies count each pair once, and only the feature vectors
+    and labels are persisted (memory, spilling to disk) for the L-BFGS passes;
+    lost blocks are recomputed.
+    """
+    features = _features(num_features).fit(pairs)
+    rows = label_rows(features.transform(pairs)).select("features", "__label", *([weight_col] if weight_col else []))
+    classifier = LogisticRegression(featuresCol="features", labelCol="__label", family="multinomial",
+                                    maxIter=max_iter, regParam=reg)
+    if weight_col:
+        classifier.setWeightCol(weight_col)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return pipeline.fit(train)
+        return PipelineModel([*features.stages, classifier.fit(rows)])
     finally:
-        train.unpersist()
+        rows.unpersist()
 
 
 def fit_hard(pairs: DataFrame, num_labels: int, max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
-    """Fit from hard labels (I1): ``int(label)``, clamped to 0/1 for two labels."""
-    lab = clamp_label(label_int(F.coalesce(F.col("label").cast("string"), F.lit("0"))), num_labels)
-    train = pair_features(pairs).withColumn("__label", lab.cast("double"))
-    return _fit(_pipeline(num_labels, None, max_iter, reg), train)
+    """Fit from hard labels (I1): ``int(label)``, clamped to 0/1 for two labels;
+    0 without a label column, and a null label raises."""
+    label = label_int(F.col("label").cast("string")) if "label" in pairs.columns else F.lit(0)
+    lab = clamp_label(label, num_labels).cast("double")
+    return _fit(pair_features(pairs).withColumn("__label", lab), lambda rows: rows, None, max_iter, reg)
 
 
 def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "teacher_probs",
@@ -88,9 +97,9 @@ def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "
     """Fit from teacher distributions.
 
     ``kind='fkl'``: one row per (pair, label) weighted by the teacher
-    probability (``posexplode``); ``kind='hard'``: the teacher's first argmax.
-    ``probs`` may be JSON text, a map (``{"0": p, ...}``) or an array in label
-    order.
+    probability (``posexplode`` of the feature rows); ``kind='hard'``: the
+    teacher's first argmax.  ``probs`` may be JSON text, a map
+    (``{"0": p, ...}``) or an array in label order.
     """
     if kind not in ("fkl", "hard"):
         raise ValueError("kind must be 'fkl' or 'hard'")
@@ -101,12 +110,13 @@ def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "
         vec = prob_vector(decode_probs(soft, probs), num_labels, "zero")
     base = pair_features(soft).withColumn("__t", vec)
     if kind == "hard":
-        train = base.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))
-        return _fit(_pipeline(num_labels, None, max_iter, reg), train)
-    train = (base.select("*", F.posexplode("__t").alias("__lab", "__w"))
-             .where(F.col("__w") > 0)
-             .withColumn("__label", F.col("__lab").cast("double")))
-    return _fit(_pipeline(num_labels, "__w", max_iter, reg), train)
+        base = base.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))
+        return _fit(base, lambda rows: rows, None, max_iter, reg)
+
+    def per_label(rows: DataFrame) -> DataFrame:
+        return (rows.select("features", F.posexplode("__t").alias("__lab", "__w")).where(F.col("__w") > 0)
+                .withColumn("__label", F.col("__lab").cast("double")))
+    return _fit(base, per_label, "__w", max_iter, reg)
 
 
 def score_pairs(model: PipelineModel, pairs: DataFrame, num_labels: int) -> DataFrame:

@@ -46,11 +46,17 @@ def index_range(scores: DataFrame, index: str = "global_idx") -> DataFrame:
 
 
 def union_shards(shards: Sequence[DataFrame], check_unique: str | None = None) -> DataFrame:
-    """UNION ALL of shard tables, duplicates kept (H1)."""
+    """UNION ALL of shard tables, duplicates kept (H1).  With ``check_unique``
+    (an index column) a duplicate raises when the rows are read."""
     out = shards[0]
     for s in shards[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
-    return out
+    if check_unique is None:
+        return out
+    repeated = duplicate_indexes(out, check_unique).select(check_unique, F.lit(True).alias("__twice"))
+    told = F.raise_error(F.concat(F.lit("index in two shards: "), F.col(check_unique).cast("string")))
+    kept = F.when(F.col("__twice"), told.cast(out.schema[check_unique].dataType)).otherwise(F.col(check_unique))
+    return out.join(repeated, check_unique, "left").withColumn(check_unique, kept).select(*out.columns)
 
 
 def duplicate_indexes(df: DataFrame, index: str = "global_idx") -> DataFrame:
@@ -87,14 +93,14 @@ def merge_soft_labels(pairs: DataFrame, scores: DataFrame, filter_invalid: bool
     """Soft-label table: written pairs with their teacher distribution.
 
     Columns ``global_idx, query, title, passage, label, teacher_probs``; label
-    is ``int(label)`` with absent -> 0; ``teacher_probs`` is JSON text
+    is ``int(label)``, 0 without a label column, and a null label raises; ``teacher_probs`` is JSON text
     (``as_json``) or the map.
     """
     m = merge_status(pairs, scores, filter_invalid, min_mass, bounded)
     w = m.where(F.col("status") == "written")
     probs = F.to_json("__probs") if as_json else F.col("__probs")
     return w.select("global_idx", "query", "title", "passage",
-                    label_int(F.coalesce(F.col("label").cast("string"), F.lit("0"))).alias("label"),
+                    (label_int("label") if "label" in pairs.columns else F.lit(0)).alias("label"),
                     probs.alias("teacher_probs"))
 
 

@@ -5,15 +5,18 @@ column: one long table ``(run, dataset, row, probs, label, qid)`` is
 evaluated by grouping, so parallelism over runs and over rows is the same
 thing and every metric is a partial aggregate.
 
-Passes over the score table for a leaderboard: three for NDCG (two top-K
-branches and the document count, see ``ranking``) and one for calibration and
+Passes over the score table for a leaderboard: two for NDCG (one ranked top-K
+branch and the document count, see ``ranking``) and one for calibration and
 sharpness together (a single ``groupBy(run, dataset, bin)`` partial aggregate).
+Rows whose probabilities hold no mass have no sharpness; they are counted and
+named in the run's ``error``, and the means are over the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ from ..functions.constants import ECE_BINS, SOFTEN_TEMPERATURE
 from .calibration import bin_index
 from .ranking import ndcg_per_query
 from .sharpness import with_sharpness
-from ..session import ensure_checkpoint_dir
+from ..session import materialized
 
 RUN_KEYS = ("run", "dataset")
 
@@ -64,7 +67,7 @@ def calibration_sharpness(scores: DataFrame, score: str, label: str, probs: str,
         row = row.withColumn("__mg", F.lit(None).cast("double"))
     row = row.withColumn("__bin", bin_index("__s", n_bins))
     per_bin = row.groupBy(*keys, "__bin").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("__s").alias("ss"), F.sum("__l").alias("sl"),
+        F.count(F.lit(1)).alias("n"), F.count("__ent").alias("nv"), F.sum("__s").alias("ss"), F.sum("__l").alias("sl"),
         F.sum("__ent").alias("sent"), F.sum("__mx").alias("smx"), F.sum("__sent").alias("ssent"),
         F.count("__mg").alias("nm"), F.avg("__mg").alias("mm"),
         (F.var_pop("__mg") * F.count("__mg")).alias("m2"))
@@ -75,19 +78,19 @@ def calibration_sharpness(scores: DataFrame, score: str, label: str, probs: str,
     binned = F.col("__bin").isNotNull()
     gap = F.abs(F.col("ss") / F.col("n") - F.col("sl") / F.col("n")) * F.col("n")
     out = per_bin.groupBy(*keys).agg(
-        F.sum("n").alias("num_samples"),
+        F.sum("n").alias("num_samples"), F.sum("nv").alias("__nv"),
         F.sum(F.when(binned, gap).otherwise(0.0)).alias("__gap"),
         F.sum("sent").alias("__sent"), F.sum("smx").alias("__smx"), F.sum("ssent").alias("__ssent"),
         F.sum("nm").alias("__nm"), F.first("__mall").alias("mean_margin"),
         F.sum(F.coalesce(F.col("m2"), F.lit(0.0)) +
               F.coalesce(F.col("nm") * F.pow(F.col("mm") - F.col("__mall"), 2), F.lit(0.0)))
         .alias("__m2"))
-    n = F.col("num_samples")
-    cols = [*keys, "num_samples",
+    n, nv = F.col("num_samples"), F.col("__nv")
+    cols = [*keys, "num_samples", (n - nv).alias("num_without_mass"),
             F.when(n == 0, F.lit(0.0)).otherwise(F.col("__gap") / n).alias("ece"),
-            (F.col("__sent") / n).alias("mean_entropy"),
-            (F.col("__smx") / n).alias("mean_maxprob"),
-            ((F.col("__ssent") - F.col("__sent")) / n).alias("temp_sensitivity")]
+            F.try_divide("__sent", nv).alias("mean_entropy"),
+            F.try_divide("__smx", nv).alias("mean_maxprob"),
+            F.try_divide(F.col("__ssent") - F.col("__sent"), nv).alias("temp_sensitivity")]
     if num_labels == 2:
         cols += ["mean_margin", F.when(F.col("__nm") > 0, F.col("__m2") / F.col("__nm"))
                  .alias("var_margin")]
@@ -108,7 +111,9 @@ def leaderboard(scores: DataFrame, expected: DataFrame | None = None, qid: str =
     ndcg = pq.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_queries"),
                                  F.avg("ndcg5").alias("ndcg5"), F.avg("ndcg10").alias("ndcg10"))
     cs = calibration_sharpness(scores, score, rel, probs, num_labels, label_max, keys=keys)
-    out = ndcg.join(cs, list(keys), "inner").withColumn("error", F.lit(None).cast("string"))
+    lacking = F.when(F.col("num_without_mass") > 0, F.concat(
+        F.col("num_without_mass").cast("string"), F.lit(" rows without probability mass")))
+    out = ndcg.join(cs, list(keys), "inner").withColumn("error", lacking).drop("num_without_mass")
     if expected is not None:
         exp = expected.select(*keys).distinct().withColumn("__exp", F.lit(True))
         out = out.join(exp, list(keys), "full_outer") \
@@ -124,20 +129,32 @@ def evaluate_runs(scores: DataFrame, pairs: DataFrame, join_keys: Sequence[str]
 
     ``scores``: ``run, dataset, <row key>, probs[, score]``; ``pairs``:
     ``dataset, <row key>, qid, rel``.  Without a ``score`` column the weighted
-    score of ``probs`` is used (C4).  ``materialize`` writes the joined narrow
-    table once as a reliable checkpoint (the session's ``spark.checkpoint.dir``)
-    and evaluates from it.
+    score of ``probs`` is used (C4).  A run whose scores do not match the data
+    set's pairs one to one gets an ``error`` row with no metrics (B22).
+    ``materialize`` writes the joined narrow table once as Parquet under the
+    session's ``spark.checkpoint.dir`` and evaluates from it, so each metric
+    branch reads its own columns instead of running the join again.
     """
     n = kw.get("num_labels", 2)
+    keys = list(kw.get("keys", RUN_KEYS))
     if "score" not in scores.columns:
         scores = scores.withColumn("score", dist.weighted_score("probs", n))
     joined = scores.join(pairs, list(join_keys), "inner")
     if materialize:
-        # Four metric branches read the joined rows; without this each would
-        # re-run the join (their column sets differ, so no exchange is reused).
-        ensure_checkpoint_dir(joined.sparkSession)
-        joined = joined.checkpoint(eager=True)
-    return leaderboard(joined, expected=expected, **kw)
+        joined = materialized(joined, "runs")
+    board = leaderboard(joined, expected=expected, **kw)
+    shared = [k for k in keys if k in join_keys]
+    counts = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ns")).join(
+        pairs.groupBy(*shared).agg(F.count(F.lit(1)).alias("__np")), shared, "left")
+    board = board.join(counts, keys, "full_outer")
+    differ = F.col("__ns").isNotNull() & ~(
+        F.col("__ns").eqNullSafe(F.col("__np")) & F.col("__ns").eqNullSafe(F.col("num_samples")))
+    text = F.format_string("rows differ: %d scores, %d pairs, %d matched", "__ns",
+                           F.coalesce("__np", F.lit(0)), F.coalesce("num_samples", F.lit(0)))
+    metrics = [F.when(~differ, F.col(c)).alias(c) for c in board.columns
+               if c not in (*keys, "num_samples", "error", "__ns", "__np")]
+    return board.select(*keys, "num_samples", *metrics, F.when(differ, text).otherwise(F.col("error")).alias("error")) \
+        .orderBy(*keys)
 
 
 def teacher_report(scores: DataFrame, num_labels: int, path_col: str = "path",
@@ -169,6 +186,8 @@ def done_combinations(spark, path: str, keys: Sequence[str] = RUN_KEYS) -> DataF
     schema = ", ".join(f"{k} string" for k in keys)
     try:
         store = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no store yet
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)  # no store yet
     return store.select(*keys).distinct()

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dist
 from ..functions.constants import SOFTEN_TEMPERATURE
@@ -34,8 +35,8 @@ def with_sharpness(df: DataFrame, p, n: int, temperature: float = SOFTEN_TEMPERA
             "__sent": dist.entropy("__soft", n)}
     if n == 2:
         cols["__mg"] = dist.margin("__q")
-    for k, v in cols.items():
-        df = df.withColumn(k, v)
+    for k, v in cols.items():  # clipping turns a missing probability into a small one, so ask first
+        df = df.withColumn(k, F.when(F.col("__q").isNotNull(), v))
     return df.drop("__q", "__soft")
 
 
@@ -69,14 +70,27 @@ def polarization(df: DataFrame, probs: str, n: int, by: Sequence[str] = (),
     return rows.groupBy(*by).agg(*aggs)
 
 
+def size_number(c) -> Column:
+    """The parameter count that a size tag such as ``1.5B`` or ``560M`` names; null without one."""
+    tag = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*([KMBT])(?![A-Za-z])"
+    number = F.regexp_extract(c, tag, 1).try_cast("double")
+    unit = F.upper(F.regexp_extract(c, tag, 2))
+    scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).when(unit == "T", 1e12)
+    return number * scale
+
+
 def polarization_trend(report: DataFrame, size_col: str = "teacher_size",
                        by: Sequence[str] = ()) -> DataFrame:
     """Along increasing teacher size, does every step sharpen?
 
     A step sharpens when mean entropy falls and margin mean and variance rise.
-    The report has one row per teacher, so the window is tiny.
+    Sizes written as text (``7B``, ``560M``) are ordered by their number.  The
+    report has one row per teacher, so the window is tiny.
     """
-    w = Window.partitionBy(*by).orderBy(size_col) if by else Window.orderBy(size_col)
+    order = [F.col(size_col)]
+    if isinstance(report.schema[size_col].dataType, T.StringType):
+        order.insert(0, size_number(size_col).asc_nulls_first())
+    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     steps = report
     conds = [F.col("mean_entropy") < F.lag("mean_entropy").over(w)]
     if "mean_margin" in report.columns:

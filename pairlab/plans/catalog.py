@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import learn_queries, merge_queries, metric_queries, run_queries, text_queries  # noqa: F401
+from . import file_queries, learn_queries, merge_queries, metric_queries, run_queries, text_queries  # noqa: F401
 from .registry import oracles, queries
 
 __all__ = ["queries", "oracles"]

@@ -1,7 +1,7 @@
 """Registered queries: fitted scorers, bring-your-own scoring, resume (V3, V4).
 
-Iterative model fitting has no SQL form: these are rows-only checks; the
-tests compare them with brute-force expectations on small fixtures.
+Iterative model fitting has no SQL form: ``fit_*_score`` are rows-only checks,
+and ``fit_*_check`` states in SQL what holds of any proper fit.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.parse import prob_vector
 from ..operators import learn, merge, shards
 from . import fixtures as fx
 from .merge_queries import _ok
@@ -26,7 +27,7 @@ def _score_cols(df):
 @register("fit_hard_score")
 def q_fit_hard_score(spark, sf_dir):
     pairs = fx.pairs_text(spark, sf_dir)
-    model = learn.fit_hard(pairs, NL, max_iter=15)
+    model = learn.fit_hard(pairs, NL)
     return _score_cols(learn.score_pairs(model, pairs, NL))
 
 
@@ -35,7 +36,7 @@ def q_fit_soft_score(spark, sf_dir):
     pairs = fx.pairs_text(spark, sf_dir)
     scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
     soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
-    model = learn.fit_soft(soft, NL, kind="fkl", max_iter=15)
+    model = learn.fit_soft(soft, NL, kind="fkl")
     return _score_cols(learn.score_pairs(model, pairs, NL))
 
 
@@ -64,16 +65,60 @@ def q_score_with(spark, sf_dir):
     return learn.score_with(pairs, _overlap_scorer, "global_idx long, score double")
 
 
-@register("resume_scores")
+def _check(spark, sf_dir, scored, truth):
+    """What SQL can state of a fit: every pair is scored once, probabilities sum
+    to 1, and the scores' cross-entropy with the labels is below the label prior's."""
+    p = F.array(*[F.greatest(F.try_element_at("probs", F.lit(str(i))), F.lit(1e-12)) for i in range(NL)])
+    rows = scored.select("global_idx", p.alias("p")).join(truth.select("global_idx", "w"), "global_idx", "left")
+    loss = -sum((F.get("w", i) * F.ln(F.get("p", i)) for i in range(NL)), F.lit(0.0))
+    out = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("global_idx").alias("pairs"),
+                   F.round(F.min(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)), 6).alias("least_mass"),
+                   F.round(F.max(F.aggregate("p", F.lit(0.0), lambda a, x: a + x)), 6).alias("most_mass"),
+                   F.avg(loss).alias("loss"), *[F.avg(F.get("w", i)).alias(f"w{i}") for i in range(NL)])
+    prior = -sum((F.col(f"w{i}") * F.ln(F.greatest(F.col(f"w{i}"), F.lit(1e-12))) for i in range(NL)), F.lit(0.0))
+    return out.select("rows", "pairs", "least_mass", "most_mass", (F.col("loss") < prior).alias("beats_prior"))
+
+
+_CHECK_SQL = """SELECT count(*) AS rows, count(DISTINCT doc_id) AS pairs,
+  CAST(1.0 AS DOUBLE) AS least_mass, CAST(1.0 AS DOUBLE) AS most_mass, TRUE AS beats_prior FROM documents"""
+
+
+@register("fit_hard_check", sql=_CHECK_SQL)
+def q_fit_hard_check(spark, sf_dir):
+    pairs = fx.pairs_text(spark, sf_dir)
+    truth = pairs.select("global_idx", F.array(*[(F.col("label") == i).cast("double") for i in range(NL)]).alias("w"))
+    return _check(spark, sf_dir, learn.score_pairs(learn.fit_hard(pairs, NL), pairs, NL), truth)
+
+
+@register("fit_soft_check", sql=_CHECK_SQL)
+def q_fit_soft_check(spark, sf_dir):
+    pairs = fx.pairs_text(spark, sf_dir)
+    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
+    soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
+    truth = soft.select("global_idx", prob_vector("teacher_probs", NL).alias("w"))
+    return _check(spark, sf_dir, learn.score_pairs(learn.fit_soft(soft, NL, kind="fkl"), pairs, NL), truth)
+
+
+def _length_scorer(batch: pd.DataFrame) -> pd.DataFrame:
+    """A deterministic scorer: the share of a document's length in 1000 characters."""
+    p = batch["passage"].fillna("").str.len().clip(upper=1000) / 1000
+    return pd.DataFrame({"global_idx": batch["global_idx"], "output_text": batch["docid"], "weighted_score": p})
+
+
+@register("resume_scores", sql=f"""WITH v AS ({fx.V3_SQL})
+SELECT global_idx, docid AS output_text, ROUND(least(length(passage), 1000) / 1000.0, 6) AS weighted_score,
+  global_idx % {fx.WORLD_SIZE} NOT IN ({", ".join(map(str, fx.MISSING_RANKS))}) AS was_there FROM v""")
 def q_resume_scores(spark, sf_dir):
     """Scores exist for shards other than 2 and 5; resume fills those in."""
+    schema = "global_idx long, output_text string, weighted_score double"
     pairs = fx.pairs_text(spark, sf_dir)
-    model = learn.fit_hard(pairs, NL, max_iter=10)
     sharded = shards.with_shard(pairs, fx.WORLD_SIZE)
     have = sharded.where(~F.col("rank").isin(*fx.MISSING_RANKS)).drop("rank")
-    existing = learn.score_pairs(model, have, NL)
+    existing = learn.score_with(have, _length_scorer, schema).withColumn("was_there", F.lit(True))
     present = shards.present_ranks(shards.with_shard(existing, fx.WORLD_SIZE))
     missing = shards.missing_ranks(spark, present, fx.WORLD_SIZE)
-    out = learn.resume_scores(pairs, existing, lambda p: learn.score_pairs(model, p, NL),
-                              world_size=fx.WORLD_SIZE, missing_ranks=missing)
-    return _score_cols(out)
+
+    def scorer(p):
+        return learn.score_with(p, _length_scorer, schema).withColumn("was_there", F.lit(False))
+    out = learn.resume_scores(pairs, existing, scorer, world_size=fx.WORLD_SIZE, missing_ranks=missing)
+    return out.select("global_idx", "output_text", r6("weighted_score"), "was_there")

@@ -131,9 +131,10 @@ _SHARDS_CTE = f"sh AS ({fx.V5_SHARDS_SQL})"
 
 
 def _shard_frames(spark, sf_dir):
+    """Two tables, of the lower and the upper ranks: two scans whatever the world size."""
     rows = fx.shard_rows(spark, sf_dir)
-    return [rows.where(F.col("rank") == r) for r in range(fx.WORLD_SIZE)
-            if r not in fx.MISSING_RANKS]
+    half = fx.WORLD_SIZE // 2
+    return [rows.where(F.col("rank") < half), rows.where(F.col("rank") >= half)]
 
 
 @register("shard_counts", sql=f"""WITH {_SHARDS_CTE}

@@ -98,8 +98,12 @@ def q_top_k(spark, sf_dir):
 
 # -- calibration -------------------------------------------------------------
 
+#: The 11 doubles of an even split of [0, 1] into ten bins.
+_BOUNDS = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
+
+
 def _bins_sql(score: str) -> str:
-    b = calibration.bin_bounds(10)
+    b = _BOUNDS
     parts = []
     for i in range(10):
         lo, hi = f"CAST({b[i]!r} AS DOUBLE)", f"CAST({b[i + 1]!r} AS DOUBLE)"
@@ -226,8 +230,8 @@ def _softmax_full_sql() -> str:
 @register("softmax_full", sql=_softmax_full_sql())
 def q_softmax_full(spark, sf_dir):
     v = fx.logits(spark, sf_dir)
-    p = dist.label_probs_full("logits", _IDS)
-    return v.select("vec_id", *[r6(F.get(p, j), f"p{j}") for j in range(len(_IDS))])
+    v = dist.with_label_probs_full(v, "logits", _IDS, "p")
+    return v.select("vec_id", *[r6(F.get("p", j), f"p{j}") for j in range(len(_IDS))])
 
 
 def _softmax_label_sql() -> str:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _driver_memory(cap_gb: int = 16) -> str:
@@ -60,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder "
                            "(all executors must see it) before running this job")
     path = tempfile.mkdtemp(prefix="pairlab-ckpt-")
@@ -68,7 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A path under the checkpoint dir for materialising an intermediate table."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a Parquet table under the checkpoint dir and read
+    back: its lineage ends there, and later branches read only their columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

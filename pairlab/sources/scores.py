@@ -155,6 +155,10 @@ def read_scores(spark: SparkSession, paths: str | Sequence[str], multiline: bool
     return rows.withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN))
 
 
+#: A shard is a file, or a directory of part files as Spark writes them.
+SHARD_RANK = r"\.rank(\d+)\.tmp(?:/[^/]*)?$"
+
+
 def shard_path(prefix: str, rank: int) -> str:
     return f"{prefix}.rank{rank}.tmp"
 
@@ -167,7 +171,7 @@ def shard_files(spark: SparkSession, prefix: str, world_size: int, min_bytes: in
     non-blank lines are read; works on any Hadoop file system.
     """
     schema = "path string, length long, rank int, present boolean"
-    rank = F.regexp_extract("path", "\\.rank(\\d+)\\.tmp$", 1)
+    rank = F.regexp_extract("path", SHARD_RANK, 1)
     try:
         meta = (spark.read.format("binaryFile").load(f"{prefix}.rank*.tmp").select("path", "length")
                 .withColumn("rank", F.when(rank != "", rank.cast("int"))))
@@ -177,8 +181,8 @@ def shard_files(spark: SparkSession, prefix: str, world_size: int, min_bytes: in
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    full = lines.groupBy(rank.cast("int").alias("rank")).agg((F.count(F.lit(1)) > 1).alias("__full"))
-    out = meta.where(F.col("rank").isNotNull() & (F.col("rank") < world_size)).join(full, "rank", "left")
+    full = lines.groupBy("path").agg((F.count(F.lit(1)) > 1).alias("__full"))
+    out = meta.where(F.col("rank").isNotNull() & (F.col("rank") < world_size)).join(full, "path", "left")
     present = F.coalesce("__full", F.lit(False))
     if min_bytes is not None:
         present = present & (F.col("length") > min_bytes)
@@ -203,7 +207,7 @@ def read_shard_rows(spark: SparkSession, files: Sequence[str], tolerant: bool =
     """Score rows of the given shard files with ``rank``."""
     if not files:
         raise FileNotFoundError("no score shard is present")
-    rank = F.regexp_extract("file_path", "\\.rank(\\d+)\\.tmp$", 1).cast("int")
+    rank = F.regexp_extract("file_path", SHARD_RANK, 1).cast("int")
     if tolerant:
         lines = read_indexed(spark, files, "physical", with_first=True)
         lines = lines.select("file_ord", F.col("line_in_file").alias("line_idx"), "line", "file_first",

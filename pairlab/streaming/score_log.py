@@ -58,4 +58,5 @@ def start_score_log(spark: SparkSession, shard_dir: str, log_path: str, checkpoi
 def latest_scores(spark: SparkSession, log_path: str) -> DataFrame:
     """Current scores: last row per ``global_idx`` across all batches."""
     log = spark.read.parquet(log_path)
-    return latest_by_index(log, order=("batch_id", "file_ord", "line_idx"))
+    return latest_by_index(log, order=("batch_id", "file_ord", "line_idx"),
+                           payload=("probs", "output_text", "weighted_score"))

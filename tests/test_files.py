@@ -214,7 +214,9 @@ def test_extract_job(spark, tmp_path):
         .coalesce(1).write.parquet(str(src / "a.parquet"))
     out = str(tmp_path / "out")
     counts = jobs.extract_to_jsonl(spark, str(src), out)
-    assert sum(r["count"] for r in counts.collect()) == 2
+    per_file = counts.collect()
+    assert [r["count"] for r in per_file if r["file_name"]] == [2]
+    assert [r["count"] for r in per_file if r["file_name"] is None] == [2]
     files = [os.path.join(out, f) for f in os.listdir(out) if f.endswith(".json")]
     rows = [json.loads(line) for f in files for line in open(f, encoding="utf-8") if line.strip()]
     assert sorted(tuple(r.values()) for r in rows) == [("", "", "p2"), ("q1", "t1", "p1")]

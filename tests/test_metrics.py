@@ -154,9 +154,9 @@ def test_softmax_family(spark):
     df = spark.createDataFrame([(logits,)], "a array<double>")
     e = np.exp(np.array(logits) - max(logits))
     full = e / e.sum()
-    r = dist.with_softmax(df, "a", "sm").select("sm", dist.label_probs_full("a", [1, 2]).alias("full"),
-                  dist.label_probs_only("a", [1, 2]).alias("only"),
-                  dist.renormalize(dist.label_probs_full("a", [1, 2]), 2).alias("renorm")).first()
+    df = dist.with_label_probs_full(df, "a", [1, 2], "full")
+    r = dist.with_softmax(df, "a", "sm").select("sm", "full", dist.label_probs_only("a", [1, 2]).alias("only"),
+                                                dist.renormalize("full", 2).alias("renorm")).first()
     assert r["sm"] == pytest.approx(list(full))
     assert r["full"] == pytest.approx([full[1], full[2]])
     assert r["only"] == pytest.approx(list(np.exp([2.0, 0.5]) / np.exp([2.0, 0.5]).sum()))
