@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import from_planes, hashed_words, mix64, planes, powers, text_size
 
 WINDOW, BLOCK = 20, 10
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 MAX_BUCKETS = 1 << 18
 NULL_ID = np.iinfo(np.int64).max
 
