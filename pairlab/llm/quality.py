@@ -27,7 +27,8 @@ from .common import SPACES, words
 
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 40_000
-THRESHOLD = -0.1  # nats per n-gram
+PSEUDO = 20
+THRESHOLD = -0.06  # nats per n-gram
 SCALE = 10_000  # weights are whole numbers of 1/SCALE nats
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -55,19 +56,21 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame) -> list[int]:
-    """One weight per bucket: ``SCALE * (ln p_trusted - ln p_corpus)`` with add-one smoothing."""
+    """One weight per bucket: ``SCALE * (ln p_trusted - ln p_corpus)``.
+
+    Both multinomials are taken at the trusted documents' size and get
+    ``PSEUDO`` counts more in every bucket, so buckets with little evidence
+    weigh little, in a small corpus as in a large one.
+    """
     trusted = F.broadcast(trusted_ids(labels).withColumn("trusted", F.lit(1)))  # at most TRUSTED_ROWS ids
     rows = _hashed(docs).select(F.col("row.doc_id").alias("doc_id"), "hash").join(trusted, "doc_id", "left")
     grams = rows.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(_grams(F.col("hash"))).alias("gram"))
     counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("all"), F.sum("trusted").alias("good"))
-    corpus, good = [1] * BUCKETS, [1] * BUCKETS
-    for r in counted.collect():  # at most BUCKETS rows
-        corpus[r["gram"]] += r["all"]
-        good[r["gram"]] += r["good"]
-    n_corpus, n_good = sum(corpus), sum(good)
-    if n_good == BUCKETS:  # nothing is trusted
-        return [0] * BUCKETS
-    return [round(SCALE * (math.log(g / n_good) - math.log(c / n_corpus))) for g, c in zip(good, corpus)]
+    weights, rows = [0] * BUCKETS, counted.collect()  # at most BUCKETS rows
+    share = sum(r["good"] for r in rows) / max(1, sum(r["all"] for r in rows))
+    for r in rows:
+        weights[r["gram"]] = round(SCALE * math.log((r["good"] + PSEUDO) / (r["all"] * share + PSEUDO)))
+    return weights
 
 
 def _repeated(marks: Column) -> Column:
