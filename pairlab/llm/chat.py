@@ -110,11 +110,12 @@ def _pointers(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         state = saved(state)
         if not state.filter("up IS NOT NULL").head(1):
             return jumps, state.select("conv_id", "id", "depth", F.col("total").alias("score"))
-        jumps.append(state.filter("up IS NOT NULL").select("conv_id", "id", "up"))
-        state = state.alias("s").join(state.alias("p"), _same("s", "p", "up"), "left").select(
-            "s.conv_id", "s.id", F.col("p.up").alias("up"),
-            (F.col("s.depth") + F.coalesce("p.depth", F.lit(0))).alias("depth"), "s.score",
-            (F.col("s.total") + F.coalesce("p.total", F.lit(0.0))).alias("total"))
+        below = state.filter("up IS NOT NULL")  # messages at a root are done
+        jumps.append(below.select("conv_id", "id", "up"))
+        longer = below.alias("s").join(state.alias("p"), _same("s", "p", "up")).select(
+            "s.conv_id", "s.id", F.col("p.up").alias("up"), (F.col("s.depth") + F.col("p.depth")).alias("depth"),
+            "s.score", (F.col("s.total") + F.col("p.total")).alias("total"))
+        state = state.filter("up IS NULL").unionByName(longer)
     hung = saved(state.filter("up IS NOT NULL").select("conv_id", "id"))  # on a cycle, or below one
     cut = links.alias("l").join(hung.alias("h"), _same("l", "h"), "left").select(
         "l.conv_id", "l.id", F.when(F.col("h.id").isNull(), F.col("l.up")).alias("up"), "l.score")
