@@ -141,14 +141,18 @@ def q_label_clamp(spark, sf_dir):
 
 
 # DuckDB has no NFKC, but on this fixture (full-width ASCII, U+3000, and Latin
-# letters already in composed form) NFKC is exactly the half-width fold.
+# letters already in composed form) NFKC is exactly the half-width fold; the
+# compatibility characters added to each key have a fixed folded form.
+_COMPAT, _FOLDED = "\u2460\ufb01\u00b2\uff76\uff9e", "1fi2\u30ac"
+
+
 @register("normalize_qid", sql=f"""WITH v AS ({V3})
 SELECT global_idx, trim(lower({_hw_sql("(chr(12288) || translate(query, " + _sql_str(fx.ASCII_ALNUM)
-                                        + ", " + _sql_str(fx.FULLWIDTH_ALNUM) + ") || ' ')")}), {_WS}) AS qid_norm
+                                        + ", " + _sql_str(fx.FULLWIDTH_ALNUM) + f") || '{_FOLDED} ')")}), {_WS}) AS qid_norm
 FROM v""")
 def q_normalize_qid(spark, sf_dir):
-    """NFKC query keys (B4) via the distinct-key pandas UDF path."""
+    """NFKC query keys (B4): JVM functions for ASCII, an Arrow function for the rest."""
     v = fx.pairs_text(spark, sf_dir).select("global_idx", F.col("query").alias("qkey"))
-    v = v.withColumn("qkey", F.concat(_fullwidth(F.col("qkey")), F.lit(" ")))
+    v = v.withColumn("qkey", F.concat(_fullwidth(F.col("qkey")), F.lit(_COMPAT), F.lit(" ")))
     return tx.normalize_qid(v, "qkey", "qid_norm").select("global_idx", "qid_norm")
 

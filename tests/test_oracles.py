@@ -12,6 +12,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+KINDS = {"tinyint": "int", "smallint": "int", "bigint": "int", "float": "double"}
+SQL_KINDS = {"TINYINT": "int", "SMALLINT": "int", "INTEGER": "int", "BIGINT": "int", "HUGEINT": "int", "FLOAT": "double",
+             "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
@@ -38,3 +43,7 @@ def test_oracle(spark, duck, name):
     idx = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert got == want
+    kinds = {f.name: KINDS.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    sql_kinds = {c: SQL_KINDS.get(str(t).split("(")[0], str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert {c: k for c, k in kinds.items() if k in SQL_KINDS.values()} == {
+        c: k for c, k in sql_kinds.items() if kinds[c] in SQL_KINDS.values()}
