@@ -37,7 +37,7 @@ CAPACITY = 2048
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SALT_ROWS = 100_000  # pieces of one length that one ranking task sorts
+SALT_ROWS = 1_000  # pieces of one length that are ranked together
 ROUNDS = 40  # of the local search
 
 
@@ -205,8 +205,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = saved(pieces_of(docs, capacity))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     slots = _slots(local_search(best_fit(counts, capacity), capacity))
-    salts = max(1, -(-max(counts.values(), default=0) // SALT_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # a constant: a length with many pieces has as many salts as it needs
+    salts = F.from_json(F.lit(str([-(-counts.get(n, 0) // SALT_ROWS) for n in range(capacity + 1)])), "array<int>")
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
     before = salted.groupBy("length", "salt").count().select(
         "length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
     order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
