@@ -33,7 +33,7 @@ from .common import WORD, numbered, saved
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
-BUCKET_ROWS, FAN = 20_000, 64
+BUCKET_ROWS, FAN = 2_000, 64
 EPS = 1e-9
 
 _KEY = ("source", "doc_id", "size", "tag")
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     factor = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)
     keys = keys.alias("k").join(targets.alias("t"), F.col("k.source").eqNullSafe(F.col("t.source")))
     keys = keys.select(*[f"k.{c}" for c in _KEY], "n", "n_rows", "source_size", "target", factor.alias("f"))
-    sure = F.floor("f")
+    sure = F.when(F.col("size") > 0, F.floor("f")).otherwise(0)
     extra = F.col("n") * (F.col("f") - sure)  # over the rows of the key
     keys = saved(keys.select(*_KEY, "n", "n_rows", "source_size", "target", sure.alias("sure"),
                              F.when(F.col("size") > 0, F.floor(extra)).otherwise(0).alias("whole"),
