@@ -137,7 +137,20 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-@query
+@query("""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+           FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s + 1:s + 20], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 19, 0))) AS s FROM w)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY k) AS f FROM win)
+          WHERE doc_id > f.d OR (doc_id = f.d AND s > f.s)),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM (SELECT doc_id, s, unnest(range(0, 20)) AS i FROM later)),
+placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+         FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""")
 def op10_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
