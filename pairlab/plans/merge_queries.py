@@ -118,6 +118,17 @@ def q_merge_stats(spark, sf_dir):
     return merge.merge_stats(pairs, scores, filter_invalid=True)
 
 
+@register("merge_bounded", sql=f"""WITH {_MERGE_CTES},
+r AS (SELECT min(global_idx) AS lo, max(global_idx) AS hi FROM latest WHERE global_idx % 7 = 3)
+SELECT CASE WHEN m.global_idx % 7 <> 3 OR status = 'missing' THEN 'missing' ELSE status END AS status, count(*) AS count
+FROM m, r WHERE m.global_idx BETWEEN lo AND hi GROUP BY 1""")
+def q_merge_bounded(spark, sf_dir):
+    """Scores of some pairs only; the pair scan is cut to their index range."""
+    pairs, scores = _merge_inputs(spark, sf_dir)
+    status = merge.merge_status(pairs, scores.where("global_idx % 7 = 3"), filter_invalid=True, bounded=True)
+    return status.groupBy("status").count()
+
+
 @register("missing_pairs", sql=f"""WITH {_MERGE_CTES}
 SELECT global_idx, qid FROM m WHERE status = 'missing'""")
 def q_missing_pairs(spark, sf_dir):
