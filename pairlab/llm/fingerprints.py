@@ -21,6 +21,7 @@ empty table gives an empty result.  Extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import mix64, text_size
 
 LEAST, NORMAL, MOST = 12, 32, 128
 HARD_BITS, EASY_BITS = 7, 3
-PART_BYTES = 4 << 20  # text that one partition takes
+PART_BYTES, MAX_PARTS = 8 << 20, 10_000  # text of one id range, streamed through a task; ranges at most
 DIGITS = 15  # of one chunk
 
 
@@ -148,9 +149,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _part(doc_id: Column, bounds: list[int]) -> Column:
-    """0 for the largest ids; ids from a bound on lie before it; null is the last part."""
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > doc_id)) if bounds else F.lit(0)
-    return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(above)
+    """How many bounds lie above an id: 0 for the largest ids; null is the last part.
+
+    Two steps of about sqrt(n) comparisons each: among every k-th bound, then
+    among the k after the last of those that lie above.
+    """
+    down, k = sorted(bounds, reverse=True), max(1, math.isqrt(len(bounds)))
+    every, all_ = (F.from_json(F.lit(str(b)), "array<bigint>") for b in (down[::k], down))  # constants
+    blocks = F.size(F.filter(every, lambda b: b > doc_id))
+    inside = F.size(F.filter(F.slice(all_, (blocks - 1) * k + 1, k), lambda b: b > doc_id))
+    above = F.when(blocks == 0, 0).otherwise((blocks - 1) * k + inside)
+    return F.when(doc_id.isNull(), F.lit(len(down))).otherwise(above)
 
 
 def edited_neighbours(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -161,8 +170,9 @@ def edited_neighbours(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFram
     part before it, so every successor is at hand after one shuffle of the texts.
     """
     rows, size = text_size(docs)
-    parts = max(1, min(rows, -(-size // part_bytes)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    parts = max(1, min(rows, MAX_PARTS, -(-size // part_bytes)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5],
+                                        max(10_000, 10 * parts))).first()[0]
     bounds = sorted(set(cuts or []))[:parts]
     tag = F.xxhash64("text")
     placed = docs.select(_part(F.col("doc_id"), bounds).cast("int").alias("part"), "doc_id", "text", tag.alias("tag"),

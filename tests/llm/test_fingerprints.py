@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairlab.llm import fingerprints as fp
 from pairlab.llm.common import table
@@ -91,6 +92,15 @@ def test_odd_and_empty_tables(spark):
     assert fp.edited_neighbours(no_docs(spark)).count() == 0
 
 
+def test_parts_count_the_bounds_above(spark):
+    draw = random.Random(6)
+    for n in (0, 1, 2, 7, 50, 101):
+        bounds = sorted(draw.sample(range(-500, 500), n))
+        ids = spark.range(-510, 510).select("id", fp._part(F.col("id"), bounds).alias("part"),
+                                            fp._part(F.lit(None).cast("long"), bounds).alias("none"))
+        assert all(r["part"] == sum(b > r["id"] for b in bounds) and r["none"] == n for r in ids.collect())
+
+
 def test_fingerprint_column(spark):
     rows = fp.with_fingerprint(odd_docs(spark)).collect()
     assert [r["fingerprint"] for r in rows] == [fp.fingerprint(chunks(r["row"]["text"])) for r in rows]
