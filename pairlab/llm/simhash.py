@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -247,7 +247,8 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rooted.join(least, "component_fp").select("fp", "component_id", "component_fp")
 
 
-def hex_digits(fp) -> "F.Column":
+def hex_digits(fp: Column) -> Column:
+    """The 64 bits as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 

@@ -26,7 +26,6 @@ whole; an empty table gives an empty result.  Extra columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
