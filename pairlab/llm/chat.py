@@ -157,14 +157,15 @@ def format_paths(turns: DataFrame) -> DataFrame:
     listed = turns.groupBy("conv_id", "branch").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     texts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    made = listed.select("conv_id", "branch", F.pandas_udf(_rendered, FORMATTED)(texts).alias("made"))
-    return made.select("conv_id", "branch", "made.*")
+    made = F.pandas_udf(_rendered, FORMATTED)(texts)
+    # a generator, so that the function runs once for both of its columns
+    return listed.select("conv_id", "branch", F.inline(F.array(made)))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of the turns and of the text under the loss mask, parsed from the output."""
-    parsed = formatted.select("conv_id", "branch", F.pandas_udf(_read_back, READ)("formatted", "loss_spans").alias("r"))
-    return parsed.select("conv_id", "branch", "r.*")
+    return formatted.select("conv_id", "branch", F.inline(F.array(
+        F.pandas_udf(_read_back, READ)("formatted", "loss_spans"))))
 
 
 def chain(rows: DataFrame) -> DataFrame:
