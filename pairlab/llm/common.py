@@ -56,7 +56,8 @@ def text_size(docs: DataFrame, col: str = "text") -> tuple[int, int]:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

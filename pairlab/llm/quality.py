@@ -43,11 +43,24 @@ def _hashed(docs: DataFrame) -> DataFrame:
                        F.transform(words(text), lambda w: F.xxhash64(w)).alias("hash"))
 
 
+def _word_bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _pair_bucket(hashes: Column, h: Column, i: Column) -> Column:
+    return F.pmod(F.xxhash64(h, F.get(hashes, i - 1)), F.lit(BUCKETS)).cast("int")
+
+
 def _grams(hashes: Column) -> Column:
     """The hash buckets of all words and word pairs."""
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")),
-                    F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i - 1)),
-                                                            F.lit(BUCKETS)).cast("int")))
+    return F.concat(F.transform(hashes, _word_bucket),
+                    F.transform(hashes, lambda h, i: _pair_bucket(hashes, h, i)))
+
+
+def _total(hashes: Column, weights: Column) -> Column:
+    """The summed weights of all words and word pairs."""
+    each = F.transform(hashes, lambda h, i: F.get(weights, _word_bucket(h)) + F.get(weights, _pair_bucket(hashes, h, i)))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, w: a + w)
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -92,7 +105,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         F.length(F.regexp_replace("text", SPACES, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
         lines.alias("lines"), windows.alias("windows"),
-        F.aggregate(_grams(F.col("hash")), F.lit(0).cast("long"), lambda a, g: a + F.get(weights, g)).alias("total"))
+        _total(F.col("hash"), weights).alias("total"))
     rows = rows.select("row", "n_words", "word_chars", "n_symbols", "total",
                        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                        # windows in hash order, only where some window repeats
