@@ -68,8 +68,9 @@ def _fit(pairs: DataFrame, label_rows: Callable[[DataFrame], DataFrame], weight_
     """Fit features on the pairs, then the classifier on their labelled rows.
 
     Document frequencies count each pair once, and only the feature vectors
-    and labels are persisted (memory, spilling to disk) for the L-BFGS passes;
-    lost blocks are recomputed.
+    and labels are persisted (memory, spilling to disk) for the L-BFGS passes,
+    dealt evenly over the cores first: one shuffle for ``max_iter`` passes.
+    Lost blocks are recomputed.
     """
     features = _features(num_features).fit(pairs)
     rows = label_rows(features.transform(pairs)).select("features", "__label", *([weight_col] if weight_col else []))
@@ -77,7 +78,7 @@ def _fit(pairs: DataFrame, label_rows: Callable[[DataFrame], DataFrame], weight_
                                     maxIter=max_iter, regParam=reg)
     if weight_col:
         classifier.setWeightCol(weight_col)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return PipelineModel([*features.stages, classifier.fit(rows)])
     finally:
