@@ -6,17 +6,17 @@ model come from a Bloom filter that holds, for an n-gram of count c, one entry
 for each level 1 .. 1 + floor(log2 c).  Asking for levels until one is missing
 gives the quantised count; the filter can only overstate it.
 
-The filter is made of one segment per bucket of the hash space.  A bucket sums
-its n-grams' counts and builds its segment in a task of its own.  A segment has
-``LEVEL_BITS`` bits for each entry and at most its share of ``FILTER_BYTES``;
-where that is not enough, its rarest n-grams stay out (the least count that is
-kept rises until the segment holds), as in any pruned model.  So the broadcast
-is bounded whatever the corpus holds.
-
-Counting and the exact base score share one exchange: documents are dealt into
-chunks; a chunk sends each of its different words once, in packed arrays per
-bucket, with its count in training documents, and gets the corpus counts back
-in the same order.  A word that every document holds sends one entry a chunk.
+The filter is made of one segment per bucket of the hash space, with
+``LEVEL_BITS`` bits for each entry.  A bucket sums its n-grams' counts, builds
+its segment and asks it for all n-grams that were sent, in a task of its own.
+So every n-gram of the training documents is held, whatever the corpus size,
+and no segment leaves its task.
+
+Counting, the exact base score and the model share one exchange: documents are
+dealt into chunks; a chunk sends each of its different words and word pairs
+once, in packed arrays per bucket, with its count in training documents, and
+gets the words' corpus counts and the filter's levels back in the same order.
+A word or pair that every document holds sends one entry a chunk.
 
 Words are told apart by a 64-bit hash, word pairs in the filter by their bucket
 and 32 more bits.  Defined results: a null or blank text has the end token
@@ -37,13 +37,14 @@ from .substring import MAX_BUCKETS, bucket_slices, bucketed, chunked
 
 MU = 300.0
 PROBES, LEVEL_BITS = 4, 8  # a false entry in about 2.5 % of the cases
-FILTER_BYTES = 256 << 20
 FOLDS, HELD_OUT = 7, 2
 
+MOST_BITS = (1 << 32) - 1  # that a 32-bit hash can address; a segment with more entries is denser
 END, START = np.uint64(0x5E2D58D8B3BCDEE8), np.uint64(0x1B873593CC9E2D51)  # beside any word's hash
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PACKED = "chunk long, bucket long, words binary, word_counts binary, pairs binary, pair_counts binary"
-RESOLVED = "chunk long, bucket long, counts binary, segment binary, bits long, tokens long, types long, texts long"
+RESOLVED = ("chunk long, bucket long, counts binary, word_levels binary, pair_levels binary, "
+            "tokens long, types long, texts long")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -79,16 +80,20 @@ def _sorted_words(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
     return different, bucketed(different, buckets).astype(np.int64), place
 
 
+def _sorted_pairs(pair: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs' entries in (bucket, entry) order, each one's bucket, and each token's place among them."""
+    packed, place = np.unique((bucketed(pair, buckets) << np.uint64(32)) | pair_items(pair), return_inverse=True)
+    return packed.astype(np.uint32), (packed >> np.uint64(32)).astype(np.int64), place
+
+
 def _send(buckets: int):
     def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         tokens = _Tokens(rows)
         trained = ~rows["held_out"].to_numpy()[tokens.doc]
         words, word_bucket, place = _sorted_words(tokens.hashes, buckets)
         word_counts = np.bincount(place[trained], minlength=len(words)).astype(np.uint32)
-        pair = tokens.pair[trained]
-        pairs, pair_counts = np.unique((bucketed(pair, buckets) << np.uint64(32)) | (pair & np.uint64(0xFFFFFFFF)),
-                                       return_counts=True)
-        pair_bucket = (pairs >> np.uint64(32)).astype(np.int64)
+        pairs, pair_bucket, place = _sorted_pairs(tokens.pair, buckets)
+        pair_counts = np.bincount(place[trained], minlength=len(pairs)).astype(np.uint32)
         of_pairs = {n: (a, b) for n, a, b in bucket_slices(pair_bucket)}
         out = []
         of_words = {n: (a, b) for n, a, b in bucket_slices(word_bucket)}
@@ -96,7 +101,7 @@ def _send(buckets: int):
             a, b = of_words.get(n, (0, 0))
             c, d = of_pairs.get(n, (0, 0))
             out.append((key[0].as_py(), n, planes(words[a:b]), planes(word_counts[a:b]),
-                        planes(pairs[c:d].astype(np.uint32)), planes(pair_counts[c:d].astype(np.uint32))))
+                        planes(pairs[c:d]), planes(pair_counts[c:d])))
         cols = list(zip(*out)) or [()] * 6
         types = [pa.int64()] * 2 + [pa.binary()] * 4
         return pa.table([pa.array(x, t) for x, t in zip(cols, types)],
@@ -133,15 +138,19 @@ def pair_items(hashes: np.ndarray) -> np.ndarray:
     return hashes & np.uint64(0xFFFFFFFF)
 
 
-def build_segment(items: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[np.ndarray, int]:
-    """The bytes of a segment and its number of bits."""
+def build_segment(items: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[np.ndarray, int]:
+    """The bytes of a segment and its number of bits.
+
+    All items are held.  Only a caller that gives ``most_bits`` bounds the
+    segment: it holds the most frequent then, equal counts in hash order, as
+    many as fit.
+    """
     level = levels(counts)
-    ranked = np.sort(counts[counts > 0])[::-1]
-    entries = np.cumsum(levels(ranked))
-    fits = int(np.searchsorted(entries, most_bits // LEVEL_BITS, side="right"))
-    least = 1 if fits >= len(ranked) else int(ranked[fits]) + 1
-    level = np.where(counts >= least, level, 0)
-    bits = min(most_bits, max(64, int(level.sum()) * LEVEL_BITS))
+    if most_bits is not None:
+        ranked = np.lexsort((mix64(items), -counts))
+        level[ranked[np.cumsum(level[ranked]) > most_bits // LEVEL_BITS]] = 0
+    bits = max(64, int(level.sum()) * LEVEL_BITS)
+    bits = min(bits, MOST_BITS if most_bits is None else most_bits)
     marks = np.zeros(-(-bits // 8) * 8, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         kept = items[level >= j]
@@ -150,24 +159,26 @@ def build_segment(items: np.ndarray, counts: np.ndarray, most_bits: int) -> tupl
     return np.packbits(marks, bitorder="little"), bits
 
 
-def _resolve(most_bits: int):
-    def resolve(rows: pa.Table) -> pa.Table:
-        word_keys = [from_planes(x, np.uint64) for x in rows["words"].to_pylist()]
-        words, totals, place = _summed(word_keys, [from_planes(x, np.uint32) for x in rows["word_counts"].to_pylist()])
-        pairs, pair_totals, _ = _summed(*([from_planes(x, np.uint32) for x in rows[c].to_pylist()]
-                                          for c in ("pairs", "pair_counts")))
-        segment, bits = build_segment(np.concatenate([word_items(words), pairs.astype(np.uint64)]),
-                                      np.concatenate([totals, pair_totals]), most_bits)
-        bucket = rows["bucket"][0].as_py()
-        back = np.split(totals[place], np.cumsum([len(k) for k in word_keys])[:-1])
-        end = totals[words == END]
-        out = [(None, bucket, None, segment.tobytes(), bits, int(totals.sum()), int((totals > 0).sum()),
-                int(end[0]) if len(end) else 0)]
-        out += [(chunk, bucket, planes(c), None, None, None, None, None) for chunk, c in zip(rows["chunk"].to_pylist(), back)]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()] + [pa.int64()] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), types)],
-                        names=["chunk", "bucket", "counts", "segment", "bits", "tokens", "types", "texts"])
-    return resolve
+def _resolve(rows: pa.Table) -> pa.Table:
+    """A bucket: corpus totals in a row without a chunk, and each chunk's answers in the order it asked."""
+    word_keys, pair_keys, word_counts, pair_counts = (
+        [from_planes(x, t) for x in rows[c].to_pylist()]
+        for c, t in (("words", np.uint64), ("pairs", np.uint32), ("word_counts", np.uint32), ("pair_counts", np.uint32)))
+    words, totals, word_place = _summed(word_keys, word_counts)
+    pairs, pair_totals, pair_place = _summed(pair_keys, pair_counts)
+    items = np.concatenate([word_items(words), pairs.astype(np.uint64)])
+    segment, bits = build_segment(items, np.concatenate([totals, pair_totals]))
+    level = Filter([(0, segment.tobytes(), bits)], 1).levels(items, np.zeros(len(items), np.int64)).astype(np.uint8)
+    bucket = rows["bucket"][0].as_py()
+    of_words, of_pairs = (np.cumsum([len(k) for k in keys])[:-1] for keys in (word_keys, pair_keys))
+    back = zip(rows["chunk"].to_pylist(), np.split(totals[word_place], of_words),
+               np.split(level[:len(words)][word_place], of_words), np.split(level[len(words):][pair_place], of_pairs))
+    end = totals[words == END]
+    out = [(None, bucket, None, None, None, int(totals.sum()), int((totals > 0).sum()), int(end[0]) if len(end) else 0)]
+    out += [(chunk, bucket, planes(c), w.tobytes(), p.tobytes(), None, None, None) for chunk, c, w, p in back]
+    types = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.int64()] * 3
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), types)],
+                    names=["chunk", "bucket", "counts", "word_levels", "pair_levels", "tokens", "types", "texts"])
 
 
 class Filter:
@@ -184,7 +195,11 @@ class Filter:
         self.data = np.frombuffer(b"\0" + b"".join(raw for _, raw, _ in segments), np.uint8)
 
     def counts(self, items: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Quantised counts: probe level after level while all bits are set."""
+        """Quantised counts."""
+        return level_value(self.levels(items, bucket))
+
+    def levels(self, items: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Levels: probe one after the other while all bits are set."""
         bits, first = self.bits[bucket], self.first[bucket]
         level = np.zeros(len(items), np.int64)
         open_, j = np.arange(len(items)), 1
@@ -196,22 +211,24 @@ class Filter:
             j += 1
             if j > 63:
                 break
-        return level_value(level)
+        return level
 
 
-def _score(buckets: int, filter_, n_tokens: int, n_types: int, n_texts: int, mu: float):
+def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float):
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
         tokens = _Tokens(rows)
         words, word_bucket, place = _sorted_words(tokens.hashes, buckets)
-        back = dict(zip(found["bucket"].to_pylist(), found["counts"].to_pylist()))
-        exact = np.zeros(len(words), np.int64)
+        pairs, pair_bucket, pair_place = _sorted_pairs(tokens.pair, buckets)
+        back = dict(zip(found["bucket"].to_pylist(),
+                        zip(*(found[c].to_pylist() for c in ("counts", "word_levels", "pair_levels")))))
+        exact, word_level, pair_level = (np.zeros(len(x), np.int64) for x in (words, words, pairs))
         for n, a, b in bucket_slices(word_bucket):
-            exact[a:b] = from_planes(back[n], np.int64)
+            exact[a:b], word_level[a:b] = from_planes(back[n][0], np.int64), np.frombuffer(back[n][1], np.uint8)
+        for n, a, b in bucket_slices(pair_bucket):
+            pair_level[a:b] = np.frombuffer(back[n][2], np.uint8)
         of_token = exact[place]
         all_ = n_tokens + n_types + 1
-        bloom = filter_.value
-        word_count = bloom.counts(word_items(words), word_bucket)[place]
-        pair_count = bloom.counts(pair_items(tokens.pair), bucketed(tokens.pair, buckets).astype(np.int64))
+        word_count, pair_count = level_value(word_level)[place], level_value(pair_level)[pair_place]
         before = np.empty_like(word_count)
         before[1:] = word_count[:-1]
         before[tokens.before == START] = level_value(levels(np.array([n_texts])))[0]
@@ -226,20 +243,15 @@ def _score(buckets: int, filter_, n_tokens: int, n_types: int, n_texts: int, mu:
     return score
 
 
-def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU, filter_bytes: int = FILTER_BYTES,
-                **chunks) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU, **chunks) -> DataFrame:
     """Base and model score of every ``docs (doc_id, text)``, trained on those not held out."""
     held = is_held_out(F.col("doc_id")) if held_out is None else held_out
     dealt, n = chunked(docs.select("doc_id", "text", held.alias("held_out")), **chunks)
     buckets = min(n, MAX_BUCKETS)
     counted = dealt.groupBy("chunk").applyInArrow(_send(buckets), PACKED)
-    most_bits = min(8 * filter_bytes // buckets, (1 << 32) - 1)
-    resolved = saved(counted.groupBy("bucket").applyInArrow(_resolve(most_bits), RESOLVED))
+    resolved = saved(counted.groupBy("bucket").applyInArrow(_resolve, RESOLVED))
     total = resolved.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "texts"))).first()
-    segments = [(r["bucket"], bytes(r["segment"]), r["bits"])  # filter_bytes at most
-                for r in resolved.filter("chunk IS NULL").select("bucket", "segment", "bits").toLocalIterator()]
-    bloom = docs.sparkSession.sparkContext.broadcast(Filter(segments, buckets))
-    found = resolved.filter("chunk IS NOT NULL").select("chunk", "bucket", "counts")
+    found = resolved.filter("chunk IS NOT NULL").select("chunk", "bucket", "counts", "word_levels", "pair_levels")
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-        _score(buckets, bloom, total["tokens"], total["types"], total["texts"], mu),
+        _score(buckets, total["tokens"], total["types"], total["texts"], mu),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -70,6 +70,41 @@ def test_a_full_segment_keeps_the_most_frequent():
     assert bits <= 8192 and (got[:100] >= 32).all() and (got[100:] > 0).mean() < 0.1
 
 
+def test_a_bounded_segment_is_filled_up():
+    keys = np.arange(1, 10_001, dtype=np.uint64)
+    counts = np.where(keys <= 100, 50, 1)
+    data, bits = lm.build_segment(lm.word_items(keys), counts, most_bits=8192)
+    got = lm.Filter([(0, data.tobytes(), bits)], 1).counts(lm.word_items(keys), np.zeros(len(keys), np.int64))
+    assert bits == 8192 and (got[100:] > 0).sum() >= 1024 - 600  # the other entries go to n-grams seen once
+
+
+def test_scores_hold_every_pair_and_need_no_broadcast(spark, monkeypatch):
+    def no_broadcast(*_):
+        raise AssertionError("what a broadcast holds is bounded")
+    docs = table(spark, SF001, "documents")
+    texts = [(r["doc_id"], tokens(r["text"])) for r in docs.collect()]
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", no_broadcast)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, chunk_bytes=1 << 16).collect()}
+    words, pairs = Counter(), Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(t)
+            pairs.update(zip(["", *t], t))
+    n_texts, all_ = words[None], sum(words.values()) + len(words) + 1
+
+    def count(c):
+        return float(lm.level_value(lm.levels(np.array([c])))[0])
+
+    def score(t):
+        total = 0.0
+        for u, w in zip(["", *t], t):
+            before = count(n_texts if u == "" else words[u])
+            total += math.log10((min(count(pairs[u, w]), before) + lm.MU * (count(words[w]) + 1) / all_) / (before + lm.MU))
+        return total
+    off = np.array([abs(got[i] - score(t)) / len(t) for i, t in texts])
+    assert np.median(off) < 0.02 and off.mean() < 0.05  # only what the filter overstates
+
+
 def test_seen_pairs_score_higher(spark):
     train = [(i, "red fox runs fast") for i in range(40)] + [(100, "red fox runs fast"), (101, "fast runs fox red")]
     docs = spark.createDataFrame(train, "doc_id long, text string")
