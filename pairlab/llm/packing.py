@@ -7,7 +7,8 @@ the largest lengths that still fit) and is improved by a local search over the
 underfull patterns: a document moves, one is exchanged for one, or two for one,
 whenever that raises the sum of squared fills; a move is made for as many bin
 pairs as the two patterns have.  Fuller bins grow, emptier ones shrink until
-they are empty and their sequence is saved.
+they are empty and their sequence is saved.  All pairs of underfull patterns are
+tried, and the search ends when none has an exchange left.
 
 The plan's input is one counter per length (``capacity`` numbers), whatever the
 corpus holds.  Everything that grows with the corpus is distributed: texts are
@@ -38,7 +39,6 @@ END_ID = 0
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SALT_ROWS = 1_000  # pieces of one length that are ranked together
-ROUNDS = 40  # of the local search
 
 
 def _tokenised(ranks: str, whole: str, capacity: int):
@@ -111,22 +111,81 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> dict[Pattern,
     return bins
 
 
-def _best_exchange(a: Pattern, b: Pattern, room: int) -> tuple[int, Pattern, Pattern] | None:
-    """The exchange that fills ``b`` (``room`` left) most from the emptier ``a``.
+class _Partners:
+    """What the underfull patterns can take: an entry for each length that one may give back, and one for none.
 
-    What ``b`` gains, in tokens, and what goes from a to b and from b to a: one
-    for none (a move), one for one, two for one.
+    Entries lie in the order in which patterns came up, so that a pattern which
+    found no exchange asks only those that came up after its last look.
     """
-    best = None
-    ones = sorted(set(a), reverse=True)
-    gives = [(n, (n,)) for n in ones]
-    gives += [(x + y, (x, y)) for i, x in enumerate(ones) for y in ones[i:] if x != y or a.count(x) > 1]
-    for back, taken in [(0, ()), *((n, (n,)) for n in set(b))]:
-        for size, given in gives:
-            gain = size - back
-            if (len(given) == 1 or taken) and 0 < gain <= room and (best is None or gain > best[0]):
-                best = (gain, given, taken)
-    return best
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.patterns: list[Pattern] = []  # by number; a pattern that comes up again has a new one
+        self.number: dict[Pattern, int] = {}
+        self.size = 0
+        # an entry's pattern number, length given back, fill of the pattern (-1: gone), place in ``_gives``
+        self.entries = np.zeros((4, 1024), np.int64)
+
+    def add(self, p: Pattern) -> None:
+        self.remove(p)
+        back = [0, *sorted(set(p))]
+        if self.size + len(back) > self.entries.shape[1]:
+            there = self.entries[:, :self.size][:, self.entries[2, :self.size] >= 0]
+            self.size = there.shape[1]
+            self.entries = np.concatenate([there, np.zeros((4, self.size + len(back) + 1024), np.int64)], axis=1)
+        fill, end = sum(p), self.size + len(back)
+        new = self.entries[:, self.size:end]
+        new[0], new[1], new[2] = len(self.patterns), back, fill
+        new[3] = self.capacity - fill + new[1]
+        new[3, 1:] += self.capacity + 1
+        self.number[p] = len(self.patterns)
+        self.patterns.append(p)
+        self.size = end
+
+    def _range(self, number: int) -> slice:
+        return slice(*np.searchsorted(self.entries[0, :self.size], (number, number + 1)))
+
+    def remove(self, p: Pattern) -> None:
+        if (n := self.number.pop(p, None)) is not None:
+            self.entries[2, self._range(n)] = -1
+
+    def best(self, a: Pattern, alone: bool, since: int, until: int) -> tuple[int, int, Pattern] | None:
+        """The exchange from ``a`` that fills a pattern at least as full most.
+
+        The tokens gained, the length given back (0: none) and the pattern;
+        equal gains go to the fuller pattern, then to the larger one.  ``alone``
+        says that there is one bin of ``a``, which has no partner in itself.
+        Only patterns numbered ``since`` to before ``until`` are asked.
+        """
+        start, end = np.searchsorted(self.entries[0, :self.size], (since, until))
+        number, back, fill, place = self.entries[:, start:end]
+        gain = np.where(fill >= sum(a), _gives(a, self.capacity)[place] - back, 0)
+        if alone:
+            gain[number == self.number[a]] = 0
+        if not len(gain) or (most := int(gain.max())) <= 0:
+            return None
+        ties = np.flatnonzero(gain == most)
+        ties = ties[fill[ties] == fill[ties].max()]
+        i = max(ties, key=lambda t: (self.patterns[number[t]], -back[t]))
+        return most, int(back[i]), self.patterns[number[i]]
+
+
+def _gives(a: Pattern, capacity: int) -> np.ndarray:
+    """The most tokens that ``a`` can give for each room: 0 .. capacity with one length, then with one or two."""
+    ones = np.unique(a)
+    twos = (ones[:, None] + ones)[~np.eye(len(ones), dtype=bool) | (np.array([a.count(n) for n in ones]) > 1)]
+    most = np.zeros((2, capacity + 1), np.int64)
+    most[:, ones] = ones
+    most[1, twos[twos <= capacity]] = twos[twos <= capacity]
+    return np.maximum.accumulate(most, axis=1).ravel()
+
+
+def _lengths(a: Pattern, size: int, two: bool) -> Pattern:
+    """The length, or the two where ``two`` allows, of ``a`` that make up ``size``."""
+    if size in a:
+        return (size,)
+    assert two
+    return next((x, size - x) for x in a if size - x in a and (2 * x != size or a.count(x) > 1))
 
 
 def _changed(p: Pattern, out: Pattern, into: Pattern) -> Pattern:
@@ -136,38 +195,49 @@ def _changed(p: Pattern, out: Pattern, into: Pattern) -> Pattern:
     return tuple(sorted([*items, *into], reverse=True))
 
 
-def local_search(bins: dict[Pattern, int], capacity: int = CAPACITY, rounds: int = ROUNDS,
-                 partners: int = 64) -> dict[Pattern, int]:
-    """Raise the squared fill of underfull bins by exchanges until none is found.
+def local_search(bins: dict[Pattern, int], capacity: int = CAPACITY) -> dict[Pattern, int]:
+    """Raise the squared fill of underfull bins by exchanges until there is none left.
 
-    In each round every underfull pattern, the emptiest first, looks at its
-    ``partners`` fullest underfull partners for the exchange with the largest
-    gain.  An exchange takes tokens from the emptier to the fuller bin, so the
-    sum of squares rises with each and the search ends; ``rounds`` bounds it.
+    In each round every underfull pattern, the emptiest first, makes the
+    exchanges with the largest gain among all underfull patterns that are at
+    least as full; patterns made in a round take part from the next one on.  An
+    exchange takes tokens from the emptier to the fuller bin, so the sum of
+    squares rises with each and the search ends, after a round without any.
     """
     bins = dict(bins)
-    for _ in range(rounds):
-        underfull = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
+    partners = _Partners(capacity)
+    looked: dict[Pattern, int] = {}  # no pattern numbered below this has an exchange for the pattern
+
+    def change(p: Pattern, times: int) -> None:
+        had = bins.pop(p, 0)
+        if had + times:
+            bins[p] = had + times
+        if not had + times:
+            partners.remove(p)
+        elif sum(p) < capacity and (not had or had == 1 < had + times):  # two bins can be each other's partner
+            partners.add(p)
+
+    for p in sorted(bins):
+        if sum(p) < capacity:
+            partners.add(p)
+    moved = True
+    while moved:
         moved = False
-        for a in underfull:
-            if not bins.get(a):
-                continue
-            fuller = [b for b in underfull if bins.get(b) and sum(b) >= sum(a)][-partners:]
-            options = [(e, b) for b in fuller if (b != a or bins[a] > 1)
-                       and (e := _best_exchange(a, b, capacity - sum(b)))]
-            if not options:
-                continue
-            (gain, given, taken), b = max(options, key=lambda o: (o[0][0], sum(o[1]), o[1]))
-            times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-            for old, new in ((a, _changed(a, given, taken)), (b, _changed(b, taken, given))):
-                bins[old] -= times
-                if not bins[old]:
-                    del bins[old]
-                if new:
-                    bins[new] = bins.get(new, 0) + times
-            moved = True
-        if not moved:
-            break
+        now = len(partners.patterns)
+        for a in sorted(partners.number, key=lambda p: (sum(p), p)):
+            while a in bins:
+                found = partners.best(a, bins[a] == 1, looked.get(a, 0), now)
+                if not found:
+                    looked[a] = now
+                    break
+                gain, back, b = found
+                given, taken = _lengths(a, gain + back, back > 0), (back,) * (back > 0)
+                times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+                for old, new in ((a, _changed(a, given, taken)), (b, _changed(b, taken, given))):
+                    change(old, -times)
+                    if new:
+                        change(new, times)
+                moved = True
     return bins
 
 

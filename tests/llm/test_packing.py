@@ -73,6 +73,27 @@ def test_local_search_empties_bins():
     assert squares(after) > squares(bins) and sum(after.values()) < before
 
 
+@pytest.mark.parametrize("low, high", [(150, 300), (100, 230)])
+def test_search_leaves_no_exchange(low, high):
+    lengths, n = np.unique(np.random.default_rng(1).integers(low, high + 1, 5000), return_counts=True)
+    counts = dict(zip(lengths.tolist(), n.tolist()))
+    greedy = packing.best_fit(counts, 512)
+    bins = packing.local_search(greedy, 512)
+    used = {}
+    for pattern, k in bins.items():
+        for x in pattern:
+            used[x] = used.get(x, 0) + k
+    assert used == counts and sum(bins.values()) < 0.99 * sum(greedy.values())
+    open_ = [p for p in bins if sum(p) < 512]
+    for a in open_:
+        gives = {*a, *(a[i] + a[j] for i in range(len(a)) for j in range(i))}
+        for b in open_:
+            if sum(b) >= sum(a) and (a != b or bins[a] > 1):
+                room = 512 - sum(b)
+                assert not any(0 < x <= room for x in a)
+                assert not any(0 < x - y <= room for x in gives for y in b)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_is_near_the_bound(seed):
     draw = np.random.default_rng(seed)
