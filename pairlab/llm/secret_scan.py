@@ -6,7 +6,11 @@ more.  A candidate is a long unbroken run of key characters; it is excluded
 when it is a known digest (hexadecimal at a digest's length), a UUID, a number
 or date, or an identifier (pieces of one case, or capitalised, with numbers
 apart).  What is left and has fewer than ``MIN_RATIO`` characters per token is
-a secret of kind ``token``.  Three fixed patterns (``assign``, ``access``,
+a secret of kind ``token``.  The letters of one unseparated lower-case or
+capitalised piece tell nothing, so it is one below ``PIECE_RATIO``, which is
+lower because rare words come close to ``MIN_RATIO``.  Separators in front of a run are not
+looked at, but belong to its span, as a key may begin with them; a run that they
+make up more than a quarter of is a ruler.  Three fixed patterns (``assign``, ``access``,
 ``hex``) find declared secrets beside it; their spans always stay.
 
 Defined results: a null or empty text has no spans; offsets count code points,
@@ -32,10 +36,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_RATIO = 2.3  # characters per token
+PIECE_RATIO = 2.0  # the same for a piece of letters
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-IDENTIFIER = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*|[-_/+=]+.*"
+IDENTIFIER = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*"
+SEPARATORS = "-_/+="
+PIECE = r"[A-Z]?[a-z]+[0-9]{0,4}[-_/+=]*"
 CAMEL = r"(?:[A-Z]?[a-z]{2,}){1,6}[0-9]{0,4}"
 
 RESULT = "spans array<struct<start:int,kind:int,end:int>>, masked string"
@@ -48,16 +55,18 @@ def _scanner(vocabulary: str, min_ratio: float):
 
         encoding = tiktoken_encoding(vocabulary)
         assign, access, hexes = (re.compile(p, re.ASCII) for p in (ASSIGN, ACCESS, HEX))
-        run, uuid, name, camel = (re.compile(p, re.ASCII) for p in (RUN, UUID, IDENTIFIER, CAMEL))
+        run, uuid, name, camel, piece = (re.compile(p, re.ASCII) for p in (RUN, UUID, IDENTIFIER, CAMEL, PIECE))
 
         def random_looking(s: str) -> bool:
-            if not any(c.isdigit() for c in s) and (s.islower() or s.isupper() or s.istitle()):
+            whole, s = len(s), s.lstrip(SEPARATORS)
+            if 4 * len(s) < 3 * whole:
                 return False
-            if name.fullmatch(s) or camel.fullmatch(s) or uuid.fullmatch(s):
+            one = piece.fullmatch(s)
+            if not one and (name.fullmatch(s) or camel.fullmatch(s)) or uuid.fullmatch(s):
                 return False
             if len(s) in DIGEST_LENGTHS and all(c in "0123456789abcdefABCDEF" for c in s):
                 return False
-            return len(s) < min_ratio * len(encoding.encode_ordinary(s))
+            return len(s) < (min(min_ratio, PIECE_RATIO) if one else min_ratio) * len(encoding.encode_ordinary(s))
 
         def spans(text: str | None) -> list[tuple[int, int, int]]:
             if not text:

@@ -54,6 +54,24 @@ def test_masked_text(spark):
     assert "AKIA" not in got[2] and got[2].startswith("ſ[SECRET]" if base_by_hand(TEXTS[1])[0][1] == 1 else "ſecret=abcdefgh [SECRET]")
 
 
+def test_leading_separators_and_lower_case_runs(spark):
+    draw = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    secrets = ["=wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY", "/9j4AAQSkZJRgABAQEAYABgAAD", "+kQ9vXz27LmPq84RtYw1BnC6",
+               "-Fq3Zt8WvX1LmPk0RtYw7Bn", "/" + KEY]
+    names = ["-" * 30, "-" * 20 + "x9Kq", "/usr/local/lib/site-packages", "--some-long-option-name", "internationalization",
+             "=123e4567-e89b-12d3-a456-426614174000", "=d41d8cd98f00b204e9800998ecf8427E", "verantwortlichkeit2024"]
+    runs = ["".join(draw.choices(letters, k=24)) for _ in range(100)]
+    runs += ["".join(draw.choices(letters, k=24)) + "1234" for _ in range(100)]
+    texts = [f"auth {x} end" for x in secrets + names + runs]
+    rows = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["row"]["doc_id"]: r["masked"] for r in rows}
+    assert all(got[i] == "auth [SECRET] end" for i in range(len(secrets)))
+    for i, name in enumerate(names, len(secrets)):
+        assert got[i] is None or name.startswith("=d41d"), name  # its first 31 digits are of kind hex
+    assert sum(got[i] is not None for i in range(len(secrets) + len(names), len(texts))) > 0.85 * len(runs)
+
+
 def test_query_digests(spark):
     rows = queries.op8_scan_secrets(spark, SF001).collect()
     texts = {r["doc_id"]: r["text"] for r in table(spark, SF001, "documents").collect()}
