@@ -17,8 +17,9 @@ groups, so that a length which a third of all pieces share has no task of its
 own), and each piece finds its bin from its rank.
 
 Defined results: a null or empty text is one piece holding only the end id;
-longer documents are cut into full pieces with a shorter first one; repeated
-rows are packed once each; an empty table gives an empty result.
+longer documents are cut into full pieces with a shorter first one; runs of
+blanks of any length have the tokenizer's ids like other text; repeated rows are
+packed once each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .common import saved, tiktoken_encoding, tokenizer_path
 CAPACITY = 2048
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+BLANK_RUN = 1 << 16  # blanks in a row; several times as many overflow the regex stack of tiktoken
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SALT_ROWS = 1_000  # pieces of one length that are ranked together
 
@@ -46,18 +48,22 @@ def _tokenised(ranks: str, whole: str, capacity: int):
 
     The ids are those of the ``tokenizers`` file ``whole``.  ``ranks`` holds the
     same vocabulary and merges for tiktoken, which yields the same ids about
-    four times faster; only texts with the special token's string need the
-    former, which gives that string one id.
+    four times faster.  The former takes the texts with the special token's
+    string, which it gives one id, and those with more than ``BLANK_RUN`` blanks
+    in a row, on which the latter can run out of stack.
     """
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
         from tokenizers import Tokenizer
 
         fast, full = tiktoken_encoding(ranks), None
+        blanks = re.compile(r"\s{%d}" % BLANK_RUN)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 text = text.as_py() or ""
-                if SPECIAL in text:
+                if SPECIAL in text or len(text) >= BLANK_RUN and blanks.search(text):
                     full = full or Tokenizer.from_file(whole)
                     ids = full.encode(text, add_special_tokens=False).ids
                 else:

@@ -47,6 +47,21 @@ def test_pieces_hold_the_tokenizers_ids(spark):
             assert r["ids_crc32"] == zlib.crc32(part.tobytes())
 
 
+def test_long_runs_of_blanks(spark):
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 3_000_000, " \n\t\r" * 300_000 + "end", "\u00a0\u2003" * 600_000,
+             " " * packing.BLANK_RUN, "x" + " " * (packing.BLANK_RUN - 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.pieces_of(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, text in enumerate(texts):
+        ids = ids_of(text)
+        assert sum(r["length"] for r in got[i]) == len(ids)
+        for r in got[i]:
+            part = np.array(ids[r["start"]:r["start"] + r["length"]], "<u4")
+            assert r["ids_crc32"] == zlib.crc32(part.tobytes())
+
+
 def test_whole_table_is_packed_tightly(spark):
     rows = packing.pack(table(spark, SF001, "documents")).collect()
     bins = valid(rows)
