@@ -3,15 +3,17 @@
 Random strings compress badly under a byte-pair vocabulary trained on text: a
 key yields about two characters per token, a word or an identifier three or
 more.  A candidate is a long unbroken run of key characters; it is excluded
-when it is a known digest (hexadecimal at a digest's length), a UUID, a number
-or date, or an identifier (pieces of one case, or capitalised, with numbers
-apart).  What is left and has fewer than ``MIN_RATIO`` characters per token is
-a secret of kind ``token``.  The letters of one unseparated lower-case or
-capitalised piece tell nothing, so it is one below ``PIECE_RATIO``, which is
-lower because rare words come close to ``MIN_RATIO``.  Separators in front of a run are not
-looked at, but belong to its span, as a key may begin with them; a run that they
-make up more than a quarter of is a ruler.  Three fixed patterns (``assign``, ``access``,
-``hex``) find declared secrets beside it; their spans always stay.
+when it is a known digest (hexadecimal at a digest's length), a UUID, or a ruler
+(more than a quarter of it are separators in front).  Separators in front of a
+run are not looked at, but belong to its span, as a key may begin with them.
+A run shaped like an identifier (pieces of one case, or capitalised, with numbers
+apart) says nothing by its separators and numbers, so its letters are judged in
+lower case: each piece of ``PIECE_LETTERS`` or more, and the pieces together where
+they have ``RUN_LETTERS``; it is a secret of kind ``token`` where one of them has
+fewer than ``PIECE_RATIO`` characters per token.  Any other run is one below
+``MIN_RATIO``; words come closer to it than whole runs do.  Three fixed patterns
+(``assign``, ``access``, ``hex``) find declared secrets beside it; their spans
+always stay.  All patterns take time in proportion to the text.
 
 Defined results: a null or empty text has no spans; offsets count code points,
 ends are exclusive; spans of different kinds may overlap, a ``token`` span
@@ -36,14 +38,17 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_RATIO = 2.3  # characters per token
-PIECE_RATIO = 2.0  # the same for a piece of letters
+PIECE_RATIO = 2.0  # the same for the letters of identifiers
+PIECE_LETTERS, RUN_LETTERS = 12, 16
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-IDENTIFIER = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*"
 SEPARATORS = "-_/+="
-PIECE = r"[A-Z]?[a-z]+[0-9]{0,4}[-_/+=]*"
-CAMEL = r"(?:[A-Z]?[a-z]{2,}){1,6}[0-9]{0,4}"
+#: One piece of an identifier; possessive, so that no run is split in more than one way.
+PIECE = r"(?:[A-Z]?+[a-z]++|[A-Z]++)[0-9]{0,4}+|[0-9]++"
+IDENTIFIER = rf"(?:{PIECE})(?:[-_/+=]++(?:{PIECE}))*+[-_/+=]*+"
+CAMEL = r"(?:[A-Z]?+[a-z]{2,}+){1,6}+[0-9]{0,4}+"
+LETTERS = r"[A-Z]?+[a-z]++|[A-Z]++"
 
 RESULT = "spans array<struct<start:int,kind:int,end:int>>, masked string"
 MASK = "[SECRET]"
@@ -52,21 +57,26 @@ MASK = "[SECRET]"
 def _scanner(vocabulary: str, min_ratio: float):
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import re
+        from bisect import bisect_right
+        from itertools import accumulate
 
         encoding = tiktoken_encoding(vocabulary)
         assign, access, hexes = (re.compile(p, re.ASCII) for p in (ASSIGN, ACCESS, HEX))
-        run, uuid, name, camel, piece = (re.compile(p, re.ASCII) for p in (RUN, UUID, IDENTIFIER, CAMEL, PIECE))
+        run, uuid, name, camel, letters = (re.compile(p, re.ASCII) for p in (RUN, UUID, IDENTIFIER, CAMEL, LETTERS))
 
         def random_looking(s: str) -> bool:
             whole, s = len(s), s.lstrip(SEPARATORS)
             if 4 * len(s) < 3 * whole:
                 return False
-            one = piece.fullmatch(s)
-            if not one and (name.fullmatch(s) or camel.fullmatch(s)) or uuid.fullmatch(s):
+            if uuid.fullmatch(s) or len(s) in DIGEST_LENGTHS and all(c in "0123456789abcdefABCDEF" for c in s):
                 return False
-            if len(s) in DIGEST_LENGTHS and all(c in "0123456789abcdefABCDEF" for c in s):
-                return False
-            return len(s) < (min(min_ratio, PIECE_RATIO) if one else min_ratio) * len(encoding.encode_ordinary(s))
+            if not name.fullmatch(s):
+                return not camel.fullmatch(s) and len(s) < min_ratio * len(encoding.encode_ordinary(s))
+            pieces = [x.lower() for x in letters.findall(s)]
+            tokens = [len(encoding.encode_ordinary(x)) for x in pieces]
+            limit, n = min(min_ratio, PIECE_RATIO), sum(map(len, pieces))
+            return (n >= RUN_LETTERS and n < limit * sum(tokens)
+                    or any(len(x) >= PIECE_LETTERS and len(x) < limit * k for x, k in zip(pieces, tokens)))
 
         def spans(text: str | None) -> list[tuple[int, int, int]]:
             if not text:
@@ -78,9 +88,10 @@ def _scanner(vocabulary: str, min_ratio: float):
             for m in runs:
                 for kind, pattern in ((1, access), (2, hexes)):
                     found += [(m.start() + x.start(), kind, m.start() + x.end()) for x in pattern.finditer(m[0])]
-            base = list(found)
-            found += [(m.start(), 3, m.end()) for m in runs if random_looking(m[0])
-                      and not any(a <= m.start() and m.end() <= b for a, _, b in base)]
+            base = sorted(found)
+            starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max, initial=-1))
+            found += [(m.start(), 3, m.end()) for m in runs
+                      if reach[bisect_right(starts, m.start())] < m.end() and random_looking(m[0])]
             return sorted(found)
 
         def masked(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pairlab.llm import queries, secret_scan
-from pairlab.llm.common import table
+from pairlab.llm.common import table, tokenizer_path
 from tests.conftest import SF001
 from tests.llm.cases import no_docs, odd_docs
 
@@ -72,6 +74,43 @@ def test_leading_separators_and_lower_case_runs(spark):
     assert sum(got[i] is not None for i in range(len(secrets) + len(names), len(texts))) > 0.85 * len(runs)
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def scanned(texts):
+    scan = secret_scan._scanner(tokenizer_path("byte_bpe_50k.tiktoken"), secret_scan.MIN_RATIO)
+    return next(scan(iter([pd.Series(texts)])))
+
+
+def test_forms_of_separated_and_upper_case_keys():
+    draw = random.Random(9)
+
+    def letters(k, of=LOWER):
+        return "".join(draw.choices(of, k=k))
+    forms = [lambda: letters(24, LOWER.upper()), lambda: letters(40, LOWER.upper()),
+             lambda: "-".join(letters(4) for _ in range(4)), lambda: letters(16) + "-" + letters(16),
+             lambda: "sk_live_" + letters(20), lambda: "KEY_" + letters(30, LOWER.upper())]
+    for form in forms:
+        assert scanned([f"x {form()} y" for _ in range(300)])["masked"].notna().mean() > 0.8
+    names = ["SOME_LONG_CONSTANT_NAME", "INTERNATIONALIZATION", "some-long-command-line-option", "getElementsByTagNameNode",
+             "2024-01-02-2024-01-03", "/usr/share/dictionaries/english", "a-b-c-d-e-f-g-h-i"]
+    assert scanned(names)["masked"].isna().all()
+
+
+def test_adversarial_runs_take_linear_time():
+    draw = random.Random(2)
+    hexes = " ".join("".join(draw.choices("0123456789abcdef", k=24)) for _ in range(40_000))
+    texts = {"letters and digits": "".join(draw.choices("acgt", k=1_000_000)) + "123456",
+             "one capital": "".join(draw.choices(LOWER, k=1_000_000)) + "A", "camel": "AbCd" * 250_000 + "12345",
+             "separators": "abc-" * 250_000 + "9A", "only separators": "-" * 1_000_000 + "a", "access": "AKIA" * 250_000 + "a",
+             "short hex": "0123456789abcdef0123456g" * 40_000, "spans and runs": hexes + " x" + "Zq9" * 10,
+             "assignments": "token=abcdef12 " * 70_000, "keyword and blanks": ("token" + " " * 1000) * 1000}
+    for name, text in texts.items():
+        start = time.perf_counter()
+        scanned([text])
+        assert time.perf_counter() - start < 6, name  # about a second; backtracking would not end
+
+
 def test_query_digests(spark):
     rows = queries.op8_scan_secrets(spark, SF001).collect()
     texts = {r["doc_id"]: r["text"] for r in table(spark, SF001, "documents").collect()}
