@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, lm, mixing, packing, quality, secret_scan, simhash, substring, urls
+from . import chat, fingerprints, infill, lm, mixing, packing, quality, secret_scan, simhash, substring, urls
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,25 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""")
 def op10_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                       OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, t[1:least(a, b)] AS pre, t[least(a, b) + 1:greatest(a, b)] AS mid, t[greatest(a, b) + 1:] AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(least(a, b) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(abs(a - b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return filled.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+                         F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
