@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, infill, lm, mixing, negatives, packing, quality, secret_scan, simhash, substring, urls
+from . import (
+    chat,
+    fingerprints,
+    infill,
+    lm,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    quality_trees,
+    secret_scan,
+    simhash,
+    substring,
+    urls,
+)
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +212,12 @@ def op12_mine_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"),
                                                      F.col("embedding").alias("vec"))
     return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+@query
+def op13_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality_trees.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_trees.score(docs, forest)
+    return scored.select("row.doc_id", "held_out", "score",
+                         (F.col("score") >= quality_trees.THRESHOLD).cast("int").alias("predicted"))
