@@ -9,12 +9,13 @@ Features: hashed, IDF-weighted tokens of the query and of the document
 (separate hash spaces) plus the fraction of query tokens found in the
 document.  Soft labels (forward KL) become one weighted row per (pair,
 label): minimising weighted cross-entropy with weights = teacher
-probabilities is forward KL up to the teacher's constant entropy.
+probabilities is forward KL up to the teacher's constant entropy.  Jensen-Shannon
+and reverse KL are no likelihoods; ``softfit`` minimises them on the same features.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -29,10 +30,14 @@ from pyspark.sql import types as T
 from ..functions import dist
 from ..functions.parse import decode_probs, prob_vector
 from ..functions.text import clamp_label, doc_text, label_int, normalize_field
+from ..session import materialized
+from .softfit import fit_distribution
 
 # Hash space per text side; the gradient L-BFGS aggregates every iteration is
 # 2 * NUM_FEATURES * num_labels doubles, so this is the knob for speed.
 NUM_FEATURES = 1 << 14
+SOFT_REG = 0.001  # penalty of the Jensen-Shannon and reverse KL fits, whose losses are smaller
+TOL = 1e-5  # relative change of the loss at which fits stop
 
 # What separates tokens: anything but letters, marks, digits and underscore of any script.
 NON_WORD = r"(?U)\W+"
@@ -51,36 +56,55 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     return df.withColumn("__overlap", overlap.cast("double"))
 
 
-def _features(num_features: int) -> Pipeline:
+def _counted(num_features: int) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol="__qtext", outputCol="__qtok", pattern=NON_WORD),
         RegexTokenizer(inputCol="__dtext", outputCol="__dtok", pattern=NON_WORD),
         HashingTF(inputCol="__qtok", outputCol="__qtf", numFeatures=num_features),
         HashingTF(inputCol="__dtok", outputCol="__dtf", numFeatures=num_features),
+    ])
+
+
+def _weighted() -> Pipeline:
+    return Pipeline(stages=[
         IDF(inputCol="__qtf", outputCol="__qv"),
         IDF(inputCol="__dtf", outputCol="__dv"),
         VectorAssembler(inputCols=["__qv", "__dv", "__overlap"], outputCol="features"),
     ])
 
 
-def _fit(pairs: DataFrame, label_rows: Callable[[DataFrame], DataFrame], weight_col: str | None,
-         max_iter: int, reg: float, num_features: int = NUM_FEATURES) -> PipelineModel:
-    """Fit features on the pairs, then the classifier on their labelled rows.
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Dealt over the cores where the input has fewer partitions than that; else as it is."""
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    return pairs.repartition(cores) if pairs.rdd.getNumPartitions() < cores else pairs
+
+
+def _feature_rows(pairs: DataFrame, keep: Sequence[str], num_features: int) -> tuple[PipelineModel, DataFrame]:
+    """The fitted feature stages, and ``features`` with the columns ``keep``.
 
-    Document frequencies count each pair once, and only the feature vectors
-    and labels are persisted (memory, spilling to disk) for the L-BFGS passes,
-    dealt evenly over the cores first: one shuffle for ``max_iter`` passes.
-    Lost blocks are recomputed.
+    Texts are read once: token counts are written as a table, which both the
+    document frequencies (each pair counts once) and the rows read.
+    """
+    count = _counted(num_features).fit(pairs)  # nothing to fit
+    narrow = _spread(pairs.select("query", "title", "passage", *keep))
+    counts = materialized(count.transform(pair_features(narrow)).select("__qtf", "__dtf", "__overlap", *keep), "token-counts")
+    weight = _weighted().fit(counts)
+    return PipelineModel([*count.stages, *weight.stages]), weight.transform(counts).select("features", *keep)
+
+
+def _classifier(rows: DataFrame, weight_col: str | None, max_iter: int, reg: float, tol: float = TOL):
+    """The classifier of ``features, __label`` (and a weight).
+
+    Only these are persisted (memory, spilling to disk) for the L-BFGS passes;
+    lost blocks are recomputed from the token counts.
     """
-    features = _features(num_features).fit(pairs)
-    rows = label_rows(features.transform(pairs)).select("features", "__label", *([weight_col] if weight_col else []))
     classifier = LogisticRegression(featuresCol="features", labelCol="__label", family="multinomial",
-                                    maxIter=max_iter, regParam=reg)
+                                    maxIter=max_iter, regParam=reg, tol=tol)
     if weight_col:
         classifier.setWeightCol(weight_col)
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select("features", "__label", *([weight_col] if weight_col else [])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return PipelineModel([*features.stages, classifier.fit(rows)])
+        return classifier.fit(rows)
     finally:
         rows.unpersist()
 
@@ -90,34 +114,36 @@ def fit_hard(pairs: DataFrame, num_labels: int, max_iter: int = 30, reg: float =
     0 without a label column, and a null label raises."""
     label = label_int(F.col("label").cast("string")) if "label" in pairs.columns else F.lit(0)
     lab = clamp_label(label, num_labels).cast("double")
-    return _fit(pair_features(pairs).withColumn("__label", lab), lambda rows: rows, None, max_iter, reg)
+    features, rows = _feature_rows(pairs.withColumn("__label", lab), ["__label"], NUM_FEATURES)
+    return PipelineModel([*features.stages, _classifier(rows, None, max_iter, reg)])
 
 
 def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "teacher_probs",
              max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
-    """Fit from teacher distributions.
+    """Fit from teacher distributions (I2), by any loss of the distributions.
 
     ``kind='fkl'``: one row per (pair, label) weighted by the teacher
     probability (``posexplode`` of the feature rows); ``kind='hard'``: the
-    teacher's first argmax.  ``probs`` may be JSON text, a map
-    (``{"0": p, ...}``) or an array in label order.
+    teacher's first argmax; ``kind='jsd'`` (or ``'soft'``) and ``'rkl'``: the
+    optimiser of ``softfit``, started at the forward KL fit.  ``probs`` may be
+    JSON text, a map (``{"0": p, ...}``) or an array in label order.
     """
-    if kind not in ("fkl", "hard"):
-        raise ValueError("kind must be 'fkl' or 'hard'")
+    kind = dist.check_kind(kind)
     dt = soft.schema[probs].dataType
     if isinstance(dt, T.ArrayType):
         vec = F.col(probs)
     else:   # a map, or JSON text as written by the soft-label sink (A7)
         vec = prob_vector(decode_probs(soft, probs), num_labels, "zero")
-    base = pair_features(soft).withColumn("__t", vec)
+    features, rows = _feature_rows(soft.withColumn("__t", vec), ["__t"], NUM_FEATURES)
     if kind == "hard":
-        base = base.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))
-        return _fit(base, lambda rows: rows, None, max_iter, reg)
-
-    def per_label(rows: DataFrame) -> DataFrame:
-        return (rows.select("features", F.posexplode("__t").alias("__lab", "__w")).where(F.col("__w") > 0)
-                .withColumn("__label", F.col("__lab").cast("double")))
-    return _fit(base, per_label, "__w", max_iter, reg)
+        labelled = rows.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))
+        return PipelineModel([*features.stages, _classifier(labelled, None, max_iter, reg)])
+    per_label = (rows.select("features", F.posexplode("__t").alias("__lab", "__w")).where(F.col("__w") > 0)
+                 .withColumn("__label", F.col("__lab").cast("double")))
+    model = _classifier(per_label, "__w", max_iter, reg)
+    if kind != "fkl":
+        model = fit_distribution(rows, num_labels, kind, max_iter, SOFT_REG, start=model)
+    return PipelineModel([*features.stages, model])
 
 
 def score_pairs(model: PipelineModel, pairs: DataFrame, num_labels: int) -> DataFrame:

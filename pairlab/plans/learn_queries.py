@@ -9,10 +9,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import dist
 from ..functions.parse import prob_vector
 from ..operators import learn, merge, shards
 from . import fixtures as fx
-from .merge_queries import _ok
+from .merge_queries import _MERGE_CTES, _ok
 from .registry import r6, register
 
 NL = 4
@@ -99,6 +100,39 @@ def q_fit_soft_check(spark, sf_dir):
     return _check(spark, sf_dir, learn.score_pairs(learn.fit_soft(soft, NL, kind="fkl"), pairs, NL), truth)
 
 
+def _divergence_check(spark, sf_dir, kind):
+    """A fit by ``kind``: every pair is scored once, and its mean divergence is
+    below the constant prior's and below that of a fit by forward KL."""
+    pairs = fx.pairs_text(spark, sf_dir)
+    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
+    soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
+    truth = soft.select("global_idx", prob_vector("teacher_probs", NL, "zero").alias("t"))
+    models = [learn.fit_soft(soft, NL, kind=k) for k in (kind, "fkl")]
+    sides = [learn.score_pairs(m, pairs, NL).select("global_idx", prob_vector("probs", NL, "zero").alias(name))
+             for m, name in zip(models, ("own", "other"))]
+    rows = sides[0].join(sides[1], "global_idx").join(truth, "global_idx", "left")
+    rows = rows.withColumn("prior", truth.agg(F.array(*[F.avg(F.get("t", i)) for i in range(NL)])).scalar())
+    own, other, prior = (F.avg(F.when(F.col("t").isNotNull(), dist.divergence("t", s, NL, kind)))
+                         for s in ("own", "other", "prior"))
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("global_idx").alias("pairs"),
+                    F.count("t").alias("taught"), (own < prior).alias("beats_prior"), (own < other).alias("beats_fkl"))
+
+
+_DIVERGENCE_CHECK_SQL = f"""WITH {_MERGE_CTES}
+SELECT count(*) AS rows, count(DISTINCT global_idx) AS pairs, count(*) FILTER (status = 'written') AS taught,
+  TRUE AS beats_prior, TRUE AS beats_fkl FROM m"""
+
+
+@register("fit_jsd_check", sql=_DIVERGENCE_CHECK_SQL)
+def q_fit_jsd_check(spark, sf_dir):
+    return _divergence_check(spark, sf_dir, "jsd")
+
+
+@register("fit_rkl_check", sql=_DIVERGENCE_CHECK_SQL)
+def q_fit_rkl_check(spark, sf_dir):
+    return _divergence_check(spark, sf_dir, "rkl")
+
+
 def _length_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     """A deterministic scorer: the share of a document's length in 1000 characters."""
     p = batch["passage"].fillna("").str.len().clip(upper=1000) / 1000
