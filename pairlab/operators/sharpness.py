@@ -9,35 +9,55 @@ report is one partial/final hash aggregate per group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dist
-from ..functions.constants import SOFTEN_TEMPERATURE
+from ..functions.constants import ENTROPY_EPS, SOFTEN_TEMPERATURE
 
 
 def with_sharpness(df: DataFrame, p, n: int, temperature: float = SOFTEN_TEMPERATURE,
                    renorm: bool = True) -> DataFrame:
     """Per-row ``__ent``, ``__mx``, ``__sent`` (softened entropy) and, for two
-    labels, ``__mg`` (C5-C8).
-
-    Each intermediate distribution is its own column (label-only ``__q``, then
-    softened ``__soft``), so a later expression reads it instead of re-deriving
-    it: an inlined softened entropy would repeat the max and the normaliser in
-    every term.
+    labels, ``__mg`` (C5-C8); null where there is no mass to share.
+
+    The mass is a column that is null without mass, so everything made from it
+    is null too and nothing else needs a guard; each later step is a column of
+    its own and reads scalars.  The softened distribution is never built: with
+    ``d = (ln q - max ln q) / T`` its entropy is ``ln S - sum(e^d d) / S`` with
+    ``S = sum e^d``.  The generated loop stays below the size up to which the
+    JVM compiles a method (a plan test holds that).
     """
-    q = dist.renormalize(p, n) if renorm else (F.col(p) if isinstance(p, str) else p)
-    df = df.withColumn("__q", q)
-    df = df.withColumn("__soft", dist.soften("__q", n, temperature))
-    cols = {"__ent": dist.entropy("__q", n), "__mx": dist.max_prob("__q", n),
-            "__sent": dist.entropy("__soft", n)}
+    xs = [F.get(F.col(p) if isinstance(p, str) else p, F.lit(i)) for i in range(n)]
+    mass = _added(xs)
+    df = df.withColumn("__mass", F.when(mass > 0, mass) if renorm else mass * 0.0 + 1.0)
+
+    def each(fn) -> list[Column]:
+        return [fn(i) for i in range(n)]
+
+    def columns(frame: DataFrame, name: str, values: list[Column]) -> DataFrame:
+        return frame.withColumns({f"__{name}{i}": v for i, v in enumerate(values)})
+    df = columns(df, "q", [x / F.col("__mass") for x in xs])
+    df = columns(df, "z", each(lambda i: F.ln(F.least(F.greatest(F.col(f"__q{i}"), F.lit(ENTROPY_EPS)), F.lit(1.0)))))
+    top = F.greatest(*each(lambda i: F.col(f"__z{i}"))) if n > 1 else F.col("__z0")
+    there = F.col("__mass").isNotNull()
+    df = columns(df.withColumn("__top", top), "d", each(lambda i: (F.col(f"__z{i}") - F.col("__top")) / F.lit(float(temperature))))
+    df = columns(df, "e", each(lambda i: F.exp(F.col(f"__d{i}"))))
+    total = _added(each(lambda i: F.col(f"__e{i}")))
+    out = {"__ent": -_added(each(lambda i: F.exp(F.col(f"__z{i}")) * F.col(f"__z{i}"))),
+           "__mx": F.greatest(*each(lambda i: F.col(f"__q{i}"))) if n > 1 else F.col("__q0"),
+           "__sent": F.ln(total) - _added(each(lambda i: F.col(f"__e{i}") * F.col(f"__d{i}"))) / total}
     if n == 2:
-        cols["__mg"] = dist.margin("__q")
-    for k, v in cols.items():  # clipping turns a missing probability into a small one, so ask first
-        df = df.withColumn(k, F.when(F.col("__q").isNotNull(), v))
-    return df.drop("__q", "__soft")
+        out["__mg"] = F.col("__z1") - F.col("__z0")
+    df = df.withColumns({k: F.when(there, v) for k, v in out.items()})
+    return df.drop("__mass", "__top", *[f"__{k}{i}" for k in "qzde" for i in range(n)])
+
+
+def _added(cols: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, cols)
 
 
 def temp_soften(df: DataFrame, probs: str, n: int,

@@ -128,3 +128,18 @@ def test_teacher_report_and_trend(spark):
     order = rep.withColumn("n", F.regexp_extract("teacher_size", "([0-9]+)", 1).cast("int"))
     tr = sharpness.polarization_trend(order, "n").collect()
     assert {r["trend_holds"] for r in tr} == {True}
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    """The JVM interprets methods above 8000 bytes; no headline query may have one."""
+    import bench
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    qs = entry.queries()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in bench.HEADLINE:
+            parts = debug.codegenStringSeq(qs[name](spark, SF001)._jdf.queryExecution().executedPlan())
+            sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+            assert max(sizes, default=0) < 8000, (name, sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
