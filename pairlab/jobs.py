@@ -24,7 +24,7 @@ from .operators import learn, merge, ranking, runs, shards, sharpness
 from .session import materialized
 from .operators.evaluate import eval_columns, round_report
 from .operators.extract import extract_counts, extract_fields
-from .sources.lines import given_order, read_indexed, with_positions
+from .sources.lines import read_indexed, with_positions
 from .sources.pairs import PAIR_SCHEMA, detect_keys, read_pairs, read_parquet_tree
 from .sources.scores import (read_score_rows, read_scores_tolerant, read_shard_rows, shard_files,
                              write_scores)
@@ -175,10 +175,9 @@ def merge_shards(spark: SparkSession, prefix: str, world_size: int, out_path: st
 
 
 def _tagged_scores(spark: SparkSession, paths: Sequence[str], tags: dict[str, Sequence[str]], num_labels: int) -> DataFrame:
-    """Score rows of several files with the tags of each row's file; one scan per file layout."""
+    """Score rows of several files with the tags of each row's file."""
     rows = read_score_rows(spark, list(paths))
-    which = given_order(F.col("file_path"), list(paths))
-    cols = [F.get(F.array(*map(F.lit, values)), which).alias(name) for name, values in tags.items()]
+    cols = [F.get(F.array(*map(F.lit, values)), F.col("given")).alias(name) for name, values in tags.items()]
     vector = prob_vector(parse_prob_map(SCORE_PROBS_COLUMN), num_labels, "zero")
     return rows.select(*cols, "global_idx", vector.alias("probs"))
 

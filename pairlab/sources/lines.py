@@ -60,14 +60,15 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def with_positions(rows: DataFrame, paths: str | Sequence[str],
                    first_of: str | None = None) -> DataFrame:
-    """``rows`` of a file scan (with ``file_path, block_start``) plus ``file_ord``
+    """``rows`` of a file scan (with ``file_path, block_start``, and ``seq`` where
+    they do not come in their split's order) plus ``file_ord``
     (files in the given order, then by path), ``global_idx`` (across files) and
     ``line_in_file`` (A2, T1, G5).  ``first_of`` names a column whose first
     value in the file every row gets as ``file_first`` (a header line).
 
     The windows below run over the split table, one row per input split.
     """
-    rows = rows.withColumn("__mid", F.monotonically_increasing_id())
+    rows = rows.withColumn("__mid", F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id())
     first = F.min_by(F.col(first_of), "__mid") if first_of else F.lit(None).cast("string")
     splits = rows.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"), first.alias("__first"))

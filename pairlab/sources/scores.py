@@ -8,6 +8,7 @@ A score file is a tab-separated text file with a header naming at least
   reason.  Each file's own header (line 0) locates the columns.
 * strict (``read_scores``): CSV with quoting; columns are found by header name,
   so files of any column order and of the three-column layout are read alike.
+  Quoted line breaks do not tie a file to one task (``quoted``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from ..functions.constants import (
 )
 from ..functions.parse import parse_prob_map, probs_to_text
 from ..functions.text import py_strip
-from .lines import as_list, read_indexed
+from .lines import read_indexed
+from .quoted import fields, header_columns, read_records
 
 STATUS_OK = "ok"
 #: Columns of a score file, their types, and whether a file must have them.
@@ -109,18 +111,8 @@ def read_scores_tolerant(spark: SparkSession, paths: str | Sequence[str]) -> Dat
     return parse_score_lines(lines)
 
 
-def _csv(spark: SparkSession, multiline: bool):
-    return (spark.read.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
-            .option("multiLine", str(multiline).lower()))
-
-
-def _typed(raw: DataFrame, name: str, dtype: str, required: bool) -> Column:
-    """A column by header name; bad values and a missing index raise."""
-    if name not in raw.columns:
-        if required:
-            raise ValueError(f"score file lacks column {name!r}: {raw.columns}")
-        return F.lit(None).cast(dtype).alias(name)
-    value = F.col(f"`{name}`")
+def _typed(value: Column, name: str, dtype: str) -> Column:
+    """A column's value; bad values and a missing index raise."""
     if dtype != "string":
         value = F.trim(value).cast(dtype)  # ANSI: bad text raises
     if name == SCORE_INDEX_COLUMN:
@@ -128,30 +120,34 @@ def _typed(raw: DataFrame, name: str, dtype: str, required: bool) -> Column:
     return value.alias(name)
 
 
-def read_score_rows(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True,
+def read_score_rows(spark: SparkSession, paths: str | Sequence[str],
                     columns: Sequence[tuple[str, str, bool]] = SCORE_COLUMNS) -> DataFrame:
-    """Strict rows with ``file_path`` and ``block_start``.
+    """Strict rows with ``file_path``, ``block_start``, ``seq`` and ``given``.
 
-    Columns are taken by each file's own header: one scan per distinct header
-    among the given paths (a directory counts as one layout).  With
-    ``multiline`` a quoted value may hold line breaks; a file is then one task,
-    so part files and shards are the unit of parallelism.
+    Files are read by split, whatever line breaks their quoted values hold (see
+    ``quoted``).  Columns are taken by each file's own header, also within a
+    directory; ``given`` is the position of the path argument.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in as_list(paths):  # reads header lines only
-        layouts.setdefault(tuple(_csv(spark, False).csv(path).columns), []).append(path)
-    out = None
-    for files in layouts.values():
-        raw = _csv(spark, multiline).csv(files)
-        part = raw.select(*[_typed(raw, *c) for c in columns], F.col("_metadata.file_path").alias("file_path"),
-                          F.col("_metadata.file_block_start").alias("block_start"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def read_scores(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
-    """Strict CSV scan with quoting, by header name (A5, T16): the score columns and ``probs``."""
-    rows = read_score_rows(spark, paths, multiline).drop("file_path", "block_start")
+    records, files = read_records(spark, paths)
+    headers = [r["header"] for r in files.select("header").distinct().collect()]  # one per layout
+    names = [[c.strip('"') for c in (h or "").split("\t")] for h in headers]
+    for cols in names:
+        for name, _, required in columns:
+            if required and name not in cols:
+                raise ValueError(f"score file lacks column {name!r}: {cols}")
+    cols = header_columns(F.col("header"))
+    places = files.select("file_path", F.col("file_ord").alias("given"),
+                          *[F.array_position(cols, F.lit(name)).cast("int").alias(f"__at{i}") for i, (name, _, _) in enumerate(columns)])
+    rows = records.join(places, "file_path").select(
+        "file_path", "block_start", "seq", "given", *[f"__at{i}" for i in range(len(columns))],
+        F.inline(F.array(F.struct(fields(F.col("record"), max(map(len, names), default=1)).alias("__values")))))
+    return rows.select(*[_typed(F.when(F.col(f"__at{i}") > 0, F.get("__values", F.col(f"__at{i}") - 1)), name, dtype)
+                         for i, (name, dtype, _) in enumerate(columns)], "file_path", "block_start", "seq", "given")
+
+
+def read_scores(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Strict scan with quoting, by header name (A5, T16): the score columns and ``probs``."""
+    rows = read_score_rows(spark, paths).drop("file_path", "block_start", "seq", "given")
     return rows.withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN))
 
 
@@ -190,7 +186,7 @@ def shard_files(spark: SparkSession, prefix: str, world_size: int, min_bytes: in
 
 
 def read_score_shards(spark: SparkSession, prefix: str, world_size: int, min_bytes: int | None = None,
-                      tolerant: bool = False, multiline: bool = True) -> DataFrame:
+                      tolerant: bool = False) -> DataFrame:
     """Score rows of every present shard ``<prefix>.rank{r}.tmp`` with ``rank``.
 
     The present-file list (at most ``world_size`` names) is what the scan is
@@ -199,11 +195,10 @@ def read_score_shards(spark: SparkSession, prefix: str, world_size: int, min_byt
     """
     files = [r.path for r in shard_files(spark, prefix, world_size, min_bytes)
              .where("present").orderBy("rank").select("path").collect()]
-    return read_shard_rows(spark, files, tolerant, multiline)
+    return read_shard_rows(spark, files, tolerant)
 
 
-def read_shard_rows(spark: SparkSession, files: Sequence[str], tolerant: bool = False,
-                    multiline: bool = True) -> DataFrame:
+def read_shard_rows(spark: SparkSession, files: Sequence[str], tolerant: bool = False) -> DataFrame:
     """Score rows of the given shard files with ``rank``."""
     if not files:
         raise FileNotFoundError("no score shard is present")
@@ -213,8 +208,8 @@ def read_shard_rows(spark: SparkSession, files: Sequence[str], tolerant: bool =
         lines = lines.select("file_ord", F.col("line_in_file").alias("line_idx"), "line", "file_first",
                              rank.alias("rank"))
         return parse_score_lines(lines, keep=("rank",))
-    rows = read_score_rows(spark, files, multiline)
-    return rows.withColumn("rank", rank).drop("file_path", "block_start") \
+    rows = read_score_rows(spark, files)
+    return rows.withColumn("rank", rank).drop("file_path", "block_start", "seq", "given") \
         .withColumn("probs", parse_prob_map(SCORE_PROBS_COLUMN))
 
 

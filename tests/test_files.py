@@ -230,5 +230,5 @@ def test_quoted_multiline_text_t17(spark, tmp_path):
     tol = read_scores_tolerant(spark, str(f))
     status = {r["line_idx"]: (r["status"], r["global_idx"]) for r in tol.collect()}
     assert status == {1: ("ok", 0), 2: ("bad_index", None), 3: ("ok", 1)}
-    strict = read_scores(spark, str(f), multiline=True).orderBy("global_idx").collect()
+    strict = read_scores(spark, str(f)).orderBy("global_idx").collect()
     assert [r["output_texts"] for r in strict] == ["first\nsecond", "plain"]
