@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,20 +42,33 @@ def join_scores(pairs: DataFrame, scores: DataFrame, index: str = "global_idx",
     return pairs.join(scores, index, "inner")
 
 
-@F.pandas_udf(T.DoubleType())
-def _py_round(x: pd.Series, dp: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None or pd.isna(v) else round(float(v), int(d))
-                      for v, d in zip(x, dp)], dtype="float64")
+def _parts(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two halves of its digits, whose products are exact."""
+    c = x * F.lit(float((1 << 27) + 1))
+    high = c - (c - x)
+    return high, x - high
 
 
 def round_py(c, dp: int) -> Column:
-    """Python ``round(x, dp)`` (B23, T8): correctly rounded from the binary
-    value.  ``round`` differs from it only next to the middle of two results,
-    so only those values go through Python; the others are null there."""
-    col = (F.col(c) if isinstance(c, str) else c).cast("double")
-    scaled = F.abs(col) * F.lit(10.0 ** dp)
-    near_middle = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-3
-    return F.coalesce(_py_round(F.when(near_middle | (scaled > 1e11), col), F.lit(dp)), F.round(col, dp))
+    """Python ``round(x, dp)`` (B23, T8): correctly rounded from the binary value.
+
+    The product ``p`` of the value and ``10**dp`` is rounded to a double, so a
+    ``p`` just in the middle of two results may stand for a value beside it.
+    The error of the product is a double too (the halves' products are exact)
+    and its sign decides; without an error the even result is taken.  Beyond
+    2**53 results are closer together than doubles, so the value stays.
+    """
+    if not 0 <= dp <= 22:
+        raise ValueError("dp must be from 0 to 22")
+    x, scale = (F.col(c) if isinstance(c, str) else c).cast("double"), 10.0 ** dp
+    p = x * F.lit(scale)
+    (xh, xl), (sh, sl) = _parts(x), _parts(F.lit(scale))
+    error = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    low = F.floor(p).cast("double")
+    middle = p - low == 0.5
+    near = F.when(middle & (error > 0), low + 1).when(middle & (error < 0), low).otherwise(F.rint(p))
+    rounded = F.when(near == 0, p * F.lit(0.0)).otherwise(near / F.lit(scale))  # keeps the sign of zero
+    return F.when(F.abs(p) < F.lit(2.0 ** 53), rounded).otherwise(x)
 
 
 def round_report(df: DataFrame, dp: int = 4) -> DataFrame:

@@ -22,14 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.constants import ECE_BINS, SOFTEN_TEMPERATURE
-from .calibration import bin_index
+from .incremental import RUN_KEYS, evaluation_states, state_report
 from .ranking import ndcg_per_query
-from .sharpness import with_sharpness
 from ..session import materialized
 
-RUN_KEYS = ("run", "dataset")
-
-
 def evaluation_grid(runs: DataFrame, datasets: Sequence[str], run_col: str = "run") -> DataFrame:
     """Runs × the given data-set tags (D7).  The tags are a parameter list (as on
     a command line), so the grid is an ``explode`` per run, not a join."""
@@ -54,47 +50,11 @@ def calibration_sharpness(scores: DataFrame, score: str, label: str, probs: str,
     """ECE and the polarization summary per run in one pass (E5 + E7).
 
     Level 1 groups by ``keys + bin`` (≤ n_bins + 1 rows per run leave each map
-    task); level 2 combines the bins per run.  Margin variance is combined
-    exactly from per-bin count, mean and M2 (no sum-of-squares cancellation).
+    task); level 2 combines the bins per run (``incremental``).
     """
-    lab = F.col(label).cast("double")
-    if label_max > 1:
-        lab = lab / F.lit(float(label_max))
-    s = F.col(score).cast("double")
-    row = scores.select(*keys, s.alias("__s"), lab.alias("__l"), F.col(probs).alias("__p"))
-    row = with_sharpness(row, "__p", num_labels, temperature)
-    if num_labels != 2:
-        row = row.withColumn("__mg", F.lit(None).cast("double"))
-    row = row.withColumn("__bin", bin_index("__s", n_bins))
-    per_bin = row.groupBy(*keys, "__bin").agg(
-        F.count(F.lit(1)).alias("n"), F.count("__ent").alias("nv"), F.sum("__s").alias("ss"), F.sum("__l").alias("sl"),
-        F.sum("__ent").alias("sent"), F.sum("__mx").alias("smx"), F.sum("__sent").alias("ssent"),
-        F.count("__mg").alias("nm"), F.avg("__mg").alias("mm"),
-        (F.var_pop("__mg") * F.count("__mg")).alias("m2"))
-    w = Window.partitionBy(*keys)
-    nm_all = F.sum("nm").over(w)
-    per_bin = per_bin.withColumn(
-        "__mall", F.when(nm_all > 0, F.sum(F.col("mm") * F.col("nm")).over(w) / nm_all))
-    binned = F.col("__bin").isNotNull()
-    gap = F.abs(F.col("ss") / F.col("n") - F.col("sl") / F.col("n")) * F.col("n")
-    out = per_bin.groupBy(*keys).agg(
-        F.sum("n").alias("num_samples"), F.sum("nv").alias("__nv"),
-        F.sum(F.when(binned, gap).otherwise(0.0)).alias("__gap"),
-        F.sum("sent").alias("__sent"), F.sum("smx").alias("__smx"), F.sum("ssent").alias("__ssent"),
-        F.sum("nm").alias("__nm"), F.first("__mall").alias("mean_margin"),
-        F.sum(F.coalesce(F.col("m2"), F.lit(0.0)) +
-              F.coalesce(F.col("nm") * F.pow(F.col("mm") - F.col("__mall"), 2), F.lit(0.0)))
-        .alias("__m2"))
-    n, nv = F.col("num_samples"), F.col("__nv")
-    cols = [*keys, "num_samples", (n - nv).alias("num_without_mass"),
-            F.when(n == 0, F.lit(0.0)).otherwise(F.col("__gap") / n).alias("ece"),
-            F.try_divide("__sent", nv).alias("mean_entropy"),
-            F.try_divide("__smx", nv).alias("mean_maxprob"),
-            F.try_divide(F.col("__ssent") - F.col("__sent"), nv).alias("temp_sensitivity")]
-    if num_labels == 2:
-        cols += ["mean_margin", F.when(F.col("__nm") > 0, F.col("__m2") / F.col("__nm"))
-                 .alias("var_margin")]
-    return out.select(*cols)
+    states = evaluation_states(scores, score, label, probs, num_labels, label_max, n_bins, temperature, keys)
+    cols = [*keys, "num_samples", "num_without_mass", "ece", "mean_entropy", "mean_maxprob", "temp_sensitivity"]
+    return state_report(states, keys).select(*cols, *(["mean_margin", "var_margin"] if num_labels == 2 else []))
 
 
 def leaderboard(scores: DataFrame, expected: DataFrame | None = None, qid: str = "qid",
@@ -139,12 +99,13 @@ def evaluate_runs(scores: DataFrame, pairs: DataFrame, join_keys: Sequence[str]
     keys = list(kw.get("keys", RUN_KEYS))
     if "score" not in scores.columns:
         scores = scores.withColumn("score", dist.weighted_score("probs", n))
-    joined = scores.join(pairs, list(join_keys), "inner")
+    # the flag tells matched rows, so that the scores are read once
+    joined = scores.join(pairs.withColumn("__hit", F.lit(True)), list(join_keys), "left")
     if materialize:
         joined = materialized(joined, "runs")
-    board = leaderboard(joined, expected=expected, **kw)
+    board = leaderboard(joined.where("__hit"), expected=expected, **kw)
     shared = [k for k in keys if k in join_keys]
-    counts = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ns")).join(
+    counts = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ns")).join(
         pairs.groupBy(*shared).agg(F.count(F.lit(1)).alias("__np")), shared, "left")
     board = board.join(counts, keys, "full_outer")
     differ = F.col("__ns").isNotNull() & ~(

@@ -103,17 +103,16 @@ u AS (SELECT 1 AS f, global_idx, p0, p1, p2, p3 FROM second
       UNION ALL SELECT 0, global_idx, p0, p1, p2, p3 FROM latest)
 SELECT global_idx, f AS file_ord, {_P_SQL} FROM u QUALIFY row_number() OVER (PARTITION BY global_idx ORDER BY f DESC) = 1""")
 def q_file_upsert(spark, sf_dir):
-    """A second file, with its columns in another order, scores a third of the pairs again."""
+    """A second folder of files, with their columns in another order, scores a third of the pairs again."""
     first, second = _folder(spark), _folder(spark)
-    _write_lines(fx.score_lines(spark, sf_dir).coalesce(1), first, fx.SCORE_HEADER)
+    _write_lines(fx.score_lines(spark, sf_dir), first, fx.SCORE_HEADER)
     again = fx.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(
         F.col("doc_id").alias("line_idx"),
         F.concat(F.lit("{'0': 0.25, '1': 0.25, '2': 0.25, '3': 0.25}\t"), F.col("doc_id").cast("string")).alias("line"))
-    _write_lines(again.coalesce(1), second, ["all_digit_scores", "global_idx"])
+    _write_lines(again, second, ["all_digit_scores", "global_idx"])
     parsed = merge.valid_scores(read_scores_tolerant(spark, [first, second]))
-    files = merge.latest_by_index(parsed, payload=("probs",))
-    first_files = files.agg(F.min("file_ord")).scalar()
-    return files.select("global_idx", (F.col("file_ord") > first_files).cast("int").alias("file_ord"), *_probs_cols())
+    latest = merge.latest_by_index(parsed, payload=("given", "probs"))
+    return latest.select("global_idx", F.col("given").alias("file_ord"), *_probs_cols())
 
 
 @register("file_shards", sql=f"""SELECT doc_id % {fx.WORLD_SIZE} AS rank, count(*) AS n, min(doc_id) AS least,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.constants import NDCG_CDF_THRESHOLDS
-from ..operators import calibration, divergence, ranking, sharpness
+from ..operators import calibration, divergence, fullrank, ranking, sharpness
 from . import fixtures as fx
 from .registry import r6, register
 
@@ -96,6 +96,20 @@ def q_top_k(spark, sf_dir):
     return t.select("qid", *KEY, r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@register("rank_in_query", sql=f"""WITH v AS ({fx.V1_SQL}),
+h AS (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE qid END AS q FROM v)
+SELECT q AS qid, {KEY_SQL}, row_number() OVER (PARTITION BY q ORDER BY
+    CASE WHEN score IS NULL OR isnan(score) THEN 1 ELSE 0 END, score DESC, {KEY_SQL}) AS rank,
+  row_number() OVER (PARTITION BY q ORDER BY rel DESC, {KEY_SQL}) AS ideal_rank FROM h""")
+def q_rank_in_query(spark, sf_dir):
+    """Every document's rank by score and by label, where one query holds about a third of all rows."""
+    v = fx.pairs_num(spark, sf_dir)
+    v = v.withColumn("qid", F.when(F.col("l_linenumber") % 3 == 0, F.lit(-1).cast(v.schema["qid"].dataType)).otherwise(F.col("qid")))
+    by_score = fullrank.full_rank(v.select("qid", *KEY, "score", "rel"), tie=KEY)
+    both = fullrank.full_rank(by_score, score="rel", tie=KEY, ideal=True, rank_col="ideal_rank")
+    return both.select("qid", *KEY, "rank", "ideal_rank")
+
+
 # -- calibration -------------------------------------------------------------
 
 #: The 11 doubles of an even split of [0, 1] into ten bins.

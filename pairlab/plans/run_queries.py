@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.parse import run_name, split_spec, teacher_name, teacher_size
-from ..operators import runs, sharpness
+from ..operators import incremental, runs, sharpness
+from ..session import ensure_checkpoint_dir
 from . import fixtures as fx
 from .metric_queries import _bins_sql
 from .registry import r6, register
@@ -124,6 +127,37 @@ def q_leaderboard_partial(spark, sf_dir):
     return lb.select("run", "dataset", "num_samples", r6("ndcg10"), r6("ece"), r6("mean_margin"), r6("var_margin"), "error")
 
 
+_INCREMENTAL_SQL = _LB_SQL.replace("SELECT *, exp(z0", "SELECT rw.*, exp(z0") + f""",
+d AS (SELECT run, dataset, least(greatest(t[1], 1e-8), 1 - 1e-8) AS a0, least(greatest(t[2], 1e-8), 1 - 1e-8) AS a1,
+        least(greatest(s[1], 1e-8), 1 - 1e-8) AS b0, least(greatest(s[2], 1e-8), 1 - 1e-8) AS b1 FROM p),
+l AS (SELECT run, dataset, avg(a0 * (ln(a0) - ln(b0)) + a1 * (ln(a1) - ln(b1))) AS rkl,
+        avg(b0 * (ln(b0) - ln(a0)) + b1 * (ln(b1) - ln(a1))) AS fkl FROM d GROUP BY run, dataset)
+SELECT ec.run, ec.dataset, ec.num_samples, ROUND(ec.ece, 6) AS ece, ROUND(mean_entropy, 6) AS mean_entropy,
+  ROUND(temp_sensitivity, 6) AS temp_sensitivity, ROUND(mean_margin, 6) AS mean_margin, ROUND(var_margin, 6) AS var_margin,
+  ROUND(fkl, 6) AS loss_fkl, ROUND(rkl, 6) AS loss_rkl, CAST({fx.WORLD_SIZE} AS BIGINT) AS shards, CAST(0 AS BIGINT) AS unseen
+FROM ec JOIN po USING (run, dataset) JOIN l USING (run, dataset)"""
+
+
+@register("incremental_report", sql=_INCREMENTAL_SQL)
+def q_incremental(spark, sf_dir):
+    """Shards of scores come in two lots, the second one first; one shard comes
+    again after it was scored wrongly.  The report is that of all rows."""
+    p = fx.probs(spark, sf_dir, 2).withColumn("shard", (F.col("l_orderkey") % fx.WORLD_SIZE).cast("int"))
+    p = p.withColumn("rel", (F.col("l_linenumber") % 4).cast("double")).withColumn("score", F.get("t", 1))
+    store = f"{ensure_checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    how = {"score": "score", "label": "rel", "probs": "t", "num_labels": 2, "label_max": 3, "teacher": "s"}
+    incremental.add_shards(p.where("shard >= 3"), store, **how)
+    wrong = p.where("shard = 1").withColumn("t", F.reverse("t"))
+    incremental.add_shards(wrong, store, **how)
+    incremental.add_shards(p.where("shard < 3"), store, **how)
+    left = incremental.unseen_shards(p.select("run", "dataset", "shard").distinct(), store).count()
+    states = incremental.read_states(spark, store)
+    shards = states.groupBy("run", "dataset").agg(F.countDistinct("shard").alias("shards"))
+    out = incremental.state_report(states).join(shards, ["run", "dataset"])
+    return out.select("run", "dataset", "num_samples", r6("ece"), r6("mean_entropy"), r6("temp_sensitivity"), r6("mean_margin"),
+                      r6("var_margin"), r6("loss_fkl"), r6("loss_rkl"), "shards", F.lit(left).cast("long").alias("unseen"))
+
+
 @register("pending_grid", sql=f"""WITH runs AS (SELECT DISTINCT l_returnflag AS run FROM lineitem),
 ds(dataset) AS (VALUES {_DS_SQL}),
 grid AS (SELECT run, dataset FROM runs, ds),

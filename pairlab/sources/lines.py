@@ -62,13 +62,14 @@ def with_positions(rows: DataFrame, paths: str | Sequence[str],
                    first_of: str | None = None) -> DataFrame:
     """``rows`` of a file scan (with ``file_path, block_start``, and ``seq`` where
     they do not come in their split's order) plus ``file_ord``
-    (files in the given order, then by path), ``global_idx`` (across files) and
+    (files in the given order, then by path), ``given`` (the position of the path
+    argument), ``global_idx`` (across files) and
     ``line_in_file`` (A2, T1, G5).  ``first_of`` names a column whose first
     value in the file every row gets as ``file_first`` (a header line).
 
     The windows below run over the split table, one row per input split.
     """
-    rows = rows.withColumn("__mid", F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id())
+    rows = rows.drop("given").withColumn("__mid", F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id())
     first = F.min_by(F.col(first_of), "__mid") if first_of else F.lit(None).cast("string")
     splits = rows.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__mid0"), first.alias("__first"))
@@ -77,7 +78,7 @@ def with_positions(rows: DataFrame, paths: str | Sequence[str],
     w_all = Window.orderBy("__given", "file_path", "block_start").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("file_path").orderBy("block_start")
     offsets = splits.select(
-        "file_path", "block_start", "__mid0",
+        "file_path", "block_start", "__mid0", F.col("__given").alias("given"),
         (F.dense_rank().over(files) - 1).alias("file_ord"),
         F.coalesce(F.sum("__n").over(w_all), F.lit(0)).alias("__off"),
         F.coalesce(F.sum("__n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__foff"),
@@ -100,5 +101,5 @@ def read_indexed(spark: SparkSession, paths: str | Sequence[str],
     if numbering == "dense":
         lines = lines.where(py_strip("line") != "")
     out = with_positions(lines, paths, "line" if with_first else None)
-    cols = ["file_path", "file_ord", "global_idx", "line_in_file", "line"]
+    cols = ["file_path", "file_ord", "given", "global_idx", "line_in_file", "line"]
     return out.select(*cols, *(["file_first"] if with_first else []))

@@ -24,6 +24,7 @@ from ..functions.constants import (
 )
 from ..functions.parse import parse_prob_map, probs_to_text
 from ..functions.text import py_strip
+from ..operators.evaluate import round_py
 from .lines import read_indexed
 from .quoted import fields, header_columns, read_records
 
@@ -105,10 +106,11 @@ def parse_score_lines(lines: DataFrame, header: Sequence[str] | None = None,
 
 
 def read_scores_tolerant(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Tolerant scan of one or more score files in the given order (A4)."""
+    """Tolerant scan of one or more score files in the given order (A4); ``given``
+    is the position of the path argument."""
     lines = read_indexed(spark, paths, "physical", with_first=True) \
-        .select("file_ord", F.col("line_in_file").alias("line_idx"), "line", "file_first")
-    return parse_score_lines(lines)
+        .select("file_ord", "given", F.col("line_in_file").alias("line_idx"), "line", "file_first")
+    return parse_score_lines(lines, keep=("given",))
 
 
 def _typed(value: Column, name: str, dtype: str) -> Column:
@@ -220,13 +222,13 @@ def write_scores(df: DataFrame, path: str, round_dp: int | None = None,
     ``orderBy`` range-partitions the rows, so part files are ordered among
     themselves; probabilities are written as a single-quoted dict, which no
     reader needs quoting for (T26).  ``round_dp`` rounds probabilities and the
-    weighted score (cross-encoder form).
+    weighted score as Python does (cross-encoder form).
     """
     probs = F.col("probs")
     w = F.col("weighted_score")
     if round_dp is not None:
-        probs = F.transform_values(probs, lambda k, v: F.round(v, round_dp))
-        w = F.round(w, round_dp)
+        probs = F.transform_values(probs, lambda k, v: round_py(v, round_dp))
+        w = round_py(w, round_dp)
     cols = [F.col("global_idx").alias(SCORE_INDEX_COLUMN),
             probs_to_text(probs).alias(SCORE_PROBS_COLUMN)]
     if with_text:
