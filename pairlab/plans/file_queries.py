@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import jobs
-from ..functions.parse import prob_mass
+from ..functions import dist
+from ..functions.parse import decode_probs, prob_mass, prob_vector
 from ..operators import merge, shards
 from ..operators.extract import extract_counts, extract_fields
 from ..session import ensure_checkpoint_dir
 from ..sources.pairs import read_pairs, read_parquet_tree
-from ..sources.scores import (read_score_shards, read_scores, read_scores_tolerant, shard_files, shard_path,
+from ..sources.scores import (parse_score_lines, read_score_shards, read_scores, read_scores_tolerant, shard_files, shard_path,
                               write_scores)
 from ..sources.sinks import write_jsonl
 from . import fixtures as fx
@@ -164,3 +165,37 @@ def q_file_merge(spark, sf_dir):
     soft = spark.read.parquet(out)
     probs = F.from_json("teacher_probs", "map<string,double>")
     return soft.withColumn("probs", probs).select("query", "title", "passage", "label", *_probs_cols("probs"))
+
+
+@register("file_ndcg", sql=f"""WITH v AS ({fx.V3_SQL}),
+w AS (SELECT qid, global_idx, CAST(label AS DOUBLE) AS rel, (global_idx * 7) % 1000 / 1000.0 AS score FROM v),
+a AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, global_idx) AS r FROM w),
+i AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, global_idx) AS r FROM w),
+ad AS (SELECT qid, count(*) AS n, sum(CASE WHEN r <= 5 THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS d5,
+         sum(CASE WHEN r <= 10 THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS d10 FROM a GROUP BY qid),
+id AS (SELECT qid, sum(CASE WHEN r <= 5 THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS d5,
+         sum(CASE WHEN r <= 10 THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS d10 FROM i GROUP BY qid)
+SELECT ad.qid, ad.n AS num_docs, ROUND(CASE WHEN id.d5 = 0 THEN 0.0 ELSE ad.d5 / id.d5 END, 6) AS ndcg5,
+  ROUND(CASE WHEN id.d10 = 0 THEN 0.0 ELSE ad.d10 / id.d10 END, 6) AS ndcg10 FROM ad JOIN id USING (qid)""")
+def q_file_ndcg(spark, sf_dir):
+    """Score files against pair files by position (B14, B21, B22, D3): keys are
+    found in the first row, columns typed, rows counted and joined by position."""
+    pairs, scores = _folder(spark), _folder(spark)
+    write_jsonl(fx.pairs_text(spark, sf_dir).orderBy("global_idx").select("qid", "query", "passage", "label"), pairs)
+    write_scores(_scores(spark, sf_dir), scores)
+    return jobs.ndcg_tables(spark, scores, pairs)["per_query"].select("qid", "num_docs", r6("ndcg5"), r6("ndcg10"))
+
+
+@register("teacher_decode", sql=f"""WITH {_PARSE_CTES},
+v AS ({fx.V3_SQL})
+SELECT v.global_idx, {_P_SQL}, CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0
+  WHEN p1 >= p2 AND p1 >= p3 THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS hard
+FROM v JOIN latest ON latest.global_idx = v.global_idx WHERE p0 + p1 + p2 + p3 >= 0.99""")
+def q_teacher_decode(spark, sf_dir):
+    """The soft-label table's JSON column decoded to vectors (A7) and hard labels."""
+    scores = merge.latest_by_index(merge.valid_scores(parse_score_lines(
+        fx.score_lines(spark, sf_dir), header=fx.SCORE_HEADER)), payload=("probs",))
+    soft = merge.merge_soft_labels(fx.pairs_text(spark, sf_dir), scores, filter_invalid=True, as_json=True)
+    vec = prob_vector(decode_probs(soft, "teacher_probs"), 4, "zero")
+    return soft.select("global_idx", vec.alias("v")).select(
+        "global_idx", *[r6(F.get("v", i), f"p{i}") for i in range(4)], dist.hard_label("v", 4).alias("hard"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.parse import prob_mass
-from ..operators import merge, shards
+from ..operators import coverage, merge, pairstore, shards
+from ..session import ensure_checkpoint_dir
 from ..sources.scores import parse_score_lines
 from . import fixtures as fx
 from .registry import r6, register
@@ -138,6 +141,44 @@ def q_missing_pairs(spark, sf_dir):
     return merge.missing_pairs(pairs, scores).select("global_idx", "qid")
 
 
+# -- coverage bitmaps (D4, D6, E10) and the pair store (D1, D2) ------------------
+
+@register("index_coverage", sql=f"""WITH {_PARSE_CTES}
+SELECT count(*) AS num_records, count(DISTINCT global_idx) AS num_indexes,
+  count(*) - count(DISTINCT global_idx) AS num_duplicates, min(global_idx) AS min_idx, max(global_idx) AS max_idx FROM pr""")
+def q_index_coverage(spark, sf_dir):
+    """Coverage of two halves of the score lines, merged."""
+    ok = _ok(spark, sf_dir)
+    halves = [coverage.coverage(ok.where(F.col("line_idx") % 2 == k)) for k in (0, 1)]
+    return coverage.coverage_summary(coverage.merge_coverage(*halves))
+
+
+@register("index_gaps", sql=f"""WITH {_PARSE_CTES},
+gone AS (SELECT d.doc_id AS i FROM documents d ANTI JOIN pr ON pr.global_idx = d.doc_id),
+runs AS (SELECT i, i // 32768 AS b, i - row_number() OVER (PARTITION BY i // 32768 ORDER BY i) AS r FROM gone)
+SELECT min(i) AS first, max(i) AS last FROM runs GROUP BY b, r""")
+def q_index_gaps(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")  # ids 0 .. n - 1
+    return coverage.index_gaps(coverage.coverage(_ok(spark, sf_dir)), docs.count())
+
+
+@register("resume_by_bitmap", sql=f"""WITH {_MERGE_CTES}
+SELECT global_idx, qid FROM m WHERE status = 'missing'""")
+def q_resume_by_bitmap(spark, sf_dir):
+    pairs, scores = _merge_inputs(spark, sf_dir)
+    return coverage.uncovered_rows(pairs, coverage.coverage(scores)).select("global_idx", "qid")
+
+
+@register("merge_pair_store", sql=f"""WITH {_MERGE_CTES}
+SELECT global_idx, qid, status FROM m""")
+def q_merge_pair_store(spark, sf_dir):
+    """The merge against pairs that lie in buckets."""
+    pairs, scores = _merge_inputs(spark, sf_dir)
+    name = f"pairs_{uuid.uuid4().hex}"
+    store = pairstore.write_pair_store(pairs.select("global_idx", "qid"), f"{ensure_checkpoint_dir(spark)}/{name}", name, 8)
+    return pairstore.merge_with_store(store, scores, filter_invalid=True).select("global_idx", "qid", "status")
+
+
 # -- shards (V5) ----------------------------------------------------------------
 
 _SHARDS_CTE = f"sh AS ({fx.V5_SHARDS_SQL})"

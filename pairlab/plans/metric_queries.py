@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.constants import NDCG_CDF_THRESHOLDS
 from ..operators import calibration, divergence, fullrank, ranking, sharpness
+from ..operators.evaluate import round_py
 from . import fixtures as fx
 from .registry import r6, register
 
@@ -338,3 +339,18 @@ SELECT {KEY_SQL}, {_DIV_TERMS['hard_label']} AS hard_label FROM p""")
 def q_hard_label(spark, sf_dir):
     p = fx.probs(spark, sf_dir, _DIV_N)
     return p.select(*KEY, dist.hard_label("t", _DIV_N).alias("hard_label"))
+
+
+# -- rounding (B23) ------------------------------------------------------------
+
+@register("python_round", sql=f"""SELECT {KEY_SQL}, CAST(CAST(l_extendedprice / 7.0 AS DECIMAL(30, 12)) AS DECIMAL(20, 4))::DOUBLE AS r4,
+  CAST(l_linenumber + l_linenumber % 2 AS DOUBLE) AS even,
+  CAST(CASE WHEN l_linenumber % 2 = 0 THEN 0.01 ELSE 0.03 END AS DOUBLE) AS beside FROM lineitem""")
+def q_python_round(spark, sf_dir):
+    """Values as Python rounds them: prices, exact halves (to even), and decimals
+    whose binary value lies beside the middle (0.015 below it, 0.025 above)."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    odd = F.col("l_linenumber") % 2 == 1
+    return li.select(*KEY, round_py(F.col("l_extendedprice") / 7.0, 4).alias("r4"),
+                     round_py(F.col("l_linenumber") + F.lit(0.5), 0).alias("even"),
+                     round_py(F.when(odd, F.lit(0.025)).otherwise(F.lit(0.015)), 2).alias("beside"))
