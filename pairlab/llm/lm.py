@@ -1,25 +1,29 @@
 """Language-model scoring from a log-frequency Bloom filter (operator 6).
 
-A bigram model with Dirichlet smoothing: ``p(w | u) = (c(u, w) + MU * p(w)) /
-(c(u) + MU)`` and ``p(w) = (c(w) + 1) / (N + V + 1)``.  All counts ``c`` of the
-model come from a Bloom filter that holds, for an n-gram of count c, one entry
-for each level 1 .. 1 + floor(log2 c).  Asking for levels until one is missing
-gives the quantised count; the filter can only overstate it.
+A trigram model with Dirichlet smoothing: ``p(w | v, u) = (c(v, u, w) + MU3 *
+p(w | u)) / (c(v, u) + MU3)``, ``p(w | u) = (c(u, w) + MU * p(w)) / (c(u) + MU)``
+and ``p(w) = (c(w) + 1) / (N + V + 1)``.  All counts ``c`` of the model come from
+a Bloom filter that holds, for an n-gram of count c, one entry for each level 1 ..
+1 + floor(log2 c).  Asking for levels until one is missing gives the quantised
+count; the filter can only overstate it.
 
 The filter is made of one segment per bucket of the hash space, with
-``LEVEL_BITS`` bits for each entry.  A bucket sums its n-grams' counts, builds
-its segment and asks it for all n-grams that were sent, in a task of its own.
-So every n-gram of the training documents is held, whatever the corpus size,
-and no segment leaves its task.
-
-Counting, the exact base score and the model share one exchange: documents are
-dealt into chunks; a chunk sends each of its different words and word pairs
-once, in packed arrays per bucket, with its count in training documents, and
-gets the words' corpus counts and the filter's levels back in the same order.
-A word or pair that every document holds sends one entry a chunk.
-
-Words are told apart by a 64-bit hash, word pairs in the filter by their bucket
-and 32 more bits.  Defined results: a null or blank text has the end token
+``LEVEL_BITS`` bits for each entry; every n-gram of the training documents is
+held.  Segments are broadcast in batches of at most ``BATCH_BYTES`` (measured; a
+larger segment is a batch of its own) and probed by the workers that hold the
+documents.  One batch is probed while scoring.  Where there are more, the
+documents' n-grams are written once, parted by batch, each batch is broadcast in
+turn, answers its own part and is released, and scoring reads the answers.  The
+scores are the same for any batch size.
+
+Counting and the exact base score share one exchange: documents are dealt into
+chunks; a chunk sends each of its different n-grams once, in packed arrays per
+bucket, with its count in training documents, and gets the words' corpus counts
+back in the same order.  An n-gram that every document holds sends one entry a
+chunk.  There are as many buckets as keep ``BUCKET_BYTES`` of n-grams in each.
+
+Words are told apart by a 64-bit hash, longer n-grams in the filter by their
+bucket and 32 more bits.  Defined results: a null or blank text has the end token
 only; a null id counts as the empty text and is trained on; repeated rows count
 each; with no training rows N and V are 0 and every probability is uniform; an
 empty table gives an empty result.  Extra columns are not looked at.
@@ -27,24 +31,29 @@ empty table gives an empty result.  Extra columns are not looked at.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, from_planes, hashed_words, mix64, planes, saved
-from .substring import MAX_BUCKETS, bucket_slices, bucketed, chunked
+from .common import MASK64, from_planes, hashed_words, mix64, planes, saved, shared_dir
+from .substring import bucket_count, bucket_slices, bucketed, by_bucket, chunked
 
-MU = 300.0
+MU, MU3 = 300.0, 20.0
+BATCH_BYTES = 128 << 20  # of segments that are broadcast together
 PROBES, LEVEL_BITS = 4, 8  # a false entry in about 2.5 % of the cases
 FOLDS, HELD_OUT = 7, 2
+KEY_BYTES = 1.5  # of n-grams that a byte of text sends, about
 
 MOST_BITS = (1 << 32) - 1  # that a 32-bit hash can address; a segment with more entries is denser
 END, START = np.uint64(0x5E2D58D8B3BCDEE8), np.uint64(0x1B873593CC9E2D51)  # beside any word's hash
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PACKED = "chunk long, bucket long, words binary, word_counts binary, pairs binary, pair_counts binary"
-RESOLVED = ("chunk long, bucket long, counts binary, word_levels binary, pair_levels binary, "
-            "tokens long, types long, texts long")
+RESOLVED = ("chunk long, bucket long, counts binary, segment binary, bits long, tokens long, types long, texts long")
+LEVELS = "chunk long, bucket long, word_levels binary, pair_levels binary"
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -67,7 +76,16 @@ class _Tokens:
         before[1:] = self.hashes[:-1]
         before[last - self.counts + 1] = START
         self.before = before
-        self.pair = mix64(before * np.uint64(_ODD[0]) + self.hashes)
+        pair = mix64(before * np.uint64(_ODD[0]) + self.hashes)
+        # the pair before a token, and with it the triple; a document's first token has START, START before it
+        first = before == START
+        self.pair_before = np.empty_like(pair)
+        self.pair_before[1:] = pair[:-1]
+        self.pair_before[first] = mix64(np.array([START]) * np.uint64(_ODD[0]) + START)[0]
+        triple = mix64(self.pair_before * np.uint64(_ODD[1]) + self.hashes)
+        self.first = first
+        #: n-grams of more than one word: pairs, then triples
+        self.pair = np.concatenate((pair, triple))
 
     def of_docs(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, weights=values, minlength=len(self.counts))
@@ -93,7 +111,7 @@ def _send(buckets: int):
         words, word_bucket, place = _sorted_words(tokens.hashes, buckets)
         word_counts = np.bincount(place[trained], minlength=len(words)).astype(np.uint32)
         pairs, pair_bucket, place = _sorted_pairs(tokens.pair, buckets)
-        pair_counts = np.bincount(place[trained], minlength=len(pairs)).astype(np.uint32)
+        pair_counts = np.bincount(place[np.concatenate((trained, trained))], minlength=len(pairs)).astype(np.uint32)
         of_pairs = {n: (a, b) for n, a, b in bucket_slices(pair_bucket)}
         out = []
         of_words = {n: (a, b) for n, a, b in bucket_slices(word_bucket)}
@@ -160,39 +178,35 @@ def build_segment(items: np.ndarray, counts: np.ndarray, most_bits: int | None =
 
 
 def _resolve(rows: pa.Table) -> pa.Table:
-    """A bucket: corpus totals in a row without a chunk, and each chunk's answers in the order it asked."""
+    """A bucket: its segment and corpus totals in a row without a chunk, and the words' totals for each chunk in the order it asked."""
     word_keys, pair_keys, word_counts, pair_counts = (
         [from_planes(x, t) for x in rows[c].to_pylist()]
         for c, t in (("words", np.uint64), ("pairs", np.uint32), ("word_counts", np.uint32), ("pair_counts", np.uint32)))
     words, totals, word_place = _summed(word_keys, word_counts)
-    pairs, pair_totals, pair_place = _summed(pair_keys, pair_counts)
+    pairs, pair_totals, _ = _summed(pair_keys, pair_counts)
     items = np.concatenate([word_items(words), pairs.astype(np.uint64)])
     segment, bits = build_segment(items, np.concatenate([totals, pair_totals]))
-    level = Filter([(0, segment.tobytes(), bits)], 1).levels(items, np.zeros(len(items), np.int64)).astype(np.uint8)
     bucket = rows["bucket"][0].as_py()
-    of_words, of_pairs = (np.cumsum([len(k) for k in keys])[:-1] for keys in (word_keys, pair_keys))
-    back = zip(rows["chunk"].to_pylist(), np.split(totals[word_place], of_words),
-               np.split(level[:len(words)][word_place], of_words), np.split(level[len(words):][pair_place], of_pairs))
+    back = zip(rows["chunk"].to_pylist(), np.split(totals[word_place], np.cumsum([len(k) for k in word_keys])[:-1]))
     end = totals[words == END]
-    out = [(None, bucket, None, None, None, int(totals.sum()), int((totals > 0).sum()), int(end[0]) if len(end) else 0)]
-    out += [(chunk, bucket, planes(c), w.tobytes(), p.tobytes(), None, None, None) for chunk, c, w, p in back]
-    types = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.int64()] * 3
+    out = [(None, bucket, None, segment.tobytes(), bits, int(totals.sum()), int((totals > 0).sum()), int(end[0]) if len(end) else 0)]
+    out += [(chunk, bucket, planes(c), None, None, None, None, None) for chunk, c in back]
+    types = [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 4
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), types)],
-                    names=["chunk", "bucket", "counts", "word_levels", "pair_levels", "tokens", "types", "texts"])
+                    names=["chunk", "bucket", "counts", "segment", "bits", "tokens", "types", "texts"])
 
 
 class Filter:
-    """The segments side by side."""
+    """Segments side by side, of some buckets."""
 
     def __init__(self, segments: list[tuple[int, bytes, int]], buckets: int):
-        self.buckets = buckets
         self.bits = np.full(buckets, 1, np.uint64)
         self.first = np.zeros(buckets, np.uint64)
         at = 1  # an empty byte in front, for buckets without a segment
         for bucket, raw, bits in segments:
             self.bits[bucket], self.first[bucket] = bits, 8 * at
             at += len(raw)
-        self.data = np.frombuffer(b"\0" + b"".join(raw for _, raw, _ in segments), np.uint8)
+        self.data = np.frombuffer(b"".join([b"\0", *(raw for _, raw, _ in segments)]), np.uint8)
 
     def counts(self, items: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Quantised counts."""
@@ -214,25 +228,49 @@ class Filter:
         return level
 
 
-def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float):
+def _answered(filter_):
+    """Levels of the n-grams of packets (chunk, bucket, words, pairs) in the broadcast batch."""
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = filter_.value
+        for batch in batches:
+            out = []
+            for chunk, bucket, words, pairs in zip(*(batch[c].to_pylist() for c in ("chunk", "bucket", "words", "pairs"))):
+                asked = word_items(from_planes(words, np.uint64)), from_planes(pairs, np.uint32).astype(np.uint64)
+                out.append((chunk, bucket, *(bloom.levels(x, np.full(len(x), bucket)).astype(np.uint8).tobytes() for x in asked)))
+            cols = list(zip(*out)) or [()] * 4
+            types = [pa.int64()] * 2 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                             names=["chunk", "bucket", "word_levels", "pair_levels"])
+    return probe
+
+
+def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float, mu3: float, filter_):
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
         tokens = _Tokens(rows)
         words, word_bucket, place = _sorted_words(tokens.hashes, buckets)
         pairs, pair_bucket, pair_place = _sorted_pairs(tokens.pair, buckets)
-        back = dict(zip(found["bucket"].to_pylist(),
-                        zip(*(found[c].to_pylist() for c in ("counts", "word_levels", "pair_levels")))))
         exact, word_level, pair_level = (np.zeros(len(x), np.int64) for x in (words, words, pairs))
-        for n, a, b in bucket_slices(word_bucket):
-            exact[a:b], word_level[a:b] = from_planes(back[n][0], np.int64), np.frombuffer(back[n][1], np.uint8)
-        for n, a, b in bucket_slices(pair_bucket):
-            pair_level[a:b] = np.frombuffer(back[n][2], np.uint8)
+        if filter_ is not None:
+            word_level = filter_.value.levels(word_items(words), word_bucket)
+            pair_level = filter_.value.levels(pairs.astype(np.uint64), pair_bucket)
+        of_words = {n: (a, b) for n, a, b in bucket_slices(word_bucket)}
+        of_pairs = {n: (a, b) for n, a, b in bucket_slices(pair_bucket)}
+        for n, counts, of_word, of_pair in zip(*(found[c].to_pylist() for c in ("bucket", "counts", "word_levels", "pair_levels"))):
+            (a, b), (c, d) = of_words.get(n, (0, 0)), of_pairs.get(n, (0, 0))
+            if counts is not None:
+                exact[a:b] = from_planes(counts, np.int64)
+            else:
+                word_level[a:b], pair_level[c:d] = np.frombuffer(of_word, np.uint8), np.frombuffer(of_pair, np.uint8)
         of_token = exact[place]
         all_ = n_tokens + n_types + 1
-        word_count, pair_count = level_value(word_level)[place], level_value(pair_level)[pair_place]
-        before = np.empty_like(word_count)
-        before[1:] = word_count[:-1]
-        before[tokens.before == START] = level_value(levels(np.array([n_texts])))[0]
+        word_count, gram_count = level_value(word_level)[place], level_value(pair_level)[pair_place]
+        pair_count, triple_count = np.split(gram_count, 2)
+        texts = level_value(levels(np.array([n_texts])))[0]
+        before, pair_before = np.empty_like(word_count), np.empty_like(pair_count)
+        before[1:], pair_before[1:] = word_count[:-1], pair_count[:-1]
+        before[tokens.first] = pair_before[tokens.first] = texts
         p = (np.minimum(pair_count, before) + mu * (word_count + 1) / all_) / (before + mu)
+        p = (np.minimum(triple_count, pair_before) + mu3 * p) / (pair_before + mu3)
         n = len(tokens.counts)
         return pa.table({
             "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(tokens.counts, pa.int64()),
@@ -243,15 +281,54 @@ def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float):
     return score
 
 
-def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU, **chunks) -> DataFrame:
-    """Base and model score of every ``docs (doc_id, text)``, trained on those not held out."""
+def batches_of(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
+    """Buckets of ``(bucket, bytes)``, in order, in batches of at most ``limit`` bytes (one bucket at least)."""
+    out, room = [], 0
+    for bucket, size in sorted(sizes):
+        if not out or size > room:
+            out.append([])
+            room = limit
+        out[-1].append(bucket)
+        room -= size
+    return out
+
+
+def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU, mu3: float = MU3,
+                batch_bytes: int = BATCH_BYTES, **chunks) -> DataFrame:
+    """Base and model score of every ``docs (doc_id, text)``, trained on those not held out.
+
+    The filter of one batch passes through the driver; batches, not the corpus,
+    bound it.
+    """
+    spark = docs.sparkSession
     held = is_held_out(F.col("doc_id")) if held_out is None else held_out
-    dealt, n = chunked(docs.select("doc_id", "text", held.alias("held_out")), **chunks)
-    buckets = min(n, MAX_BUCKETS)
+    dealt, n, size = chunked(docs.select("doc_id", "text", held.alias("held_out")), **chunks)
+    buckets = bucket_count(size * KEY_BYTES)
     counted = dealt.groupBy("chunk").applyInArrow(_send(buckets), PACKED)
-    resolved = saved(counted.groupBy("bucket").applyInArrow(_resolve, RESOLVED))
+    resolved = saved(by_bucket(counted, size * KEY_BYTES).applyInArrow(_resolve, RESOLVED))
+    segments = resolved.filter("chunk IS NULL").select("bucket", "segment", "bits")
     total = resolved.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "texts"))).first()
-    found = resolved.filter("chunk IS NOT NULL").select("chunk", "bucket", "counts", "word_levels", "pair_levels")
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-        _score(buckets, total["tokens"], total["types"], total["texts"], mu),
+    batches = batches_of([tuple(r) for r in segments.select("bucket", F.octet_length("segment")).collect()], batch_bytes)
+
+    def sent(batch: list[int]):
+        got = segments.filter(F.col("bucket").between(batch[0], batch[-1])).toArrow()
+        return spark.sparkContext.broadcast(Filter(list(zip(*(got[c].to_pylist() for c in ("bucket", "segment", "bits")))), buckets))
+    none = F.lit(None).cast("binary")
+    found = resolved.filter("chunk IS NOT NULL").select("chunk", "bucket", "counts", none.alias("word_levels"), none.alias("pair_levels"))
+    inline = None
+    if len(batches) == 1:
+        inline = sent(batches[0])
+    elif batches:
+        ends = F.array(*[F.lit(b[-1]) for b in batches])
+        which = F.size(F.filter(ends, lambda e: e < F.col("bucket")))
+        asked = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+        counted.select("chunk", "bucket", "words", "pairs", which.alias("batch")).write.partitionBy("batch").parquet(asked)
+        for k, batch in enumerate(batches):
+            filter_ = sent(batch)
+            part = spark.read.schema("chunk long, bucket long, words binary, pairs binary").parquet(f"{asked}/batch={k}")
+            levels_ = saved(part.mapInArrow(_answered(filter_), LEVELS))
+            filter_.unpersist()
+            found = found.unionByName(levels_.withColumn("counts", none))
+    return dealt.groupBy("chunk").cogroup(found.repartition(n, "chunk").groupBy("chunk")).applyInArrow(
+        _score(buckets, total["tokens"], total["types"], total["texts"], mu, mu3, inline),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -30,26 +30,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import from_planes, hashed_words, mix64, planes, powers, text_size
 
 WINDOW, BLOCK = 20, 10
 CHUNK_BYTES = 6 << 20
-MAX_BUCKETS = 1 << 18
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20  # of keys: in a bucket, which is one group, and in a task
+KEY_BYTES = 1.0  # of probes or digests that a byte of text sends, about
 NULL_ID = np.iinfo(np.int64).max
 
 PACKED = "chunk long, bucket long, keys binary, flags binary"
 PLACED = "chunk long, bucket long, keys binary, ids binary, starts binary"
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with a chunk number, dealt by it, and the number of chunks."""
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
+    """``docs`` with a chunk number, dealt by it, the number of chunks, and the bytes of text."""
     rows, size = text_size(docs)
     n = max(1, min(rows, -(-size // chunk_bytes)))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    return dealt.repartition(n, "chunk"), n
+    return dealt.repartition(n, "chunk"), n, size
+
+
+def bucket_count(key_bytes: float) -> int:
+    """Buckets of the hash space for so many bytes of keys."""
+    return max(1, -(-int(key_bytes) // BUCKET_BYTES))
+
+
+def by_bucket(packets: DataFrame, key_bytes: float) -> GroupedData:
+    """Packets grouped by bucket, in partitions of about ``TASK_BYTES``, whatever the session's default is."""
+    return packets.repartition(max(1, -(-int(key_bytes) // TASK_BYTES)), "bucket").groupBy("bucket")
 
 
 class _Words:
@@ -246,11 +257,11 @@ def _finish(buckets: int):
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (UTF-8: kept words, one space between) per row of ``docs``."""
-    dealt, n = chunked(docs.select("doc_id", "text"), chunk_bytes)
-    buckets = min(n, MAX_BUCKETS)
-    hits = (dealt.groupBy("chunk").applyInArrow(_send_probes(buckets), PACKED)
-            .groupBy("bucket").applyInArrow(_resolve_probes, PACKED))
-    firsts = (dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_send_windows(buckets), PLACED)
-              .groupBy("bucket").applyInArrow(_resolve_windows, PLACED))
-    return dealt.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(
+    dealt, n, size = chunked(docs.select("doc_id", "text"), chunk_bytes)
+    key_bytes = size * KEY_BYTES
+    buckets = bucket_count(key_bytes)
+    hits = by_bucket(dealt.groupBy("chunk").applyInArrow(_send_probes(buckets), PACKED), key_bytes).applyInArrow(_resolve_probes, PACKED)
+    windows = dealt.groupBy("chunk").cogroup(hits.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_send_windows(buckets), PLACED)
+    firsts = by_bucket(windows, key_bytes).applyInArrow(_resolve_windows, PLACED)
+    return dealt.groupBy("chunk").cogroup(firsts.repartition(n, "chunk").groupBy("chunk")).applyInArrow(
         _finish(buckets), "doc_id long, n_words long, n_removed long, kept binary")

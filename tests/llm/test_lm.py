@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlab.llm import lm
+from pairlab.llm import lm, substring
 from pairlab.llm.common import table
 from tests.conftest import SF001
 from tests.llm.cases import no_docs, odd_docs
@@ -78,18 +78,20 @@ def test_a_bounded_segment_is_filled_up():
     assert bits == 8192 and (got[100:] > 0).sum() >= 1024 - 600  # the other entries go to n-grams seen once
 
 
-def test_scores_hold_every_pair_and_need_no_broadcast(spark, monkeypatch):
-    def no_broadcast(*_):
-        raise AssertionError("what a broadcast holds is bounded")
+def test_scores_hold_every_ngram_in_any_batches(spark, monkeypatch):
     docs = table(spark, SF001, "documents")
     texts = [(r["doc_id"], tokens(r["text"])) for r in docs.collect()]
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", no_broadcast)
-    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, chunk_bytes=1 << 16).collect()}
-    words, pairs = Counter(), Counter()
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 16)
+    runs = [{r["doc_id"]: r["score"] for r in lm.score_texts(docs, chunk_bytes=1 << 16, batch_bytes=size).collect()}
+            for size in (1 << 30, 1 << 17, 1)]
+    got = runs[0]
+    assert runs[1] == got and runs[2] == got
+    words, pairs, triples = Counter(), Counter(), Counter()
     for i, t in texts:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             words.update(t)
             pairs.update(zip(["", *t], t))
+            triples.update(zip(["", "", *t], ["", *t], t))
     n_texts, all_ = words[None], sum(words.values()) + len(words) + 1
 
     def count(c):
@@ -97,14 +99,32 @@ def test_scores_hold_every_pair_and_need_no_broadcast(spark, monkeypatch):
 
     def score(t):
         total = 0.0
-        for u, w in zip(["", *t], t):
-            before = count(n_texts if u == "" else words[u])
-            total += math.log10((min(count(pairs[u, w]), before) + lm.MU * (count(words[w]) + 1) / all_) / (before + lm.MU))
+        for v, u, w in zip(["", "", *t], ["", *t], t):
+            before, both = count(n_texts if u == "" else words[u]), count(n_texts if u == "" else pairs[v, u])
+            p = (min(count(pairs[u, w]), before) + lm.MU * (count(words[w]) + 1) / all_) / (before + lm.MU)
+            total += math.log10((min(count(triples[v, u, w]), both) + lm.MU3 * p) / (both + lm.MU3))
         return total
     off = np.array([abs(got[i] - score(t)) / len(t) for i, t in texts])
     assert np.median(off) < 0.02 and off.mean() < 0.05  # only what the filter overstates
 
 
+def test_batches_are_bounded():
+    sizes = [(3, 5), (1, 4), (2, 6), (9, 50), (10, 1)]
+    assert lm.batches_of(sizes, 10) == [[1, 2], [3], [9], [10]] and lm.batches_of([], 10) == []
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    docs = table(spark, SF001, "documents").select("doc_id", "text").filter("length(text) > 400")
+    twice = docs.filter("doc_id % 10 = 0")
+    once, more = ({r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score_texts(d, held_out=F.lit(False)).collect()}
+                  for d in (docs, docs.unionByName(twice.withColumn("doc_id", F.col("doc_id") + 1_000_000))))
+    rise = {i: more[i] - once[i] for i in once}
+    marked = [v for i, v in rise.items() if i % 10 == 0]
+    others = [v for i, v in rise.items() if i % 10]
+    assert np.median(marked) > 0.1 and abs(np.median(others)) < 0.02
+    assert np.mean([m > np.quantile(others, 0.9) for m in marked]) > 0.8
+
+
 def test_seen_pairs_score_higher(spark):
     train = [(i, "red fox runs fast") for i in range(40)] + [(100, "red fox runs fast"), (101, "fast runs fox red")]
     docs = spark.createDataFrame(train, "doc_id long, text string")
