@@ -1,11 +1,10 @@
 """Language-model scoring from a log-frequency Bloom filter (operator 6).
 
-A trigram model with Dirichlet smoothing: ``p(w | v, u) = (c(v, u, w) + MU3 *
-p(w | u)) / (c(v, u) + MU3)``, ``p(w | u) = (c(u, w) + MU * p(w)) / (c(u) + MU)``
-and ``p(w) = (c(w) + 1) / (N + V + 1)``.  All counts ``c`` of the model come from
-a Bloom filter that holds, for an n-gram of count c, one entry for each level 1 ..
-1 + floor(log2 c).  Asking for levels until one is missing gives the quantised
-count; the filter can only overstate it.
+A bigram model with Dirichlet smoothing: ``p(w | u) = (c(u, w) + MU * p(w)) /
+(c(u) + MU)`` and ``p(w) = (c(w) + 1) / (N + V + 1)``.  All counts ``c`` of the
+model come from a Bloom filter that holds, for an n-gram of count c, one entry
+for each level 1 .. 1 + floor(log2 c).  Asking for levels until one is missing
+gives the quantised count; the filter can only overstate it.
 
 The filter is made of one segment per bucket of the hash space, with
 ``LEVEL_BITS`` bits for each entry; every n-gram of the training documents is
@@ -22,8 +21,8 @@ bucket, with its count in training documents, and gets the words' corpus counts
 back in the same order.  An n-gram that every document holds sends one entry a
 chunk.  There are as many buckets as keep ``BUCKET_BYTES`` of n-grams in each.
 
-Words are told apart by a 64-bit hash, longer n-grams in the filter by their
-bucket and 32 more bits.  Defined results: a null or blank text has the end token
+Words are told apart by a 64-bit hash, word pairs in the filter by their bucket
+and 32 more bits.  Defined results: a null or blank text has the end token
 only; a null id counts as the empty text and is trained on; repeated rows count
 each; with no training rows N and V are 0 and every probability is uniform; an
 empty table gives an empty result.  Extra columns are not looked at.
@@ -42,11 +41,11 @@ from pyspark.sql import functions as F
 from .common import MASK64, from_planes, hashed_words, mix64, planes, saved, shared_dir
 from .substring import bucket_count, bucket_slices, bucketed, by_bucket, chunked
 
-MU, MU3 = 300.0, 20.0
+MU = 300.0
 BATCH_BYTES = 128 << 20  # of segments that are broadcast together
 PROBES, LEVEL_BITS = 4, 8  # a false entry in about 2.5 % of the cases
 FOLDS, HELD_OUT = 7, 2
-KEY_BYTES = 1.5  # of n-grams that a byte of text sends, about
+KEY_BYTES = 1.1  # of n-grams that a byte of text sends, about
 
 MOST_BITS = (1 << 32) - 1  # that a 32-bit hash can address; a segment with more entries is denser
 END, START = np.uint64(0x5E2D58D8B3BCDEE8), np.uint64(0x1B873593CC9E2D51)  # beside any word's hash
@@ -76,16 +75,7 @@ class _Tokens:
         before[1:] = self.hashes[:-1]
         before[last - self.counts + 1] = START
         self.before = before
-        pair = mix64(before * np.uint64(_ODD[0]) + self.hashes)
-        # the pair before a token, and with it the triple; a document's first token has START, START before it
-        first = before == START
-        self.pair_before = np.empty_like(pair)
-        self.pair_before[1:] = pair[:-1]
-        self.pair_before[first] = mix64(np.array([START]) * np.uint64(_ODD[0]) + START)[0]
-        triple = mix64(self.pair_before * np.uint64(_ODD[1]) + self.hashes)
-        self.first = first
-        #: n-grams of more than one word: pairs, then triples
-        self.pair = np.concatenate((pair, triple))
+        self.pair = mix64(before * np.uint64(_ODD[0]) + self.hashes)
 
     def of_docs(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, weights=values, minlength=len(self.counts))
@@ -111,7 +101,7 @@ def _send(buckets: int):
         words, word_bucket, place = _sorted_words(tokens.hashes, buckets)
         word_counts = np.bincount(place[trained], minlength=len(words)).astype(np.uint32)
         pairs, pair_bucket, place = _sorted_pairs(tokens.pair, buckets)
-        pair_counts = np.bincount(place[np.concatenate((trained, trained))], minlength=len(pairs)).astype(np.uint32)
+        pair_counts = np.bincount(place[trained], minlength=len(pairs)).astype(np.uint32)
         of_pairs = {n: (a, b) for n, a, b in bucket_slices(pair_bucket)}
         out = []
         of_words = {n: (a, b) for n, a, b in bucket_slices(word_bucket)}
@@ -244,7 +234,7 @@ def _answered(filter_):
     return probe
 
 
-def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float, mu3: float, filter_):
+def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float, filter_):
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
         tokens = _Tokens(rows)
         words, word_bucket, place = _sorted_words(tokens.hashes, buckets)
@@ -263,14 +253,11 @@ def _score(buckets: int, n_tokens: int, n_types: int, n_texts: int, mu: float, m
                 word_level[a:b], pair_level[c:d] = np.frombuffer(of_word, np.uint8), np.frombuffer(of_pair, np.uint8)
         of_token = exact[place]
         all_ = n_tokens + n_types + 1
-        word_count, gram_count = level_value(word_level)[place], level_value(pair_level)[pair_place]
-        pair_count, triple_count = np.split(gram_count, 2)
-        texts = level_value(levels(np.array([n_texts])))[0]
-        before, pair_before = np.empty_like(word_count), np.empty_like(pair_count)
-        before[1:], pair_before[1:] = word_count[:-1], pair_count[:-1]
-        before[tokens.first] = pair_before[tokens.first] = texts
+        word_count, pair_count = level_value(word_level)[place], level_value(pair_level)[pair_place]
+        before = np.empty_like(word_count)
+        before[1:] = word_count[:-1]
+        before[tokens.before == START] = level_value(levels(np.array([n_texts])))[0]
         p = (np.minimum(pair_count, before) + mu * (word_count + 1) / all_) / (before + mu)
-        p = (np.minimum(triple_count, pair_before) + mu3 * p) / (pair_before + mu3)
         n = len(tokens.counts)
         return pa.table({
             "doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": pa.array(tokens.counts, pa.int64()),
@@ -293,8 +280,8 @@ def batches_of(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
     return out
 
 
-def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU, mu3: float = MU3,
-                batch_bytes: int = BATCH_BYTES, **chunks) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU, batch_bytes: int = BATCH_BYTES,
+                **chunks) -> DataFrame:
     """Base and model score of every ``docs (doc_id, text)``, trained on those not held out.
 
     The filter of one batch passes through the driver; batches, not the corpus,
@@ -330,5 +317,5 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU,
             filter_.unpersist()
             found = found.unionByName(levels_.withColumn("counts", none))
     return dealt.groupBy("chunk").cogroup(found.repartition(n, "chunk").groupBy("chunk")).applyInArrow(
-        _score(buckets, total["tokens"], total["types"], total["texts"], mu, mu3, inline),
+        _score(buckets, total["tokens"], total["types"], total["texts"], mu, inline),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -86,12 +86,11 @@ def test_scores_hold_every_ngram_in_any_batches(spark, monkeypatch):
             for size in (1 << 30, 1 << 17, 1)]
     got = runs[0]
     assert runs[1] == got and runs[2] == got
-    words, pairs, triples = Counter(), Counter(), Counter()
+    words, pairs = Counter(), Counter()
     for i, t in texts:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             words.update(t)
             pairs.update(zip(["", *t], t))
-            triples.update(zip(["", "", *t], ["", *t], t))
     n_texts, all_ = words[None], sum(words.values()) + len(words) + 1
 
     def count(c):
@@ -99,10 +98,9 @@ def test_scores_hold_every_ngram_in_any_batches(spark, monkeypatch):
 
     def score(t):
         total = 0.0
-        for v, u, w in zip(["", "", *t], ["", *t], t):
-            before, both = count(n_texts if u == "" else words[u]), count(n_texts if u == "" else pairs[v, u])
-            p = (min(count(pairs[u, w]), before) + lm.MU * (count(words[w]) + 1) / all_) / (before + lm.MU)
-            total += math.log10((min(count(triples[v, u, w]), both) + lm.MU3 * p) / (both + lm.MU3))
+        for u, w in zip(["", *t], t):
+            before = count(n_texts if u == "" else words[u])
+            total += math.log10((min(count(pairs[u, w]), before) + lm.MU * (count(words[w]) + 1) / all_) / (before + lm.MU))
         return total
     off = np.array([abs(got[i] - score(t)) / len(t) for i, t in texts])
     assert np.median(off) < 0.02 and off.mean() < 0.05  # only what the filter overstates
@@ -121,7 +119,7 @@ def test_texts_that_occur_twice_score_higher(spark):
     rise = {i: more[i] - once[i] for i in once}
     marked = [v for i, v in rise.items() if i % 10 == 0]
     others = [v for i, v in rise.items() if i % 10]
-    assert np.median(marked) > 0.1 and abs(np.median(others)) < 0.02
+    assert np.median(marked) > 0.05 and abs(np.median(others)) < 0.02
     assert np.mean([m > np.quantile(others, 0.9) for m in marked]) > 0.8
 
 
