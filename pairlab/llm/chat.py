@@ -14,7 +14,9 @@ character.  Loss spans cover the assistants' escaped texts, without markers.
 
 Defined results: a null text or role is empty; a null conversation id is one
 conversation; rows that repeat a message id are one message (the least parent,
-score, role and text); a missing parent makes a root; a message that hangs on a
+score, role and text); a message without an id has no replies and gets its
+content's hash as id, so that equal ones under one parent are one message; a
+missing parent makes a root; a message that hangs on a
 cycle loses its parent link; equal scores go to the smaller leaf id; an empty
 table gives an empty result.  One conversation is one output row, whatever its
 length.  Extra columns are not looked at.
@@ -130,8 +132,9 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     row = F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
                    F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-    nodes = saved(messages.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min(row).alias("m"))
-                  .select("conv_id", "id", "m.*"))
+    made = F.xxhash64("conv_id", F.lit("id"), "parent", row).cast(messages.schema["id"].dataType)
+    named = messages.withColumn("id", F.coalesce("id", made))
+    nodes = saved(named.groupBy("conv_id", "id").agg(F.min(row).alias("m")).select("conv_id", "id", "m.*"))
     ids = nodes.select("conv_id", "id")
     links = saved(nodes.alias("n").join(ids.alias("p"), _same("n", "p", "parent"), "left").select(
         "n.conv_id", "n.id", F.when(F.col("p.id") != F.col("n.id"), F.col("p.id")).alias("up"), "n.score"))

@@ -14,8 +14,9 @@ distinct hosts and paths, so a popular host costs one row a path.  Components
 are computed by distributed label contraction.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
-fits no rule and has no aliases; relative links are resolved against the page;
-repeated rows get equal results; an empty table gives an empty result.  Extra
+fits no rule and has no aliases; all links of a page count, with the basic
+character entities decoded and resolved against the page (queries, dot segments);
+links of schemes without ``//`` (mailto, javascript, data) name no page; repeated rows get equal results; an empty table gives an empty result.  Extra
 columns are not looked at.
 """
 
@@ -30,12 +31,15 @@ from .graph import connected_components
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Where a page names another address of itself: canonical link, og:url, meta refresh.
-LINKS = (r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""",
+LINKS = (r"""(?is)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b[^">]*"|'[^'>]*\bcanonical\b[^'>]*'|canonical\b)[^>]*>""",
          r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']?og:url\b[^>]*>""",
          r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""")
 TARGETS = (r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""",
            r"""(?is)\bcontent\s*=\s*["']?([^"'\s>]+)""",
-           r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)""")
+           r"""(?is)\bcontent\s*=\s*["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""")
+#: Character entities that occur in addresses; the ampersand's own come last.
+ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#x2F;", "/"), ("&#x2f;", "/"),
+            ("&#47;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def host(url: Column) -> Column:
@@ -46,26 +50,47 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), URL, 2)
 
 
+def _without_dots(url: Column) -> Column:
+    """A url whose path has no ``.`` and ``..`` segments."""
+    head, rest = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    parts = F.split(F.substring(path(url), 2, 1 << 30), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x)))
+    last = F.element_at(parts, -1)
+    ended = F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    clean = F.concat(head, F.lit("/"), F.array_join(ended, "/"), rest)
+    return F.when(path(url).rlike(r"/\.\.?(/|$)"), clean).otherwise(url)
+
+
 def _resolved(link: Column, url: Column) -> Column:
-    """A link of the page ``url`` as a full url."""
+    """A link of the page ``url`` as a full url; null for a scheme that names no host."""
+    for entity, letter in ENTITIES:
+        link = F.replace(link, F.lit(entity), F.lit(letter))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(url, URL, 1))
-    folder = F.regexp_replace(F.regexp_extract(url, URL, 2), r"[^/]*$", "")
-    return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link))
-            .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    page = path(url)
+    folder = F.regexp_replace(page, r"[^/]*$", "")
+    whole = (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+             .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+             .when(link.startswith("/"), F.concat(root, link))
+             .when(link.startswith("?"), F.concat(root, page, link))
+             .when(link.startswith("#"), F.concat(F.regexp_replace(url, r"(?s)#.*$", ""), link))
+             .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link)))
+    return _without_dots(whole)
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """``a, b``: urls that name the same resource, from ``pages (url, html)`` and ``redirects (a, b)``."""
     proper = pages.filter(F.col("url").contains("://"))
-    links = []
-    for tag, target in zip(LINKS, TARGETS):
-        found = F.regexp_extract(F.regexp_extract("html", tag, 0), target, 1)
-        links.append(F.when(found != "", _resolved(found, F.col("url"))))
-    links.append(F.when(F.col("url").contains("#"), F.regexp_replace("url", r"(?s)#.*$", "")))
-    edges = proper.select(F.col("url").alias("a"), F.explode(F.array(*links)).alias("b"))
+    def targets(tag: str, target: str) -> Column:
+        tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(tag), F.lit(0))
+        return F.transform(tags, lambda t: F.regexp_extract(t, target, 1))
+    found = list(map(targets, LINKS, TARGETS))
+    links = proper.select("url", F.explode(F.array_distinct(F.concat(*found))).alias("link")).filter("link <> ''")
+    edges = links.select(F.col("url").alias("a"), _resolved(F.col("link"), F.col("url")).alias("b"))
+    edges = edges.unionByName(proper.filter(F.col("url").contains("#")).select(
+        F.col("url").alias("a"), F.regexp_replace("url", r"(?s)#.*$", "").alias("b")))
     edges = edges.filter("b IS NOT NULL AND a <> b")
     # a link with a fragment names the resource without it
     edges = edges.withColumn("b", F.regexp_replace("b", r"(?s)#.*$", ""))

@@ -93,3 +93,15 @@ def test_long_conversation_and_equal_turns(spark):
     rows = spark.range(2000).select(F.lit(1).cast("long").alias("conv_id"), (F.col("id") / 2).cast("int").alias("turn"),
                                     F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     assert chat.reply_paths(chat.chain(rows)).count() == 2000
+
+
+def test_messages_without_an_id_are_leaves(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, None, 1, "assistant", "a", 5.0), (1, None, 1, "assistant", "a", 5.0),
+            (1, None, 1, "assistant", "b", 4.0), (1, 2, 1, "assistant", "c", 1.0), (1, None, None, "user", "alone", -9.0),
+            (2, None, 77, "user", "orphan", 1.0), (None, None, None, None, None, None)]
+    got = {}
+    for r in chat.reply_paths(spark.createDataFrame(rows, MESSAGE), 9).collect():
+        got.setdefault((r["conv_id"], r["branch"]), []).append((r["turn"], r["text"]))
+    paths = {k: [t for _, t in sorted(v)] for k, v in got.items()}
+    assert [paths[1, b] for b in range(1, 5)] == [["q", "a"], ["q", "b"], ["q", "c"], ["alone"]]
+    assert paths[2, 1] == ["orphan"] and paths[None, 1] == [""] and len(paths) == 6

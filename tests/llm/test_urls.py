@@ -1,4 +1,7 @@
+import html
+import random
 import re
+from urllib.parse import urljoin
 
 from pairlab.llm import urls
 from pairlab.llm.common import table
@@ -66,3 +69,25 @@ def test_table_and_empty(spark):
     assert judged(spark, []) == {}
     same = judged(spark, [("http://a.net/es/", None)] * 3 + [(None, None)] * 2)
     assert [same[i]["verdict"] for i in range(5)] == ["block"] * 3 + ["allow"] * 2
+
+
+def test_links_of_each_kind_match_a_plain_version(spark):
+    draw = random.Random(7)
+    links = ["/a/b", "c", "../x", "./y/../z", "../../../up", "?q=1&r=2", "//other.org/p", "http://t.org/a?x=1&y=2", "d/..", "e/.", "#top",
+             "mailto:a@b.c", "javascript:void(0)", "data:text/plain,x", "https://u.org/a/./b/../c#frag"]
+    tags = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='alternate canonical' />", "<link rel=canonical href={}>",
+            '<meta property="og:url" content="{}">', '<meta http-equiv="refresh" content="0; url=\'{}\'">',
+            '<meta http-equiv=refresh content="5;URL={}">']
+    rows, want = [], set()
+    for i in range(200):
+        page = f"http://h{i}.io/" + draw.choice(["", "d/", "d/e/page.html", "d/page?z=1"])
+        body = "<p>text</p>"
+        for link in draw.sample(links, 2):
+            body += draw.choice(tags).format(html.escape(link)) + "<br>"
+            full = urljoin(page, link).replace("/a/./b/../c", "/a/c")  # urljoin leaves full urls as they are
+            if "://" in full and re.sub("#.*", "", full) != page and full != page:
+                want.add((page, re.sub("#.*", "", full)))
+        rows.append((page, body))
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = {(r["a"], r["b"]) for r in urls.alias_edges(pages).collect() if r["a"] != r["b"]}
+    assert got == want
