@@ -28,7 +28,7 @@ from .sources.lines import read_indexed, with_positions
 from .sources.pairs import PAIR_SCHEMA, detect_keys, read_pairs, read_parquet_tree
 from .sources.scores import (read_score_rows, read_scores_tolerant, read_shard_rows, shard_files,
                              write_scores)
-from .sources.sinks import write_jsonl, write_report, write_soft_labels
+from .sources.sinks import write_jsonl, write_nested_report, write_report, write_soft_labels
 
 
 _WRITTEN = {"output_texts": "output_text", "weighted_scores": "weighted_score"}
@@ -93,14 +93,15 @@ def ndcg_tables(spark: SparkSession, infer_path: str, data_path: str,
 
 def ndcg_report(spark: SparkSession, infer_path: str, data_path: str, out_path: str,
                 round_dp: int | None = 4, **kw) -> None:
-    """Write the NDCG report tables (A11).  Metric values are rounded as Python
+    """Write the NDCG report tables, and one nested document in parts under ``report`` (A11).  Metric values are rounded as Python
     rounds them (4 dp by default, ``None`` keeps full precision); the summary
     names its input files."""
     t = ndcg_tables(spark, infer_path, data_path, **kw)
-    t["per_query"] = t["per_query"].drop("first_key")
     if round_dp is not None:
         t = {k: round_report(v, round_dp) for k, v in t.items()}
     t["summary"] = t["summary"].select(F.lit(infer_path).alias("infer_file"), F.lit(data_path).alias("data_file"), "*")
+    write_nested_report(t["summary"], "per_query", t["per_query"], ("first_key",), f"{out_path}/report", drop=("first_key",))
+    t["per_query"] = t["per_query"].drop("first_key")
     write_report(t["summary"], out_path, {k: v for k, v in t.items() if k != "summary"})
 
 

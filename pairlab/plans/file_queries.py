@@ -167,7 +167,7 @@ def q_file_merge(spark, sf_dir):
     return soft.withColumn("probs", probs).select("query", "title", "passage", "label", *_probs_cols("probs"))
 
 
-@register("file_ndcg", sql=f"""WITH v AS ({fx.V3_SQL}),
+_NDCG_FILES_SQL = f"""WITH v AS ({fx.V3_SQL}),
 w AS (SELECT qid, global_idx, CAST(label AS DOUBLE) AS rel, (global_idx * 7) % 1000 / 1000.0 AS score FROM v),
 a AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, global_idx) AS r FROM w),
 i AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, global_idx) AS r FROM w),
@@ -176,7 +176,10 @@ ad AS (SELECT qid, count(*) AS n, sum(CASE WHEN r <= 5 THEN (pow(2.0, rel) - 1)
 id AS (SELECT qid, sum(CASE WHEN r <= 5 THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS d5,
          sum(CASE WHEN r <= 10 THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS d10 FROM i GROUP BY qid)
 SELECT ad.qid, ad.n AS num_docs, ROUND(CASE WHEN id.d5 = 0 THEN 0.0 ELSE ad.d5 / id.d5 END, 6) AS ndcg5,
-  ROUND(CASE WHEN id.d10 = 0 THEN 0.0 ELSE ad.d10 / id.d10 END, 6) AS ndcg10 FROM ad JOIN id USING (qid)""")
+  ROUND(CASE WHEN id.d10 = 0 THEN 0.0 ELSE ad.d10 / id.d10 END, 6) AS ndcg10 FROM ad JOIN id USING (qid)"""
+
+
+@register("file_ndcg", sql=_NDCG_FILES_SQL)
 def q_file_ndcg(spark, sf_dir):
     """Score files against pair files by position (B14, B21, B22, D3): keys are
     found in the first row, columns typed, rows counted and joined by position."""
@@ -186,6 +189,20 @@ def q_file_ndcg(spark, sf_dir):
     return jobs.ndcg_tables(spark, scores, pairs)["per_query"].select("qid", "num_docs", r6("ndcg5"), r6("ndcg10"))
 
 
+@register("file_nested_report", sql=_NDCG_FILES_SQL)
+def q_file_nested(spark, sf_dir):
+    """The nested report (A11): its list of queries, read back from the document's parts."""
+    pairs, scores, out = _folder(spark), _folder(spark), _folder(spark)
+    write_jsonl(fx.pairs_text(spark, sf_dir).orderBy("global_idx").select("qid", "query", "passage", "label"), pairs)
+    write_scores(_scores(spark, sf_dir), scores)
+    jobs.ndcg_report(spark, scores, pairs, out, round_dp=None)
+    parts = [f"{out}/report/{p}" for p in ("0-head", "1-body")]
+    text = spark.read.text(parts)
+    element = F.regexp_extract("value", r"(\{[^{}]*\})$", 1)  # the first element ends the head
+    got = text.select(F.from_json(element, "qid string, num_docs long, ndcg5 double, ndcg10 double").alias("e"))
+    return got.where("e.qid IS NOT NULL").select("e.qid", "e.num_docs", r6("e.ndcg5", "ndcg5"), r6("e.ndcg10", "ndcg10"))
+
+
 @register("teacher_decode", sql=f"""WITH {_PARSE_CTES},
 v AS ({fx.V3_SQL})
 SELECT v.global_idx, {_P_SQL}, CASE WHEN p0 >= p1 AND p0 >= p2 AND p0 >= p3 THEN 0
