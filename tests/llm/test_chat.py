@@ -100,7 +100,8 @@ def test_messages_without_an_id_are_leaves(spark):
             (1, None, 1, "assistant", "b", 4.0), (1, 2, 1, "assistant", "c", 1.0), (1, None, None, "user", "alone", -9.0),
             (2, None, 77, "user", "orphan", 1.0), (None, None, None, None, None, None)]
     got = {}
-    for r in chat.reply_paths(spark.createDataFrame(rows, MESSAGE), 9).collect():
+    schema = "conv_id long, id long, parent long, role string, text string, score double"
+    for r in chat.reply_paths(spark.createDataFrame(rows, schema), 9).collect():
         got.setdefault((r["conv_id"], r["branch"]), []).append((r["turn"], r["text"]))
     paths = {k: [t for _, t in sorted(v)] for k, v in got.items()}
     assert [paths[1, b] for b in range(1, 5)] == [["q", "a"], ["q", "b"], ["q", "c"], ["alone"]]
