@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,9 +71,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Session setting: where saved tables go while a ``scratch_scope`` is open.
+SCRATCH_DIR = "pairlab.scratch.dir"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Saved tables of a job lie in a folder of their own, which goes when the scope ends.
+
+    The folder is made under the checkpoint dir.  DataFrames made inside read
+    these tables, so write or collect them before the end.  Scopes may be
+    nested; each removes its own folder only, also when the job fails.
+    """
+    before = spark.conf.get(SCRATCH_DIR, None)
+    path = f"{before or ensure_checkpoint_dir(spark)}/scope-{uuid.uuid4().hex}"
+    spark.conf.set(SCRATCH_DIR, path)
+    try:
+        yield path
+    finally:
+        if before:
+            spark.conf.set(SCRATCH_DIR, before)
+        else:
+            spark.conf.unset(SCRATCH_DIR)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a Parquet table under the checkpoint dir and read
-    back: its lineage ends there, and later branches read only their columns."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    """``df`` written once as a Parquet table under the checkpoint dir (or in the
+    open ``scratch_scope``) and read back: its lineage ends there, and later
+    branches read only their columns."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get(SCRATCH_DIR, None) or ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
