@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import SCRATCH_DIR
+
 #: What separates words: space and the ASCII controls 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,13 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+    """Write ``df`` as a Parquet table in the shared folder, or in the open ``scratch_scope``, and read it back.
 
     Cuts the lineage: later steps read the table, and a lost executor costs a
     reread, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{spark.conf.get(SCRATCH_DIR, None) or shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,6 @@
 """Document fingerprints from content-defined chunks (operator 4).
 
-A gear hash rolls over the UTF-8 bytes; a chunk ends where its low bits are
+A gear hash rolls over the UTF-8 bytes; a chunk ends where its high bits are
 zero.  Cutting is normalised: below ``NORMAL`` bytes more bits must be zero,
 beyond it fewer, so chunk lengths gather around ``NORMAL`` (at least ``LEAST``,
 at most ``MOST``).  A boundary depends on the last 32 bytes and on the chunk's

@@ -3,8 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import from_planes, hashed_words, numbered, planes
+from pairlab.llm.common import from_planes, hashed_words, numbered, planes, saved
 from pairlab.llm.graph import connected_components
+from pairlab.session import scratch_scope
 from tests.llm.cases import LONG
 
 
@@ -46,3 +47,10 @@ def test_components_match_union_find(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_saved_tables_follow_the_scope(spark):
+    with scratch_scope(spark) as path:
+        scope = path.rsplit("/", 1)[1]
+        assert all(scope in f for f in saved(spark.range(5)).inputFiles())
+    assert scope not in saved(spark.range(5)).inputFiles()[0]
