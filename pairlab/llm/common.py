@@ -38,14 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where saved tables go: the open ``scratch_scope``, or the shared folder."""
+    return spark.conf.get(SCRATCH_DIR, None) or shared_dir(spark)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder, or in the open ``scratch_scope``, and read it back.
+    """Write ``df`` as a Parquet table in the scratch folder and read it back.
 
     Cuts the lineage: later steps read the table, and a lost executor costs a
     reread, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{spark.conf.get(SCRATCH_DIR, None) or shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

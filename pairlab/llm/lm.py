@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, from_planes, hashed_words, mix64, planes, saved, shared_dir
+from .common import MASK64, from_planes, hashed_words, mix64, planes, saved, scratch_dir
 from .substring import bucket_count, bucket_slices, bucketed, by_bucket, chunked
 
 MU = 300.0
@@ -308,7 +308,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU,
     elif batches:
         ends = F.array(*[F.lit(b[-1]) for b in batches])
         which = F.size(F.filter(ends, lambda e: e < F.col("bucket")))
-        asked = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+        asked = f"{scratch_dir(spark)}/ngrams-{uuid.uuid4().hex}"
         counted.select("chunk", "bucket", "words", "pairs", which.alias("batch")).write.partitionBy("batch").parquet(asked)
         for k, batch in enumerate(batches):
             filter_ = sent(batch)
