@@ -3,12 +3,13 @@
 Fingerprints that differ in at most ``DISTANCE`` bits are linked.  The 64 bits
 are cut into blocks; two linked fingerprints agree in all but ``DISTANCE`` of
 them, so one *table* per choice of agreeing blocks finds every link.  Within a
-table those blocks go to the front, fingerprints are sorted by Gray rank (so
-neighbours differ in few bits and every bit prefix is one contiguous range), and
-the ranges of 8 more bits at a time form a tree.  Each node factors out the bits
-that all its fingerprints share, as pattern and mask.  The self-join walks pairs
-of nodes from the top, accumulates the differences of shared bits, and drops a
-pair of whole groups once they pass the distance; a leaf pair is a link.
+table those blocks go to the front and fingerprints are sorted by Gray rank, so
+that neighbours differ in few bits.  Runs of neighbours form the leaves of a
+tree, runs of leaves the nodes above, and so on.  Each node factors out the bits
+that all its fingerprints share, as pattern and mask; nodes of equal pattern and
+mask are merged.  The self-join walks pairs of nodes from the top, accumulates
+the differences of shared bits, and drops a pair of whole groups once they pass
+the distance; a pair of fingerprints that is left is a link.
 
 A table's groups (one value of the agreeing blocks) are shuffled apart, so no
 task sees more than whole groups; a group beyond ``GROUP_ROWS`` is dealt into
@@ -39,6 +40,7 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 GROUP_ROWS = 20_000  # fingerprints of one group that one task joins
 FLUSH_ROWS = 200_000  # rows that a task gathers before it joins the groups in them
 PAIRS = 1 << 18  # node pairs expanded at once
+FAN = 2  # neighbours in Gray order that make one node; 2 prunes best (see README)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,33 +100,68 @@ def _front(x: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def linked_pairs(codes: np.ndarray, group: np.ndarray, top: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _starts(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+
+
+class _Level:
+    """Nodes of one tree level, by group: the bits that all codes below share, and each node's children."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, group: np.ndarray, begin: np.ndarray, kids: np.ndarray):
+        self.pattern, self.shared = low, ~(low ^ high)
+        self.low, self.high, self.group, self.begin, self.kids = low, high, group, begin, kids
+
+
+def gray_tree(codes: np.ndarray, group: np.ndarray, fan: int = FAN) -> list[_Level]:
+    """Levels from the codes up to one node a group.
+
+    Up to ``fan`` neighbours in Gray order, which differ in few bits, become one
+    node.  Nodes of a group with equal masked patterns are merged, and keep the
+    place of the first.  ``codes`` are sorted by group and Gray rank.
+    """
+    none = np.zeros(0, np.int64)
+    levels = [_Level(codes, codes, group, none, none)]
+    while len(at := _starts(levels[-1].group)) < len(levels[-1].group):
+        below = levels[-1]
+        n = len(below.group)
+        place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+        run = np.cumsum(place % fan == 0) - 1
+        begin = np.flatnonzero(place % fan == 0)
+        low, high = np.bitwise_and.reduceat(below.low, begin), np.bitwise_or.reduceat(below.high, begin)
+        owner = below.group[begin]
+        # nodes with equal masked patterns have equal low and high ends
+        order = np.lexsort((high, low, owner))
+        new = np.concatenate(([True], (np.diff(owner[order]) != 0) | (low[order][1:] != low[order][:-1])
+                              | (high[order][1:] != high[order][:-1])))
+        first = np.minimum.reduceat(order, np.flatnonzero(new))
+        into = np.empty(len(order), np.int64)
+        into[order] = first[np.cumsum(new) - 1]
+        nodes, into = np.unique(into, return_inverse=True)
+        parent = into[run]
+        kids = np.argsort(parent, kind="stable")
+        levels.append(_Level(low[nodes], high[nodes], owner[nodes],
+                             np.searchsorted(parent[kids], np.arange(len(nodes) + 1)), kids))
+    return levels
+
+
+def linked_pairs(codes: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of codes within ``distance`` in the same group.
 
-    ``codes`` are sorted by group and Gray rank; the codes of a group share
-    their ``top`` first bits.
+    ``codes`` are distinct in a group, sorted by group and Gray rank.
     """
-    levels = [*range(top, 64, 8), 64]
-    starts, pattern, shared, first_child = [], [], [], []
-    for bits in levels:
-        prefix = codes >> np.uint64(64 - bits)
-        new = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (group[1:] != group[:-1])))
-        at = np.flatnonzero(new)
-        low, high = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
-        if starts:
-            first_child.append(np.searchsorted(at, np.append(starts[-1], len(codes))))
-        starts.append(at)
-        pattern.append(low)
-        shared.append(~(low ^ high))
-    every = np.arange(len(starts[0]))
-    stack = [(0, every, every)]
+    levels = gray_tree(codes, group)
+    top = len(levels) - 1
+    if not top:  # no group has two codes
+        return
+    every = np.arange(len(levels[top].group))
+    stack = [(top, every, every)]
     while stack:
         level, i, j = stack.pop()
-        if level == len(levels) - 1:
-            yield starts[level][i], starts[level][j]
+        if not level:
+            yield i, j
             continue
-        begin = first_child[level]
-        ni, nj = begin[i + 1] - begin[i], begin[j + 1] - begin[j]
+        at, below = levels[level], levels[level - 1]
+        ni, nj = at.begin[i + 1] - at.begin[i], at.begin[j + 1] - at.begin[j]
         size = np.cumsum(ni * nj)
         if size[-1] > PAIRS and len(i) > 1:
             cut = min(max(1, int(np.searchsorted(size, PAIRS))), len(i) - 1)
@@ -132,15 +169,14 @@ def linked_pairs(codes: np.ndarray, group: np.ndarray, top: int, distance: int)
             continue
         pair = np.repeat(np.arange(len(i)), ni * nj)
         k = np.arange(size[-1]) - np.repeat(size - ni * nj, ni * nj)
-        a, b = begin[i][pair] + k // nj[pair], begin[j][pair] + k % nj[pair]
-        level += 1
-        keep = (a < b) if level == len(levels) - 1 else (a <= b)
-        keep |= i[pair] != j[pair]
+        a, b = at.kids[at.begin[i][pair] + k // nj[pair]], at.kids[at.begin[j][pair] + k % nj[pair]]
+        # a node meets itself once, and a code never
+        keep = (i[pair] != j[pair]) | ((a < b) if level == 1 else (a <= b))
         a, b = a[keep], b[keep]
-        differ = (pattern[level][a] ^ pattern[level][b]) & shared[level][a] & shared[level][b]
+        differ = (below.pattern[a] ^ below.pattern[b]) & below.shared[a] & below.shared[b]
         near = np.bitwise_count(differ) <= distance
         if near.any():
-            stack.append((level, a[near], b[near]))
+            stack.append((level - 1, a[near], b[near]))
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -177,7 +213,7 @@ def _indexed(layout: list[list[tuple[int, int]]], top: list[int]):
     return index
 
 
-def _joined(layout: list[list[tuple[int, int]]], top: list[int], distance: int):
+def _joined(layout: list[list[tuple[int, int]]], distance: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
@@ -189,7 +225,7 @@ def _joined(layout: list[list[tuple[int, int]]], top: list[int], distance: int):
             for t in np.unique(table):
                 at = np.flatnonzero(table == t)
                 code = _front(fp[at].view(np.uint64), layout[t])
-                found = _forest(len(at), linked_pairs(code, group[at], top[t], distance))
+                found = _forest(len(at), linked_pairs(code, group[at], distance))
                 if found:
                     edges.append(fp[at][np.array(found)])
             a, b = np.concatenate(edges).T
@@ -234,7 +270,7 @@ def near_links(fingerprints: DataFrame, distance: int = DISTANCE, group_rows: in
                         lambda c: F.least(c, own).cast("long") * chunks + F.greatest(c, own))
     dealt = rows.join(big, ["t", "node"], "left").select("t", "node", F.explode(cells).alias("cell"), "rank", "fp")
     dealt = dealt.repartition("t", "node", "cell").sortWithinPartitions("t", "node", "cell", "rank")
-    return dealt.mapInArrow(_joined(layout, top, distance), "a long, b long")
+    return dealt.mapInArrow(_joined(layout, distance), "a long, b long")
 
 
 def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -46,6 +46,13 @@ def clustered(n_random=1500, n_near=400, seed=1):
     return np.array(sorted(codes | {0, (1 << 64) - 1}), np.uint64)
 
 
+def gray_sorted(codes, n_groups):
+    codes = np.unique(codes)
+    group = (codes % np.uint64(n_groups)).astype(np.int64)
+    order = np.lexsort((simhash.gray_rank(codes), group))
+    return codes[order], group[order]
+
+
 def test_fingerprints_match_brute_force(spark):
     texts = ["A b", "", None, " \t", "É É É e", "x y z x y z"] + [
         r["text"] for r in table(spark, SF001, "documents").limit(40).collect()]
@@ -89,6 +96,40 @@ def test_gray_order_has_one_bit_steps():
     assert (np.bitwise_count(by_rank[1:] ^ by_rank[:-1]) == 1).all()
 
 
+@pytest.mark.parametrize("fan", [2, 3, 8])
+def test_tree_nodes_hold_what_their_codes_share(fan):
+    codes, group = gray_sorted(np.concatenate([clustered(300, 150, seed=s) for s in (2, 3)]), 5)
+    tree = simhash.gray_tree(codes, group, fan)
+    below = [[i] for i in range(len(codes))]
+    for level in tree[1:]:
+        below = [sum((below[k] for k in level.kids[a:b]), []) for a, b in zip(level.begin, level.begin[1:])]
+        assert sorted(sum(below, [])) == list(range(len(codes)))
+        for node, held in enumerate(below):
+            assert len(set(group[held])) == 1
+            low, high = np.bitwise_and.reduce(codes[held]), np.bitwise_or.reduce(codes[held])
+            assert level.shared[node] == ~(low ^ high) and level.pattern[node] == low
+        assert len(set(zip(level.group, level.pattern, level.shared))) == len(level.group)  # equal ones are merged
+    assert len(tree[-1].group) == len(set(group))
+
+
+def test_tree_merges_equal_patterns():
+    # runs (0, 1), (3, 2) ... in Gray order; the same low bits under the same free high bits meet
+    codes, group = gray_sorted(np.array([a << 40 | b for a in range(4) for b in range(4)], np.uint64), 1)
+    sizes = [len(level.group) for level in simhash.gray_tree(codes, group, 2)]
+    assert sizes[0] == 16 and sizes[-1] == 1
+    wide = np.array([0b0000, 0b0011, 0b0001, 0b0010], np.uint64)  # not in Gray order: both runs share nothing of two bits
+    assert [len(level.group) for level in simhash.gray_tree(wide, np.zeros(4, np.int64), 2)] == [4, 1]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3, 6])
+def test_tree_join_finds_every_pair_once(monkeypatch, distance):
+    monkeypatch.setattr(simhash, "PAIRS", 64)
+    codes, group = gray_sorted(clustered(300, 200, seed=7), 3)
+    got = [tuple(sorted(p)) for a, b in simhash.linked_pairs(codes, group, distance) for p in zip(a.tolist(), b.tolist())]
+    near = (np.bitwise_count(codes[:, None] ^ codes) <= distance) & (group[:, None] == group)
+    assert sorted(got) == [(i, j) for i, j in np.argwhere(near).tolist() if i < j]
+
+
 def test_table_groups(spark):
     rows = simhash.near_duplicates(table(spark, SF001, "documents")).collect()
     docs = {r["doc_id"]: by_hand(r["text"]) for r in table(spark, SF001, "documents").collect()}
