@@ -21,19 +21,21 @@ empty table gives an empty result.  Extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_size
+from .common import mix64, saved, text_size
 
 LEAST, NORMAL, MOST = 12, 32, 128
 HARD_BITS, EASY_BITS = 7, 3
-PART_BYTES, MAX_PARTS = 8 << 20, 10_000  # text of one id range, streamed through a task; ranges at most
+PART_BYTES = 8 << 20  # text of one range, streamed through a task
+MAX_PARTS = 100_000  # ranges at most, as each has a key on the driver; beyond 800 GB ranges grow
 DIGITS = 15  # of one chunk
 
 
@@ -109,14 +111,11 @@ def parse(fingerprint_: str) -> dict[str, int]:
 
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row, fingerprint`` per row of ``docs``; ``row`` is the row itself."""
-    import pandas as pd
-
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         gear = _gear()
         for texts in batches:
             yield pd.Series([fingerprint(chunk_set(t, gear)) for t in texts])
 
-    of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return docs.select(row, F.pandas_udf(of, "string")(F.col(text)).alias("fingerprint"))
 
@@ -148,47 +147,55 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def _part(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds lie above an id: 0 for the largest ids; null is the last part.
+def _key(doc_id: str = "doc_id", tag: str = "tag") -> Column:
+    """What rows are ranged by: descending id, null last, then the text's hash; smallest first."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.bitwise_not(doc_id).alias("down"), F.col(tag).alias("tag"))
+
 
-    Two steps of about sqrt(n) comparisons each: among every k-th bound, then
-    among the k after the last of those that lie above.
+def range_heads(docs: DataFrame, ranges: int) -> list[tuple]:
+    """The first key of each of about ``ranges`` ranges of rows, in order.
+
+    Only keys are shuffled, by Spark's range partitioning, whose bounds are sampled.
     """
-    down, k = sorted(bounds, reverse=True), max(1, math.isqrt(len(bounds)))
-    every, all_ = (F.from_json(F.lit(str(b)), "array<bigint>") for b in (down[::k], down))  # constants
-    blocks = F.size(F.filter(every, lambda b: b > doc_id))
-    inside = F.size(F.filter(F.slice(all_, (blocks - 1) * k + 1, k), lambda b: b > doc_id))
-    above = F.when(blocks == 0, 0).otherwise((blocks - 1) * k + inside)
-    return F.when(doc_id.isNull(), F.lit(len(down))).otherwise(above)
+    keys = saved(docs.select("doc_id", F.xxhash64("text").alias("tag")))
+    ranged = keys.select(_key().alias("key")).repartitionByRange(ranges, "key")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
+    return sorted(_place(r["key"]["none"], r["key"]["down"], r["key"]["tag"]) for r in firsts.collect())
+
+
+def _place(none: bool, down: int | None, tag: int) -> tuple:
+    return none, 0 if none else down, tag
+
+
+def _ranges_of(heads: list[tuple]):
+    """The range of each key; for a range's first key also the range before it, which it closes."""
+    def of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for none, down, tag in batches:
+            out = []
+            for key in zip(none.tolist(), down.tolist(), tag.tolist()):
+                key = _place(*key)
+                part = max(bisect_right(heads, key) - 1, 0)
+                out.append([part, (part or len(heads)) - 1] if key == heads[part] else [part])
+            yield pd.Series(out)
+    return of
 
 
 def edited_neighbours(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Each text's fingerprint, and how like it is to its edited text's and its successor's.
 
-    The edited text ends in the successor's beginning.  Rows are cut into parts
-    by id range and sorted within; a copy of each part's first row closes the
-    part before it, so every successor is at hand after one shuffle of the texts.
+    The edited text ends in the successor's beginning.  Rows are cut into ranges
+    of descending id and text hash and sorted within; the first row of a range
+    also closes the range before it, so every successor is at hand after one
+    shuffle of the texts.  Equal or null ids are told apart by their texts.
     """
     rows, size = text_size(docs)
-    parts = max(1, min(rows, MAX_PARTS, -(-size // part_bytes)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5],
-                                        max(10_000, 10 * parts))).first()[0]
-    bounds = sorted(set(cuts or []))[:parts]
-    tag = F.xxhash64("text")
-    placed = docs.select(_part(F.col("doc_id"), bounds).cast("int").alias("part"), "doc_id", "text", tag.alias("tag"),
-                         F.lit(False).alias("follows"))
-    # the first row of each part: one id and tag a part
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "tag"))
-    heads = sorted((r["part"], r["f"]["down"], r["f"]["tag"])
-                   for r in placed.groupBy("part").agg(first.alias("f")).collect())
-    spark = docs.sparkSession
-    closing = [(heads[i - 1][0], None if h[1] is None else -h[1], h[2]) for i, h in enumerate(heads)]
-    wanted = spark.createDataFrame(closing, "before int, id long, first long")
-    is_head = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("first"))
-    heads_text = placed.join(F.broadcast(wanted), is_head).select(  # one row a part
-        F.col("before").alias("part"), "doc_id", "text", "tag", F.lit(True).alias("follows"))
-    together = placed.unionByName(heads_text).repartition(max(parts, 1), "part").sortWithinPartitions(
-        "part", "follows", F.col("doc_id").desc_nulls_last(), "tag")
-    return together.select("part", "doc_id", "text", "follows").mapInArrow(
+    heads = range_heads(docs, max(1, min(rows, MAX_PARTS, -(-size // part_bytes))))
+    key = _key()
+    ranges = F.pandas_udf(_ranges_of(heads), "array<int>")(key["none"], F.coalesce(key["down"], F.lit(0)), F.col("tag"))
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    placed = tagged.withColumn("ranges", ranges).select("doc_id", "text", "tag", F.posexplode("ranges").alias("follows", "part"))
+    dealt = placed.repartitionById(max(len(heads), 1), "part")
+    ordered = dealt.sortWithinPartitions("part", "follows", F.col("doc_id").desc_nulls_last(), "tag")
+    return ordered.select("part", "doc_id", "text", F.col("follows").cast("boolean").alias("follows")).mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                   "near_edited double, near_next double")

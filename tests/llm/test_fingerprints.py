@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,13 +93,31 @@ def test_odd_and_empty_tables(spark):
     assert fp.edited_neighbours(no_docs(spark)).count() == 0
 
 
-def test_parts_count_the_bounds_above(spark):
+def test_ranges_start_at_their_heads(spark):
     draw = random.Random(6)
-    for n in (0, 1, 2, 7, 50, 101):
-        bounds = sorted(draw.sample(range(-500, 500), n))
-        ids = spark.range(-510, 510).select("id", fp._part(F.col("id"), bounds).alias("part"),
-                                            fp._part(F.lit(None).cast("long"), bounds).alias("none"))
-        assert all(r["part"] == sum(b > r["id"] for b in bounds) and r["none"] == n for r in ids.collect())
+    rows = [(draw.choice([None, 7, 7, draw.randrange(-500, 500), -2**63, 2**63 - 1]), f"t {k % 90}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    heads = fp.range_heads(docs, 20)
+    assert 10 < len(heads) <= 20 and heads == sorted(set(heads))
+    keys = [fp._place(r["k"]["none"], r["k"]["down"], r["k"]["tag"]) for r in
+            docs.withColumn("tag", F.xxhash64("text")).select(fp._key().alias("k")).collect()]
+    assert heads[0] == min(keys) and set(heads) <= set(keys)
+    none, down, tag = map(pd.Series, zip(*keys))
+    got = next(fp._ranges_of(heads)(iter([(none, down, tag)])))
+    for key, parts in zip(keys, got):
+        part = sum(h <= key for h in heads) - 1
+        assert parts == ([part, (part - 1) % len(heads)] if key in heads else [part])
+    assert fp.range_heads(docs.limit(0), 1) == []
+
+
+def test_equal_and_null_ids_in_many_ranges(spark):
+    rows = [(draw_id, f"{'same' if k % 3 else k} words of text {k % 40}") for k in range(300) for draw_id in (None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, hashed[r[1]]))
+    got = fp.edited_neighbours(docs, part_bytes=500).collect()
+    assert len(fp.range_heads(docs, 30)) > 15
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, by_hand(ordered)))
 
 
 def test_fingerprint_column(spark):
