@@ -11,7 +11,9 @@ changed.  Urls that fit nothing and lie with nothing are allowed.
 
 Rules meet urls through an equi-join on host suffixes (a host has few), on
 distinct hosts and paths, so a popular host costs one row a path.  Components
-are computed by distributed label contraction.
+are computed by distributed label contraction over 64-bit numbers of the urls,
+which are dealt out exactly (no hashes that could collide); the urls themselves
+are shuffled before and after the rounds only.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 fits no rule and has no aliases; all links of a page count, with the basic
@@ -113,6 +115,19 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(longest).select("host", "path", "best.rule", "best.action")
 
 
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, url``: a number for each url of ``edges (a, b)``, and the edges between different urls as numbers.
+
+    The numbers are written once, so that a task made again reads the same ones.
+    """
+    proper = edges.filter("a <> b")
+    urls = proper.select(F.explode(F.array("a", "b")).alias("url")).distinct()
+    nodes = saved(urls.select(F.monotonically_increasing_id().alias("node"), "url"))
+    left, right = (nodes.select(F.col("url").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
+    links = proper.join(left, "a").join(right, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return nodes, links
+
+
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """``page_id, url, host, path, rule, verdict`` for every row of ``pages (page_id, url, html)``.
 
@@ -120,7 +135,8 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     """
     edges = saved(alias_edges(pages, redirects))
     placed = saved(pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")))
-    members = connected_components(edges).select(F.col("node").alias("url"), "root")
+    nodes, links = numbered(edges)
+    members = connected_components(links).join(nodes, "node")
     members = saved(members.select("url", "root", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")))
     fits = saved(fitting_rules(placed.select("host", "path").unionByName(members.select("host", "path")), rules))
     spread = members.join(fits, ["host", "path"], "left").groupBy("root").agg(

@@ -91,3 +91,14 @@ def test_links_of_each_kind_match_a_plain_version(spark):
     pages = spark.createDataFrame(rows, "url string, html string")
     got = {(r["a"], r["b"]) for r in urls.alias_edges(pages).collect() if r["a"] != r["b"]}
     assert got == want
+
+
+def test_numbers_of_urls_keep_the_edges(spark):
+    draw = random.Random(3)
+    pairs = [(f"http://h.io/{draw.randrange(60)}", f"http://h.io/{draw.randrange(60)}") for _ in range(150)] + [("x://hub", "x://hub")]
+    pairs += [(f"http://h.io/{i}", "x://hub") for i in range(60)]
+    nodes, links = urls.numbered(spark.createDataFrame(pairs, "a string, b string").repartition(5))
+    name = {r["node"]: r["url"] for r in nodes.collect()}
+    assert len(name) == len(set(name.values())) == nodes.count()
+    assert sorted((name[r["a"]], name[r["b"]]) for r in links.collect()) == sorted(p for p in pairs if p[0] != p[1])
+    assert dict(links.dtypes) == {"a": "bigint", "b": "bigint"}
