@@ -126,8 +126,9 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-             for k, kind in enumerate(secret_scan.KINDS[:3])]
+    def of_kind(k: int):  # no default argument: a lambda's second one is the element's position
+        return F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    count = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS[:3])]
     return found.select("row.doc_id", *count, F.sha2(secret_scan.span_list(base), 256).alias("base_sha256"),
                         secret_scan.span_list(F.col("spans")).alias("spans"))
 
