@@ -1,4 +1,4 @@
-"""Registered queries of the training-data operators, one per operator."""
+"""Registered queries of the training-data operators: one per operator, and base columns with SQL forms."""
 
 from __future__ import annotations
 
@@ -222,3 +222,79 @@ def op13_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_trees.score(docs, forest)
     return scored.select("row.doc_id", "held_out", "score",
                          (F.col("score") >= quality_trees.THRESHOLD).cast("int").alias("predicted"))
+
+
+# The columns of operators 5, 6, 8 and 9 that do not depend on their methods have SQL forms.
+
+@query(r"""
+WITH w AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                                       lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, 2.0 * sum(size) AS most, sum(size) AS source_size, [3, 1, 2][
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM w GROUP BY source),
+-- in order of most / weight: what each unit of weight gets if this source and the later ones are below their bounds
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+      FROM s WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+u AS (SELECT coalesce(arg_min(unit, most / weight) FILTER (unit * weight <= most), 0) AS unit FROM l)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, CAST(least(most, weight * u.unit) AS DOUBLE) AS target
+FROM w JOIN s ON w.source IS NOT DISTINCT FROM s.source, u""")
+def base_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_mix_sources(spark, sf_dir).drop("taken")
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, {_CRC32.format('CAST(doc_id AS VARCHAR)')} % 7 = 2 AS held_out,
+                  unnest(list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), '')) AS word
+           FROM documents),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(max(n) AS BIGINT) AS train_tokens,
+       sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score
+FROM t LEFT JOIN c USING (word), n GROUP BY doc_id, held_out""")
+def base_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_score_texts(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+
+
+_SPANS = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{pattern}', 0) AS found, {least} AS least_chars,
+               regexp_extract_all(t, '{pattern}', {group}) AS judged, regexp_split_to_array(t, '{pattern}') AS apart FROM d"""
+    for k, (kind, pattern, group, least) in enumerate((
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_SPANS}),
+-- a match starts after the i stretches and i - 1 matches before it
+p AS (SELECT doc_id, k, kind, unnest(found) AS s, unnest(judged) AS g, unnest(apart[1:len(found)]) AS gap,
+             unnest(range(len(found))) AS i, least_chars FROM m),
+e AS (SELECT *, CAST(sum(length(gap) + length(s)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS stop FROM p),
+f AS (SELECT doc_id, k, kind, stop - length(s) AS start, stop FROM e WHERE length(g) >= least_chars)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k), '')) AS base_sha256
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_scan_secrets(spark, sf_dir).drop("spans")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                                               lambda x: x <> '') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM d),
+win AS (SELECT doc_id, p, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS k
+        FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+twice AS (SELECT doc_id, p FROM win WHERE k IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + i) AS n FROM (SELECT doc_id, p, unnest([0, 1, 2]) AS i FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+       CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+       len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed
+FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)""")
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_judge_quality(spark, sf_dir).drop("kept", "score")
