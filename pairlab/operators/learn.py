@@ -18,10 +18,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from ..functions import dist
 from ..functions.parse import decode_probs, prob_vector
 from ..functions.text import clamp_label, doc_text, label_int, normalize_field
 from ..session import materialized
-from .softfit import fit_distribution
+from .softfit import fit_saved, fit_weighted, saved_rows
 
 # Hash space per text side; the gradient L-BFGS aggregates every iteration is
 # 2 * NUM_FEATURES * num_labels doubles, so this is the knob for speed.
@@ -39,27 +38,28 @@ NUM_FEATURES = 1 << 14
 SOFT_REG = 0.001  # penalty of the Jensen-Shannon and reverse KL fits, whose losses are smaller
 TOL = 1e-5  # relative change of the loss at which fits stop
 
+# Token counts of both texts and the overlap, as ``token_counts`` writes them.
+COUNTS = ("__qtf", "__dtf", "__overlap")
+
 # What separates tokens: anything but letters, marks, digits and underscore of any script.
 NON_WORD = r"(?U)\W+"
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Normalised query and document text and the query-term overlap."""
+    """Normalised query and document text, their tokens and the query-term overlap."""
     q = normalize_field("query")
     d = normalize_field(doc_text(F.coalesce("title", F.lit("")), F.coalesce("passage", F.lit("")),
                                  "cross"))
     df = pairs.withColumn("__qtext", q).withColumn("__dtext", d)
-    qt = F.array_distinct(F.split(F.col("__qtext"), NON_WORD))
-    dt = F.array_distinct(F.split(F.col("__dtext"), NON_WORD))
-    qt = F.filter(qt, lambda x: x != "")
-    overlap = F.size(F.array_intersect(qt, dt)) / F.greatest(F.size(qt), F.lit(1))
+    for side in ("q", "d"):  # one split per text, read by the overlap and the counts
+        df = df.withColumn(f"__{side}tok", F.array_remove(F.split(f"__{side}text", NON_WORD), ""))
+    known = F.size(F.array_intersect("__qtok", "__dtok"))  # distinct tokens
+    overlap = known / F.greatest(F.size(F.array_distinct("__qtok")), F.lit(1))
     return df.withColumn("__overlap", overlap.cast("double"))
 
 
 def _counted(num_features: int) -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="__qtext", outputCol="__qtok", pattern=NON_WORD),
-        RegexTokenizer(inputCol="__dtext", outputCol="__dtok", pattern=NON_WORD),
         HashingTF(inputCol="__qtok", outputCol="__qtf", numFeatures=num_features),
         HashingTF(inputCol="__dtok", outputCol="__dtf", numFeatures=num_features),
     ])
@@ -79,34 +79,51 @@ def _spread(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(cores) if pairs.rdd.getNumPartitions() < cores else pairs
 
 
-def _feature_rows(pairs: DataFrame, keep: Sequence[str], num_features: int) -> tuple[PipelineModel, DataFrame]:
+def token_counts(pairs: DataFrame, keep: Sequence[str], num_features: int = NUM_FEATURES) -> DataFrame:
+    """Pairs with their token counts and overlap (``COUNTS``) in place of the texts,
+    written once: fits and scoring of the same pairs read this table, so that the
+    texts are split and hashed once for all of them."""
+    narrow = _spread(pairs.select("query", "title", "passage", *keep))
+    count = _counted(num_features).fit(narrow)  # nothing to fit
+    return materialized(count.transform(pair_features(narrow)).select(*COUNTS, *keep), "token-counts")
+
+
+def _feature_rows(pairs: DataFrame, keep: Sequence[str], num_features: int,
+                  fitted: PipelineModel | None = None) -> tuple[PipelineModel, DataFrame]:
     """The fitted feature stages, and ``features`` with the columns ``keep``.
 
     Texts are read once: token counts are written as a table, which both the
-    document frequencies (each pair counts once) and the rows read.
+    document frequencies (each pair counts once) and the rows read.  ``fitted``:
+    a model whose feature stages are taken over.
     """
-    count = _counted(num_features).fit(pairs)  # nothing to fit
-    narrow = _spread(pairs.select("query", "title", "passage", *keep))
-    counts = materialized(count.transform(pair_features(narrow)).select("__qtf", "__dtf", "__overlap", *keep), "token-counts")
-    weight = _weighted().fit(counts)
-    return PipelineModel([*count.stages, *weight.stages]), weight.transform(counts).select("features", *keep)
+    if set(COUNTS) <= set(pairs.columns):
+        counts = pairs.select(*COUNTS, *keep)
+    else:
+        counts = token_counts(pairs, keep, num_features)
+    if fitted is not None:
+        features = PipelineModel(fitted.stages[:-1])
+    else:
+        features = PipelineModel([*_counted(num_features).fit(counts).stages, *_weighted().fit(counts).stages])
+    return features, _after_counts(features).transform(counts).select("features", *keep)
+
+
+def _after_counts(model: PipelineModel) -> PipelineModel:
+    """The stages that follow the token counts."""
+    return PipelineModel([s for s in model.stages if not isinstance(s, HashingTF)])
 
 
 def _classifier(rows: DataFrame, weight_col: str | None, max_iter: int, reg: float, tol: float = TOL):
     """The classifier of ``features, __label`` (and a weight).
 
-    Only these are persisted (memory, spilling to disk) for the L-BFGS passes;
-    lost blocks are recomputed from the token counts.
+    Spark ML keeps the rows in blocks of its own (memory, spilling to disk) for
+    the L-BFGS passes, so they are not persisted here a second time; they are
+    read twice from the token counts.
     """
     classifier = LogisticRegression(featuresCol="features", labelCol="__label", family="multinomial",
                                     maxIter=max_iter, regParam=reg, tol=tol)
     if weight_col:
         classifier.setWeightCol(weight_col)
-    rows = rows.select("features", "__label", *([weight_col] if weight_col else [])).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return classifier.fit(rows)
-    finally:
-        rows.unpersist()
+    return classifier.fit(rows.select("features", "__label", *([weight_col] if weight_col else [])))
 
 
 def fit_hard(pairs: DataFrame, num_labels: int, max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
@@ -119,14 +136,15 @@ def fit_hard(pairs: DataFrame, num_labels: int, max_iter: int = 30, reg: float =
 
 
 def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "teacher_probs",
-             max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
+             max_iter: int = 30, reg: float = 0.01, start: PipelineModel | None = None) -> PipelineModel:
     """Fit from teacher distributions (I2), by any loss of the distributions.
 
-    ``kind='fkl'``: one row per (pair, label) weighted by the teacher
-    probability (``posexplode`` of the feature rows); ``kind='hard'``: the
-    teacher's first argmax; ``kind='jsd'`` (or ``'soft'``) and ``'rkl'``: the
-    optimiser of ``softfit``, started at the forward KL fit.  ``probs`` may be
-    JSON text, a map (``{"0": p, ...}``) or an array in label order.
+    ``kind='fkl'``: multinomial regression on one row per (pair, label) weighted
+    by the teacher probability, from one row per pair (``softfit.fit_weighted``);
+    ``kind='hard'``: the teacher's first argmax; ``kind='jsd'`` (or ``'soft'``)
+    and ``'rkl'``: the optimiser of ``softfit``, started at the forward KL fit,
+    or at ``start`` where the caller has that fit of the same rows.  ``probs``
+    may be JSON text, a map (``{"0": p, ...}``) or an array in label order.
     """
     kind = dist.check_kind(kind)
     dt = soft.schema[probs].dataType
@@ -134,22 +152,27 @@ def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "
         vec = F.col(probs)
     else:   # a map, or JSON text as written by the soft-label sink (A7)
         vec = prob_vector(decode_probs(soft, probs), num_labels, "zero")
-    features, rows = _feature_rows(soft.withColumn("__t", vec), ["__t"], NUM_FEATURES)
+    features, rows = _feature_rows(soft.withColumn("__t", vec), ["__t"], NUM_FEATURES, start)
     if kind == "hard":
         labelled = rows.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))
         return PipelineModel([*features.stages, _classifier(labelled, None, max_iter, reg)])
-    per_label = (rows.select("features", F.posexplode("__t").alias("__lab", "__w")).where(F.col("__w") > 0)
-                 .withColumn("__label", F.col("__lab").cast("double")))
-    model = _classifier(per_label, "__w", max_iter, reg)
+    rows = saved_rows(rows)  # read by every pass of both optimisers
+    model = start.stages[-1] if start is not None else fit_weighted(rows, num_labels, max_iter, reg, TOL)
+    if model is None:  # labels that no teacher gives weight to, or other lengths: rows per label
+        per_label = (rows.select("features", F.posexplode("__t").alias("__lab", "__w")).where(F.col("__w") > 0)
+                     .withColumn("__label", F.col("__lab").cast("double")))
+        model = _classifier(per_label, "__w", max_iter, reg)
     if kind != "fkl":
-        model = fit_distribution(rows, num_labels, kind, max_iter, SOFT_REG, start=model)
+        model = fit_saved(rows, num_labels, kind, max_iter, SOFT_REG, start=model)
     return PipelineModel([*features.stages, model])
 
 
 def score_pairs(model: PipelineModel, pairs: DataFrame, num_labels: int) -> DataFrame:
     """Score a pair table into the score schema (I3): ``global_idx, probs
-    (map "0".."n-1"), output_text (predicted label), weighted_score``."""
-    out = model.transform(pair_features(pairs))
+    (map "0".."n-1"), output_text (predicted label), weighted_score``.  Pairs of
+    ``token_counts`` are scored from their counts."""
+    counted = set(COUNTS) <= set(pairs.columns)
+    out = _after_counts(model).transform(pairs) if counted else model.transform(pair_features(pairs))
     p = vector_to_array("probability")
     out = out.withColumn("__p", p)
     m = F.map_from_arrays(F.array(*[F.lit(str(i)) for i in range(num_labels)]),

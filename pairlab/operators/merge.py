@@ -89,17 +89,17 @@ def merge_status(pairs: DataFrame, scores: DataFrame, filter_invalid: bool = Fal
 
 def merge_soft_labels(pairs: DataFrame, scores: DataFrame, filter_invalid: bool = False,
                       min_mass: float = MIN_PROB_MASS, bounded: bool = False,
-                      as_json: bool = True) -> DataFrame:
+                      as_json: bool = True, keep: Sequence[str] = ("query", "title", "passage")) -> DataFrame:
     """Soft-label table: written pairs with their teacher distribution.
 
-    Columns ``global_idx, query, title, passage, label, teacher_probs``; label
+    Columns ``global_idx``, those of ``keep``, ``label, teacher_probs``; label
     is ``int(label)``, 0 without a label column, and a null label raises; ``teacher_probs`` is JSON text
     (``as_json``) or the map.
     """
     m = merge_status(pairs, scores, filter_invalid, min_mass, bounded)
     w = m.where(F.col("status") == "written")
     probs = F.to_json("__probs") if as_json else F.col("__probs")
-    return w.select("global_idx", "query", "title", "passage",
+    return w.select("global_idx", *keep,
                     (label_int("label") if "label" in pairs.columns else F.lit(0)).alias("label"),
                     probs.alias("teacher_probs"))
 

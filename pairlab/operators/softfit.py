@@ -51,31 +51,92 @@ def loss_and_slope(t: np.ndarray, s: np.ndarray, kind: str, eps: float = DIVERGE
     return loss, s * (by_s - (s * by_s).sum(axis=1, keepdims=True))
 
 
+def cross_entropy(t: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per-row cross-entropy of teacher weights with the student's logits, and its derivative by the logits.
+
+    One row per label weighted by its teacher weight has the same sums.
+    """
+    t = np.where(t > 0, t, 0.0)
+    shifted = z - z.max(axis=1, keepdims=True)
+    e = np.exp(shifted)
+    total, weight = e.sum(axis=1, keepdims=True), t.sum(axis=1, keepdims=True)
+    return (t * (np.log(total) - shifted)).sum(axis=1), weight * e / total - t
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
+#: The same with indices (32 bit) and values (64 bit) as bytes, which readers copy whole.
+PACKED = "indices binary, numbers binary, __t array<double>"
+#: Pairs whose entries are worked on at a time: their arrays stay in the processor's cache.
+SLICE = 1024
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of bytes, and how many each row has."""
+    size = np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    flat = np.frombuffer(held, np.uint8)[ends[0]:ends[-1]].view(kind) if held is not None else np.zeros(0, kind)
+    return flat, np.diff(ends) // size
+
+
 class _Batch:
-    """An Arrow batch of ``ROWS``: entries of the feature matrix and teacher rows.
+    """An Arrow batch of ``ROWS`` or ``PACKED``: entries of the feature matrix and teacher rows.
 
     Dense vectors have no indices; theirs are 0 .. size - 1.
     """
 
     def __init__(self, batch: pa.RecordBatch):
-        vec = batch["features"]
-        n = len(vec)
-        values, indices = (vec.field(k) for k in ("values", "indices"))
-        size = np.diff(values.offsets.to_numpy()) if n else np.zeros(0, int)
-        self.row, self.value = np.repeat(np.arange(n), size), values.flatten().to_numpy()
-        if indices.null_count:
-            self.index = np.concatenate([np.arange(k) if i is None else np.array(i, np.int64)
-                                         for i, k in zip(indices.to_pylist(), size)])
+        n = batch.num_rows
+        if "numbers" in batch.schema.names:
+            self.value, self.size = _numbers(batch["numbers"], "f8") if n else (np.zeros(0), np.zeros(0, int))
+            self.index = _numbers(batch["indices"], "i4")[0] if n else np.zeros(0, np.int32)
         else:
-            self.index = indices.flatten().to_numpy().astype(np.int64)
+            values, indices = (batch["features"].field(k) for k in ("values", "indices"))
+            self.size = np.diff(values.offsets.to_numpy()) if n else np.zeros(0, int)
+            self.value = values.flatten().to_numpy()
+            if indices.null_count:
+                self.index = np.concatenate([np.arange(k) if i is None else np.array(i, np.int64)
+                                             for i, k in zip(indices.to_pylist(), self.size)])
+            else:
+                self.index = indices.flatten().to_numpy()
         self.t = batch["__t"].flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
 
 
+class _Slice:
+    """Some rows of a batch, and the row of each entry."""
+
+    def __init__(self, batch: _Batch, first: int, entries: slice):
+        size = batch.size[first:first + SLICE]
+        self.size, self.row, self.value = size, np.repeat(np.arange(len(size)), size), batch.value[entries]
+        self.index, self.t = batch.index[entries].astype(np.int64), batch.t[first:first + SLICE]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
+    for batch in map(_Batch, batches):
+        ends = np.concatenate(([0], np.cumsum(batch.size)))
+        for first in range(0, len(batch.size), SLICE):
+            last = min(first + SLICE, len(batch.size))
+            yield _Slice(batch, first, slice(ends[first], ends[last]))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows of ``ROWS`` saved as ``PACKED``, which every pass reads."""
+    def as_bytes(numbers: np.ndarray, size: np.ndarray) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum(size * numbers.itemsize))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(numbers.tobytes())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _Batch(batch)
+            cols = [as_bytes(b.index.astype(np.int32), b.size), as_bytes(b.value, b.size), batch["__t"]]
+            yield pa.RecordBatch.from_arrays(cols, names=["indices", "numbers", "__t"])
+    return materialized(rows.mapInArrow(pack, PACKED), "soft-packed")
+
+
 def _partials(total: np.ndarray, extra: tuple[float, int]) -> pa.RecordBatch:
     blocks = [total[at:at + BLOCK] for at in range(0, len(total), BLOCK)] or [total]
     first = np.arange(len(blocks)) == 0
@@ -118,7 +179,7 @@ def _moments(rows: DataFrame, n_features: int, n_labels: int) -> tuple[np.ndarra
 
     def partial(batches):
         total, n = np.zeros(size), 0
-        for batch in map(_Batch, batches):
+        for batch in _slices(batches):
             total[:n_features] += np.bincount(batch.index, batch.value, minlength=n_features)
             total[n_features:2 * n_features] += np.bincount(batch.index, batch.value ** 2, minlength=n_features)
             total[2 * n_features:] += batch.t.sum(axis=0) if len(batch.t) else 0.0
@@ -136,18 +197,18 @@ def _pass(rows: DataFrame, weights: np.ndarray, scale: np.ndarray, kind: str) ->
 
     def partial(batches):
         coef, intercept = sent.value
-        total, loss, n = np.zeros((n_features + 1, n_labels)), 0.0, 0
-        for batch in map(_Batch, batches):
+        by_label = [np.ascontiguousarray(coef[:, k]) for k in range(n_labels)]
+        sums, last, loss, n = np.zeros((n_labels, n_features)), np.zeros(n_labels), 0.0, 0
+        for batch in _slices(batches):
             rows_here = len(batch.t)
-            z = np.stack([np.bincount(batch.row, batch.value * coef[batch.index, k], minlength=rows_here)
+            z = np.stack([np.bincount(batch.row, batch.value * by_label[k].take(batch.index), minlength=rows_here)
                           for k in range(n_labels)], axis=1) + intercept
-            one, slope = loss_and_slope(batch.t, softmax(z), kind)
+            one, slope = cross_entropy(batch.t, z) if kind == "ce" else loss_and_slope(batch.t, softmax(z), kind)
             for k in range(n_labels):
-                total[:-1, k] += np.bincount(batch.index, batch.value * slope[batch.row, k], minlength=n_features)
-            total[-1] += slope.sum(axis=0)
+                sums[k] += np.bincount(batch.index, batch.value * np.repeat(slope[:, k], batch.size), minlength=n_features)
+            last += slope.sum(axis=0)
             loss, n = loss + float(one.sum()), n + rows_here
-        total[:-1] *= scale[:, None]
-        return total.ravel(), (loss, n)
+        return np.vstack((sums.T * scale[:, None], last)).ravel(), (loss, n)
     try:
         return _summed(rows, partial, weights.size)
     finally:
@@ -192,6 +253,175 @@ def minimise(objective, start: np.ndarray, max_iter: int, tol: float, history: i
     return x, values
 
 
+def _weighted_moments(rows: DataFrame, n_features: int, n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and unbiased standard deviation of each feature where a row counts with its teacher weights, and the labels' weights."""
+    size = 2 * n_features + n_labels + 1
+
+    def partial(batches):
+        total, n = np.zeros(size), 0
+        for batch in _slices(batches):
+            t = np.where(batch.t > 0, batch.t, 0.0)
+            once = t.sum(axis=1)[batch.row] * batch.value
+            total[:n_features] += np.bincount(batch.index, once, minlength=n_features)
+            total[n_features:2 * n_features] += np.bincount(batch.index, once * batch.value, minlength=n_features)
+            total[2 * n_features:-1] += t.sum(axis=0)
+            total[-1] += (t ** 2).sum()
+            n += len(t)
+        return total, (0.0, n)
+    total, _, _ = _summed(rows, partial, size)
+    labels, weight = total[2 * n_features:-1], total[2 * n_features:-1].sum()
+    mean = total[:n_features] / weight
+    left = np.maximum(total[n_features:2 * n_features] - weight * mean ** 2, 0.0)
+    spread = weight - total[-1] / weight
+    return mean, np.sqrt(left / spread) if spread > 0 else np.zeros(n_features), labels
+
+
+def _wolfe(phi, first: float) -> float | None:
+    """A step that meets the strong Wolfe conditions, by brackets and cubic steps; None where none is found.
+
+    ``phi`` gives value and slope along the line.  The tests and limits are those of
+    the line search behind Spark ML's logistic regression.
+    """
+    def at(step):
+        return (step, *phi(step))
+    zero = low = at(0.0)
+    if zero[2] > 0:
+        return None
+
+    def between(a, b):
+        d = a[2] + b[2] - 3 * (a[1] - b[1]) / (a[0] - b[0])
+        root = np.sqrt(max(d * d - a[2] * b[2], 0.0))
+        width = b[0] - a[0]
+        step = b[0] - width * (b[2] + root - d) / (b[2] - a[2] + 2 * root)
+        return min(max(step, a[0] + 0.1 * width), a[0] + 0.9 * width)
+
+    def zoom(low, high):
+        for _ in range(10):
+            now = at(between(high, low) if low[0] > high[0] else between(low, high))
+            if now[1] > zero[1] + 1e-4 * now[0] * zero[2] or now[1] >= low[1]:
+                high = now
+            else:
+                if abs(now[2]) <= 0.9 * abs(zero[2]):
+                    return now[0]
+                if now[2] * (high[0] - low[0]) >= 0:
+                    high = low
+                low = now
+        return None
+    step = first
+    for i in range(10):
+        now = at(step)
+        if not np.isfinite(now[1]):
+            step /= 2
+            continue
+        if now[1] > zero[1] + 1e-4 * step * zero[2] or (now[1] >= low[1] and i > 0):
+            return zoom(low, now)
+        if abs(now[2]) <= 0.9 * abs(zero[2]):
+            return step
+        if now[2] >= 0:
+            return zoom(now, low)
+        low, step = now, step * 1.5
+    return None
+
+
+def minimise_wolfe(objective, start: np.ndarray, max_iter: int, tol: float, history: int = 10, memory: int = 20) -> np.ndarray:
+    """L-BFGS with a strong Wolfe line search and the stopping tests of Spark ML's logistic regression.
+
+    It stops after ``max_iter`` steps, when the value is within ``tol`` (of the
+    first value) of the largest of the last ``memory`` values, when the gradient
+    is small, or when the line search fails twice in a row.
+    """
+    known = {}
+
+    def evaluate(x):
+        key = x.tobytes()
+        if key not in known:
+            known.clear()
+            known[key] = objective(x)
+        return known[key]
+    x = start
+    value, gradient = evaluate(x)
+    first, seen, pairs, failed, step_no = value, [np.inf], [], False, 0
+    while step_no < max_iter:
+        if len(seen) > 1 and abs(value - max(seen)) <= tol * first or np.linalg.norm(gradient) <= max(tol * value, 1e-8):
+            break
+        direction, factors = gradient.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ direction) / (s @ y)
+            direction -= a * y
+            factors.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            direction *= (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(factors)):
+            direction += (a - (y @ direction) / (s @ y)) * s
+        direction = -direction
+
+        def phi(t, x=x, direction=direction, value=value, gradient=gradient):
+            v, g = evaluate(x + direction * t) if t else (value, gradient)
+            return v, float(g @ direction)
+        step = _wolfe(phi, 1.0 / np.linalg.norm(direction) if step_no == 0 else 1.0)
+        if step is None or step * np.linalg.norm(gradient) < 1e-10:
+            if failed:
+                break
+            failed, pairs = True, []
+            continue
+        failed = False
+        moved = x + direction * step
+        new_value, new_gradient = evaluate(moved)
+        pairs = [*pairs[-(history - 1):], (moved - x, new_gradient - gradient)]
+        x, value, gradient, step_no = moved, new_value, new_gradient, step_no + 1
+        seen = [*seen, value][-memory:]
+    return x
+
+
+def saved_rows(features: DataFrame) -> DataFrame:
+    """``features`` and the teacher distribution ``__t``, written once under the checkpoint folder and read by every pass."""
+    return materialized(features.select("features", F.col("__t").cast("array<double>").alias("__t")), "soft-rows")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """All rows of ``saved_rows`` with their vectors as Parquet holds them."""
+    return rows.sparkSession.read.schema(ROWS).parquet(*rows.inputFiles())
+
+
+def fit_weighted(rows: DataFrame, n_labels: int, max_iter: int, reg: float, tol: float) -> LogisticRegressionModel | None:
+    """Multinomial regression on one row per (pair, label) weighted by ``__t``, from ``saved_rows`` as they were returned.
+
+    The model is that of Spark ML's ``LogisticRegression`` on the exploded rows:
+    features scaled by their weighted deviation and centred, an L2 penalty on the
+    scaled coefficients, the intercepts started at the labels' weights, the same
+    steps.  Each pass reads a pair once, with all its labels, where exploded rows
+    hold its features once per label.  Returns None where the exploded rows would
+    have other labels: a label without weight, or teachers of another length.
+    """
+    bad = F.exists("__t", lambda x: F.isnan(x)) | (F.size("__t") != n_labels)
+    taught = rows.where(F.col("__t").isNotNull())
+    if taught.where(bad).limit(1).count() or (head := taught.select("features").first()) is None:
+        return None
+    n_features = head["features"].size
+    plain = _packed(_plain(rows).where(F.col("__t").isNotNull())
+                    .withColumn("__t", F.transform("__t", lambda x: F.coalesce(x, F.lit(0.0)))))
+    mean, spread, labels = _weighted_moments(plain, n_features, n_labels)
+    if not (labels > 0).all():
+        return None
+    scale = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
+    centre, weight = mean * scale, labels.sum()
+
+    def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        w = flat.reshape(n_features + 1, n_labels).copy()
+        coef = w[:-1].copy()
+        w[-1] -= centre @ coef
+        gradient, loss, _ = _pass(plain, w, scale, "ce")
+        gradient = gradient.reshape(w.shape) / weight
+        gradient[:-1] += reg * coef - centre[:, None] * gradient[-1]
+        return loss / weight + 0.5 * reg * float((coef ** 2).sum()), gradient.ravel()
+    start = np.zeros((n_features + 1, n_labels))
+    start[-1] = np.log1p(labels) - np.log1p(labels).mean()
+    w = minimise_wolfe(objective, start.ravel(), max_iter, tol).reshape(n_features + 1, n_labels)
+    intercepts = w[-1] - centre @ w[:-1]
+    return softmax_model(rows.sparkSession, (w[:-1] * scale[:, None]).T, intercepts - intercepts.mean())
+
+
 def fit_distribution(features: DataFrame, n_labels: int, kind: str, max_iter: int = 30, reg: float = 0.001,
                      tol: float = 1e-6, start: LogisticRegressionModel | None = None) -> LogisticRegressionModel:
     """A softmax-linear model of ``features`` (vector) that minimises the mean ``kind`` loss to ``__t``.
@@ -201,13 +431,17 @@ def fit_distribution(features: DataFrame, n_labels: int, kind: str, max_iter: in
     is), else at the mean teacher distribution.  Rows whose teacher is null or
     has another number of labels are left out; without rows it raises.
     """
-    narrow = features.select("features", F.col("__t").cast("array<double>").alias("__t")) \
-        .where((F.size("__t") == n_labels) & ~F.exists("__t", lambda x: x.isNull() | F.isnan(x)))
-    first = materialized(narrow, "soft-rows")
-    head = first.select("features").first()
+    return fit_saved(saved_rows(features), n_labels, kind, max_iter, reg, tol, start)
+
+
+def fit_saved(saved: DataFrame, n_labels: int, kind: str, max_iter: int = 30, reg: float = 0.001,
+              tol: float = 1e-6, start: LogisticRegressionModel | None = None) -> LogisticRegressionModel:
+    """``fit_distribution`` of ``saved_rows``, as they were returned."""
+    taught = (F.size("__t") == n_labels) & ~F.exists("__t", lambda x: x.isNull() | F.isnan(x))
+    head = saved.where(taught).select("features").first()
     if head is None:
         raise ValueError("no row with a teacher distribution")
-    rows = first.sparkSession.read.schema(ROWS).parquet(*first.inputFiles())
+    rows = _packed(_plain(saved).where(taught))
     n_features = head["features"].size
     spread, prior, n = _moments(rows, n_features, n_labels)
     scale = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)

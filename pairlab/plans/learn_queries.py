@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.parse import prob_vector
 from ..operators import learn, merge, shards
+from ..session import materialized
 from . import fixtures as fx
 from .merge_queries import _MERGE_CTES, _ok
 from .registry import r6, register
@@ -25,18 +26,28 @@ def _score_cols(df):
                      "output_text", r6("weighted_score"))
 
 
+def _counted_pairs(spark, sf_dir):
+    """The text pairs as token counts, read by the fit, the scoring and the truth."""
+    return learn.token_counts(fx.pairs_text(spark, sf_dir), ("global_idx", "label"))
+
+
+def _soft(spark, sf_dir, pairs):
+    """Written pairs with their teacher distribution, as a saved table."""
+    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
+    return materialized(merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False, keep=learn.COUNTS), "soft")
+
+
 @register("fit_hard_score")
 def q_fit_hard_score(spark, sf_dir):
-    pairs = fx.pairs_text(spark, sf_dir)
+    pairs = _counted_pairs(spark, sf_dir)
     model = learn.fit_hard(pairs, NL)
     return _score_cols(learn.score_pairs(model, pairs, NL))
 
 
 @register("fit_soft_score")
 def q_fit_soft_score(spark, sf_dir):
-    pairs = fx.pairs_text(spark, sf_dir)
-    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
-    soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
+    pairs = _counted_pairs(spark, sf_dir)
+    soft = _soft(spark, sf_dir, pairs)
     model = learn.fit_soft(soft, NL, kind="fkl")
     return _score_cols(learn.score_pairs(model, pairs, NL))
 
@@ -86,16 +97,15 @@ _CHECK_SQL = """SELECT count(*) AS rows, count(DISTINCT doc_id) AS pairs,
 
 @register("fit_hard_check", sql=_CHECK_SQL)
 def q_fit_hard_check(spark, sf_dir):
-    pairs = fx.pairs_text(spark, sf_dir)
+    pairs = _counted_pairs(spark, sf_dir)
     truth = pairs.select("global_idx", F.array(*[(F.col("label") == i).cast("double") for i in range(NL)]).alias("w"))
     return _check(spark, sf_dir, learn.score_pairs(learn.fit_hard(pairs, NL), pairs, NL), truth)
 
 
 @register("fit_soft_check", sql=_CHECK_SQL)
 def q_fit_soft_check(spark, sf_dir):
-    pairs = fx.pairs_text(spark, sf_dir)
-    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
-    soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
+    pairs = _counted_pairs(spark, sf_dir)
+    soft = _soft(spark, sf_dir, pairs)
     truth = soft.select("global_idx", prob_vector("teacher_probs", NL).alias("w"))
     return _check(spark, sf_dir, learn.score_pairs(learn.fit_soft(soft, NL, kind="fkl"), pairs, NL), truth)
 
@@ -103,11 +113,11 @@ def q_fit_soft_check(spark, sf_dir):
 def _divergence_check(spark, sf_dir, kind):
     """A fit by ``kind``: every pair is scored once, and its mean divergence is
     below the constant prior's and below that of a fit by forward KL."""
-    pairs = fx.pairs_text(spark, sf_dir)
-    scores = merge.latest_by_index(_ok(spark, sf_dir), payload=("probs",))
-    soft = merge.merge_soft_labels(pairs, scores, filter_invalid=True, as_json=False)
+    pairs = _counted_pairs(spark, sf_dir)
+    soft = _soft(spark, sf_dir, pairs)
     truth = soft.select("global_idx", prob_vector("teacher_probs", NL, "zero").alias("t"))
-    models = [learn.fit_soft(soft, NL, kind=k) for k in (kind, "fkl")]
+    other = learn.fit_soft(soft, NL, kind="fkl")
+    models = [learn.fit_soft(soft, NL, kind=kind, start=other), other]
     sides = [learn.score_pairs(m, pairs, NL).select("global_idx", prob_vector("probs", NL, "zero").alias(name))
              for m, name in zip(models, ("own", "other"))]
     rows = sides[0].join(sides[1], "global_idx").join(truth, "global_idx", "left")

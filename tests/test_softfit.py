@@ -81,3 +81,33 @@ def test_rows_without_a_teacher(spark):
     assert np.allclose(one.coefficientMatrix.toArray(), two.coefficientMatrix.toArray(), atol=1e-6)
     with pytest.raises(ValueError, match="no row"):
         softfit.fit_distribution(odd.limit(0), 3, "rkl")
+
+
+def test_weighted_fit_is_spark_mls_on_rows_per_label(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+    x, t = taught(300, 3, 6, seed=5)
+    t[:20, 1] = 0.0
+    x[:, 4] = 2.0  # no deviation
+    df = softfit.saved_rows(frame(spark, x, t).unionByName(frame(spark, x[:3], t[:3]).withColumn("__t", F.lit(None).cast("array<double>"))))
+    model = softfit.fit_weighted(df, 3, 30, 0.01, 1e-5)
+    rows = df.select("features", F.posexplode("__t").alias("label", "w")).where("w > 0").withColumn("label", F.col("label").cast("double"))
+    want = LogisticRegression(family="multinomial", weightCol="w", maxIter=30, regParam=0.01, tol=1e-5).fit(rows)
+    assert np.allclose(model.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), atol=1e-8)
+    assert np.allclose(model.interceptVector.toArray(), want.interceptVector.toArray(), atol=1e-8)
+
+
+def test_weighted_fit_leaves_other_labels_to_spark_ml(spark):
+    x, t = taught(30)
+    t[:, 2] = 0.0
+    assert softfit.fit_weighted(softfit.saved_rows(frame(spark, x, t)), 3, 5, 0.01, 1e-5) is None
+    assert softfit.fit_weighted(softfit.saved_rows(frame(spark, x, t)), 4, 5, 0.01, 1e-5) is None
+
+
+def test_packed_rows_hold_the_same_entries(spark):
+    x, t = taught(50)
+    saved = softfit.saved_rows(frame(spark, x, t))
+    plain = softfit._plain(saved)
+    packed = softfit._packed(plain)
+    w, scale = np.random.default_rng(3).normal(size=(6, 3)), np.ones(5)
+    one, two = (softfit._pass(d, w, scale, "ce") for d in (plain, packed))
+    assert np.allclose(one[0], two[0]) and np.isclose(one[1], two[1]) and one[2] == two[2] == 50
