@@ -54,9 +54,10 @@ def q_fit_soft_score(spark, sf_dir):
 
 def _overlap_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     """A tiny scorer: share of query words found in the document."""
-    q = batch["query"].fillna("").str.lower().str.split()
-    d = batch["passage"].fillna("").str.lower().str.split().map(set)
-    frac = [len([w for w in qw if w in dw]) / max(len(qw), 1) for qw, dw in zip(q, d)]
+    def share(query: str, passage: str) -> float:
+        words, found = query.lower().split(), set(passage.lower().split())  # of one pair at a time
+        return sum(w in found for w in words) / max(len(words), 1)
+    frac = [share(q, d) for q, d in zip(batch["query"].fillna(""), batch["passage"].fillna(""))]
     return pd.DataFrame({"global_idx": batch["global_idx"], "score": frac})
 
 
