@@ -114,8 +114,8 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
     the scores as raw text; the JSON of a line is parsed only after the join,
     for lines that will be written.  Scores are parsed tolerantly and
     de-duplicated last-wins across files (E11); an empty valid score set is an
-    error (T20).  The joined rows are written once; the output and the written /
-    skipped / missing counters (E9) both read them.  Pairs keep their line order
+    error (T20).  Each index's status is written once; the output and the written /
+    skipped / missing counters (E9) both read it.  Pairs keep their line order
     and a null label raises (B10).
     """
     parsed = read_scores_tolerant(spark, tsv_paths)
@@ -125,11 +125,11 @@ def merge_to_soft_labels(spark: SparkSession, jsonl_path: str, tsv_paths: str |
         raise ValueError("no valid score records")
     lines = read_indexed(spark, jsonl_path, "physical").select(
         "global_idx", "line", (py_strip("line") == "").alias("is_blank"))
-    # the join runs once: rows and counters both read its result
-    status = materialized(merge.merge_status(lines, latest, filter_invalid=filter_invalid, bounded=bounded)
-                          .select("global_idx", F.when(F.col("status") == "written", F.col("line")).alias("line"),
-                                  "__probs", "status"), "merge")
-    written = status.where(F.col("status") == "written")
+    # rows and counters both read the status; it is narrow, the lines are not saved again
+    status = materialized(merge.merge_status(lines.drop("line"), latest, filter_invalid=filter_invalid, bounded=bounded)
+                          .select("global_idx", "__probs", "status"), "merge")
+    written = lines.select("global_idx", "line").join(
+        status.where(F.col("status") == "written").select("global_idx", "__probs"), "global_idx")
     # one parse per line; a generator, so that no field is parsed again for itself
     parsed = F.struct(F.from_json("line", PAIR_SCHEMA, {"mode": "FAILFAST"}).alias("obj"),
                       F.json_object_keys("line").alias("keys"))
