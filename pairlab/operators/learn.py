@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, IDFModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +113,11 @@ def _after_counts(model: PipelineModel) -> PipelineModel:
     return PipelineModel([s for s in model.stages if not isinstance(s, HashingTF)])
 
 
+def _units(model: PipelineModel) -> np.ndarray:
+    """The weight of each hashed token, of which its values are whole multiples, and 1 for the overlap."""
+    return np.concatenate([*[s.idf.toArray() for s in model.stages if isinstance(s, IDFModel)], [1.0]])
+
+
 def _classifier(rows: DataFrame, weight_col: str | None, max_iter: int, reg: float, tol: float = TOL):
     """The classifier of ``features, __label`` (and a weight).
 
@@ -157,13 +163,14 @@ def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "
         labelled = rows.withColumn("__label", dist.hard_label("__t", num_labels).cast("double"))
         return PipelineModel([*features.stages, _classifier(labelled, None, max_iter, reg)])
     rows = saved_rows(rows)  # read by every pass of both optimisers
-    model = start.stages[-1] if start is not None else fit_weighted(rows, num_labels, max_iter, reg, TOL)
+    unit = _units(features)
+    model = start.stages[-1] if start is not None else fit_weighted(rows, num_labels, max_iter, reg, TOL, unit)
     if model is None:  # labels that no teacher gives weight to, or other lengths: rows per label
         per_label = (rows.select("features", F.posexplode("__t").alias("__lab", "__w")).where(F.col("__w") > 0)
                      .withColumn("__label", F.col("__lab").cast("double")))
         model = _classifier(per_label, "__w", max_iter, reg)
     if kind != "fkl":
-        model = fit_saved(rows, num_labels, kind, max_iter, SOFT_REG, start=model)
+        model = fit_saved(rows, num_labels, kind, max_iter, SOFT_REG, start=model, unit=unit)
     return PipelineModel([*features.stages, model])
 
 

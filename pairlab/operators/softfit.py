@@ -68,8 +68,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-#: The same with indices (32 bit) and values (64 bit) as bytes, which readers copy whole.
-PACKED = "indices binary, numbers binary, __t array<double>"
+#: The same as bytes, which readers copy whole: indices (16 bit where all fit, else 32), values as
+#: multiples of their feature's unit (8 bit, 0 for a value that is none) and the values that are none (64 bit).
+PACKED = "indices binary, times binary, numbers binary, __t array<double>"
 #: Pairs whose entries are worked on at a time: their arrays stay in the processor's cache.
 SLICE = 1024
 
@@ -83,6 +84,14 @@ def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.diff(ends) // size
 
 
+def _multiples(value: np.ndarray, unit: np.ndarray | float) -> np.ndarray:
+    """What each value is as a multiple (1 to 255) of its unit, to the last bit; 0 where it is none."""
+    with np.errstate(all="ignore"):
+        times = np.rint(value / unit)
+        times = np.where((times >= 1) & (times <= 255), times, 1.0)
+        return np.where(times * unit == value, times, 0.0).astype(np.uint8)
+
+
 class _Batch:
     """An Arrow batch of ``ROWS`` or ``PACKED``: entries of the feature matrix and teacher rows.
 
@@ -90,10 +99,12 @@ class _Batch:
     """
 
     def __init__(self, batch: pa.RecordBatch):
-        n = batch.num_rows
+        n, self.times, self.used = batch.num_rows, None, 0
         if "numbers" in batch.schema.names:
-            self.value, self.size = _numbers(batch["numbers"], "f8") if n else (np.zeros(0), np.zeros(0, int))
-            self.index = _numbers(batch["indices"], "i4")[0] if n else np.zeros(0, np.int32)
+            self.times, self.size = _numbers(batch["times"], "u1") if n else (np.zeros(0, np.uint8), np.zeros(0, int))
+            self.value = _numbers(batch["numbers"], "f8")[0] if n else np.zeros(0)
+            raw = _numbers(batch["indices"], "u1")[0] if n else np.zeros(0, np.uint8)
+            self.index = raw.view(np.uint16 if len(raw) == 2 * len(self.times) else np.int32)
         else:
             values, indices = (batch["features"].field(k) for k in ("values", "indices"))
             self.size = np.diff(values.offsets.to_numpy()) if n else np.zeros(0, int)
@@ -105,26 +116,44 @@ class _Batch:
                 self.index = indices.flatten().to_numpy()
         self.t = batch["__t"].flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
 
+    def values(self, entries: slice, index: np.ndarray, unit: np.ndarray | None) -> np.ndarray:
+        """The values of some entries; those of ``PACKED`` are asked for from the first to the last."""
+        if self.times is None:
+            return self.value[entries]
+        times = self.times[entries]
+        out = times.astype(np.float64) if unit is None else times * unit.take(index)
+        none = np.flatnonzero(times == 0)
+        out[none] = self.value[self.used:self.used + len(none)]
+        self.used += len(none)
+        return out
+
 
 class _Slice:
     """Some rows of a batch, and the row of each entry."""
 
-    def __init__(self, batch: _Batch, first: int, entries: slice):
+    def __init__(self, batch: _Batch, first: int, entries: slice, unit: np.ndarray | None):
         size = batch.size[first:first + SLICE]
-        self.size, self.row, self.value = size, np.repeat(np.arange(len(size)), size), batch.value[entries]
+        self.size, self.row = size, np.repeat(np.arange(len(size)), size)
         self.index, self.t = batch.index[entries].astype(np.int64), batch.t[first:first + SLICE]
+        self.value = batch.values(entries, self.index, unit)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
+def _slices(batches: Iterator[pa.RecordBatch], unit: np.ndarray | None = None) -> Iterator[_Slice]:
     for batch in map(_Batch, batches):
         ends = np.concatenate(([0], np.cumsum(batch.size)))
         for first in range(0, len(batch.size), SLICE):
             last = min(first + SLICE, len(batch.size))
-            yield _Slice(batch, first, slice(ends[first], ends[last]))
+            yield _Slice(batch, first, slice(ends[first], ends[last]), unit)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Rows of ``ROWS`` saved as ``PACKED``, which every pass reads."""
+def _packed(rows: DataFrame, n_features: int | None = None, unit: np.ndarray | None = None) -> DataFrame:
+    """Rows of ``ROWS`` saved as ``PACKED``, which every pass reads with the same ``unit`` (of each feature; else 1).
+
+    Weighted token counts are whole multiples of their token's weight, so that an
+    entry takes 3 bytes, not 12; any other value is kept as it is.
+    """
+    kind = np.uint16 if n_features is not None and n_features <= 1 << 16 else np.int32
+
     def as_bytes(numbers: np.ndarray, size: np.ndarray) -> pa.Array:
         ends = np.concatenate(([0], np.cumsum(size * numbers.itemsize))).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(numbers.tobytes())])
@@ -132,8 +161,11 @@ def _packed(rows: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _Batch(batch)
-            cols = [as_bytes(b.index.astype(np.int32), b.size), as_bytes(b.value, b.size), batch["__t"]]
-            yield pa.RecordBatch.from_arrays(cols, names=["indices", "numbers", "__t"])
+            times = _multiples(b.value, 1.0 if unit is None else unit.take(b.index))
+            before = np.concatenate(([0], np.cumsum(times == 0)))
+            left = np.diff(before[np.concatenate(([0], np.cumsum(b.size)))])
+            cols = [as_bytes(b.index.astype(kind), b.size), as_bytes(times, b.size), as_bytes(b.value[times == 0], left), batch["__t"]]
+            yield pa.RecordBatch.from_arrays(cols, names=["indices", "times", "numbers", "__t"])
     return materialized(rows.mapInArrow(pack, PACKED), "soft-packed")
 
 
@@ -173,13 +205,14 @@ def _summed(rows: DataFrame, partial, size: int) -> tuple[np.ndarray, float, int
     return out, sum(x[2] for x in found), sum(x[3] for x in found)
 
 
-def _moments(rows: DataFrame, n_features: int, n_labels: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _moments(rows: DataFrame, n_features: int, n_labels: int,
+             unit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Standard deviation of each feature, mean teacher distribution and number of rows."""
     size = 2 * n_features + n_labels
 
     def partial(batches):
         total, n = np.zeros(size), 0
-        for batch in _slices(batches):
+        for batch in _slices(batches, unit):
             total[:n_features] += np.bincount(batch.index, batch.value, minlength=n_features)
             total[n_features:2 * n_features] += np.bincount(batch.index, batch.value ** 2, minlength=n_features)
             total[2 * n_features:] += batch.t.sum(axis=0) if len(batch.t) else 0.0
@@ -190,16 +223,17 @@ def _moments(rows: DataFrame, n_features: int, n_labels: int) -> tuple[np.ndarra
     return np.sqrt(np.maximum(square - mean ** 2, 0.0)), total[2 * n_features:] / max(n, 1), n
 
 
-def _pass(rows: DataFrame, weights: np.ndarray, scale: np.ndarray, kind: str) -> tuple[np.ndarray, float, int]:
+def _pass(rows: DataFrame, weights: np.ndarray, scale: np.ndarray, kind: str,
+          unit: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
     """Sum of gradients (by scaled coefficients and intercepts), sum of losses and number of rows."""
     n_features, n_labels = len(scale), weights.shape[1]
-    sent = rows.sparkSession.sparkContext.broadcast((weights[:-1] * scale[:, None], weights[-1]))
+    sent = rows.sparkSession.sparkContext.broadcast((weights[:-1] * scale[:, None], weights[-1], unit))
 
     def partial(batches):
-        coef, intercept = sent.value
+        coef, intercept, unit = sent.value
         by_label = [np.ascontiguousarray(coef[:, k]) for k in range(n_labels)]
         sums, last, loss, n = np.zeros((n_labels, n_features)), np.zeros(n_labels), 0.0, 0
-        for batch in _slices(batches):
+        for batch in _slices(batches, unit):
             rows_here = len(batch.t)
             z = np.stack([np.bincount(batch.row, batch.value * by_label[k].take(batch.index), minlength=rows_here)
                           for k in range(n_labels)], axis=1) + intercept
@@ -253,13 +287,14 @@ def minimise(objective, start: np.ndarray, max_iter: int, tol: float, history: i
     return x, values
 
 
-def _weighted_moments(rows: DataFrame, n_features: int, n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weighted_moments(rows: DataFrame, n_features: int, n_labels: int,
+                      unit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean and unbiased standard deviation of each feature where a row counts with its teacher weights, and the labels' weights."""
     size = 2 * n_features + n_labels + 1
 
     def partial(batches):
         total, n = np.zeros(size), 0
-        for batch in _slices(batches):
+        for batch in _slices(batches, unit):
             t = np.where(batch.t > 0, batch.t, 0.0)
             once = t.sum(axis=1)[batch.row] * batch.value
             total[:n_features] += np.bincount(batch.index, once, minlength=n_features)
@@ -384,14 +419,16 @@ def _plain(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(ROWS).parquet(*rows.inputFiles())
 
 
-def fit_weighted(rows: DataFrame, n_labels: int, max_iter: int, reg: float, tol: float) -> LogisticRegressionModel | None:
+def fit_weighted(rows: DataFrame, n_labels: int, max_iter: int, reg: float, tol: float,
+                 unit: np.ndarray | None = None) -> LogisticRegressionModel | None:
     """Multinomial regression on one row per (pair, label) weighted by ``__t``, from ``saved_rows`` as they were returned.
 
     The model is that of Spark ML's ``LogisticRegression`` on the exploded rows:
     features scaled by their weighted deviation and centred, an L2 penalty on the
     scaled coefficients, the intercepts started at the labels' weights, the same
     steps.  Each pass reads a pair once, with all its labels, where exploded rows
-    hold its features once per label.  Returns None where the exploded rows would
+    hold its features once per label; ``unit``: a number per feature of which most
+    values are whole multiples, so that they are read as bytes.  Returns None where the exploded rows would
     have other labels: a label without weight, or teachers of another length.
     """
     bad = F.exists("__t", lambda x: F.isnan(x)) | (F.size("__t") != n_labels)
@@ -400,8 +437,8 @@ def fit_weighted(rows: DataFrame, n_labels: int, max_iter: int, reg: float, tol:
         return None
     n_features = head["features"].size
     plain = _packed(_plain(rows).where(F.col("__t").isNotNull())
-                    .withColumn("__t", F.transform("__t", lambda x: F.coalesce(x, F.lit(0.0)))))
-    mean, spread, labels = _weighted_moments(plain, n_features, n_labels)
+                    .withColumn("__t", F.transform("__t", lambda x: F.coalesce(x, F.lit(0.0)))), n_features, unit)
+    mean, spread, labels = _weighted_moments(plain, n_features, n_labels, unit)
     if not (labels > 0).all():
         return None
     scale = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
@@ -411,7 +448,7 @@ def fit_weighted(rows: DataFrame, n_labels: int, max_iter: int, reg: float, tol:
         w = flat.reshape(n_features + 1, n_labels).copy()
         coef = w[:-1].copy()
         w[-1] -= centre @ coef
-        gradient, loss, _ = _pass(plain, w, scale, "ce")
+        gradient, loss, _ = _pass(plain, w, scale, "ce", unit)
         gradient = gradient.reshape(w.shape) / weight
         gradient[:-1] += reg * coef - centre[:, None] * gradient[-1]
         return loss / weight + 0.5 * reg * float((coef ** 2).sum()), gradient.ravel()
@@ -435,20 +472,21 @@ def fit_distribution(features: DataFrame, n_labels: int, kind: str, max_iter: in
 
 
 def fit_saved(saved: DataFrame, n_labels: int, kind: str, max_iter: int = 30, reg: float = 0.001,
-              tol: float = 1e-6, start: LogisticRegressionModel | None = None) -> LogisticRegressionModel:
-    """``fit_distribution`` of ``saved_rows``, as they were returned."""
+              tol: float = 1e-6, start: LogisticRegressionModel | None = None,
+              unit: np.ndarray | None = None) -> LogisticRegressionModel:
+    """``fit_distribution`` of ``saved_rows``, as they were returned; ``unit`` as in ``fit_weighted``."""
     taught = (F.size("__t") == n_labels) & ~F.exists("__t", lambda x: x.isNull() | F.isnan(x))
     head = saved.where(taught).select("features").first()
     if head is None:
         raise ValueError("no row with a teacher distribution")
-    rows = _packed(_plain(saved).where(taught))
     n_features = head["features"].size
-    spread, prior, n = _moments(rows, n_features, n_labels)
+    rows = _packed(_plain(saved).where(taught), n_features, unit)
+    spread, prior, n = _moments(rows, n_features, n_labels, unit)
     scale = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
 
     def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
         w = flat.reshape(n_features + 1, n_labels)
-        gradient, loss, _ = _pass(rows, w, scale, kind)
+        gradient, loss, _ = _pass(rows, w, scale, kind, unit)
         gradient = gradient.reshape(w.shape) / n
         gradient[:-1] += reg * w[:-1]
         return loss / n + 0.5 * reg * float((w[:-1] ** 2).sum()), gradient.ravel()

@@ -111,3 +111,39 @@ def test_packed_rows_hold_the_same_entries(spark):
     w, scale = np.random.default_rng(3).normal(size=(6, 3)), np.ones(5)
     one, two = (softfit._pass(d, w, scale, "ce") for d in (plain, packed))
     assert np.allclose(one[0], two[0]) and np.isclose(one[1], two[1]) and one[2] == two[2] == 50
+
+
+def test_whole_multiples_are_packed_as_bytes(spark):
+    draw = np.random.default_rng(9)
+    unit = np.array([0.1, 1 / 3, 2.7, 0.0, 1.0])
+    times = draw.integers(0, 300, (500, 5)) * (draw.random((500, 5)) < 0.6)
+    x = times * unit
+    x[:, 4] = draw.random(500)  # no multiples
+    x[7], x[8, 0] = 0.0, -0.1
+    saved = softfit.saved_rows(frame(spark, x, np.full((500, 3), 1 / 3)))
+    packed = softfit._packed(softfit._plain(saved), 5, unit)
+    kept = packed.select(F.sum(F.length("indices") / 2), F.sum(F.length("times")), F.sum(F.length("numbers")) / 8).first()
+    assert kept[0] == kept[1] == (x != 0).sum() and kept[2] == ((times[:, :3] > 255) & (x[:, :3] != 0)).sum() + 500 - 1 + 1 - (times[8, 0] > 255)
+    w, scale = draw.normal(size=(6, 3)), np.ones(5)
+    one, two = softfit._pass(softfit._plain(saved), w, scale, "ce"), softfit._pass(packed, w, scale, "ce", unit)
+    assert np.allclose(one[0], two[0], rtol=1e-12) and np.isclose(one[1], two[1], rtol=1e-12) and one[2] == two[2] == 500
+
+
+def test_slices_hold_the_values_to_the_last_bit(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(softfit, "SLICE", 2)
+    unit = np.array([0.1, 1 / 3, np.nan])
+    value, index = np.array([0.1 * 3, 0.5, 7 * (1 / 3), 2.0, 0.1 * 255, 0.1 * 256, -0.0]), np.array([0, 1, 1, 2, 0, 0, 1])
+    times = softfit._multiples(value, unit.take(index))
+    assert times.tolist() == [3, 0, 7, 0, 255, 0, 0]
+    size = [2, 0, 3, 2]
+    at = np.concatenate(([0], np.cumsum(size)))
+
+    def cut(numbers, some=None):
+        return pa.array([numbers[a:b][some[a:b] if some is not None else slice(None)].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+    batch = pa.RecordBatch.from_arrays([cut(index.astype(np.uint16)), cut(times), cut(value, times == 0), pa.array([[1.0]] * 4)],
+                                       names=["indices", "times", "numbers", "__t"])
+    for some in (batch, batch.slice(2)):
+        found = list(softfit._slices(iter([some]), unit))
+        got = np.concatenate([s.value for s in found])
+        assert got.tobytes() == value[len(value) - len(got):].tobytes() and sum(len(s.t) for s in found) == some.num_rows
