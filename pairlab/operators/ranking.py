@@ -67,7 +67,8 @@ def _dcg_sides(df: DataFrame, keys: list[str], rel: str, score: str, tie: Sequen
         F.struct(F.lit(1).alias("__side"), F.lit(0).alias("__k1"),
                  F.col(rel).cast("double").alias("__k2")))
     both = df.select(*keys, rel, *tie, F.inline(sides))
-    w = Window.partitionBy(*keys, "__side").orderBy(
+    # the query first: a sort compares by its first column, which groups of queries hardly tell apart
+    w = Window.partitionBy(*reversed(keys), "__side").orderBy(
         F.col("__k1").asc(), F.col("__k2").desc(), *[F.col(c).asc() for c in tie])
     ranked = both.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= kmax)
     term = dcg_term(F.col(rel).cast("double"), F.col("__r"))
@@ -84,7 +85,7 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     r = right.select(*[F.col(k).alias(f"__rk_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = None
-    for k in keys:
+    for k in reversed(keys):  # the query first, as in the ranks' sort
         e = F.col(k).eqNullSafe(F.col(f"__rk_{k}"))
         cond = e if cond is None else cond & e
     return left.join(r, cond, "inner").drop(*[f"__rk_{k}" for k in keys])
@@ -105,12 +106,21 @@ def ndcg_per_query(df: DataFrame, qid: str = "qid", rel: str = "rel", score: str
     first = F.struct(*[F.col(c) for c in tie]) if len(tie) > 1 else F.col(tie[0])
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_docs"),
                                      F.min(first).alias("first_key"))
-    out = _join_null_safe(counts, dcg, keys)
-    cols = [F.col(c) for c in keys] + [F.col("num_docs"), F.col("first_key")]
-    for k in ks:
-        i, a = F.col(f"__idcg{k}"), F.col(f"__dcg{k}")
-        cols.append(F.when(i == 0, F.lit(0.0)).otherwise(a / i).alias(f"ndcg{k}"))
-    return out.select(*cols)
+    return _join_null_safe(counts, dcg, keys).select(*keys, "num_docs", "first_key", *_ndcg(ks))
+
+
+def _ndcg(ks: Sequence[int]) -> list[Column]:
+    return [F.when(F.col(f"__idcg{k}") == 0, F.lit(0.0)).otherwise(F.col(f"__dcg{k}") / F.col(f"__idcg{k}"))
+            .alias(f"ndcg{k}") for k in ks]
+
+
+def ndcg_values(df: DataFrame, qid: str = "qid", rel: str = "rel", score: str = "score",
+                ks: Sequence[int] = NDCG_KS, tie: Sequence[str] = ("global_idx",),
+                by: Sequence[str] = ()) -> DataFrame:
+    """``ndcg_per_query`` without ``num_docs`` and ``first_key``: the ranked branch
+    alone, which has every query, and no join."""
+    keys = list(by) + [qid]
+    return _dcg_sides(df.select(*keys, rel, score, *tie), keys, rel, score, tie, ks).select(*keys, *_ndcg(ks))
 
 
 def ndcg_summary(per_query: DataFrame, ks: Sequence[int] = NDCG_KS,

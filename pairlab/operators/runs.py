@@ -5,9 +5,9 @@ column: one long table ``(run, dataset, row, probs, label, qid)`` is
 evaluated by grouping, so parallelism over runs and over rows is the same
 thing and every metric is a partial aggregate.
 
-Passes over the score table for a leaderboard: two for NDCG (one ranked top-K
-branch and the document count, see ``ranking``) and one for calibration and
-sharpness together (a single ``groupBy(run, dataset, bin)`` partial aggregate).
+Passes over the score table for a leaderboard: one for NDCG (the ranked top-K branch,
+see ``ranking``) and one for calibration and sharpness together (a single
+``groupBy(run, dataset, bin)`` partial aggregate).
 Rows whose probabilities hold no mass have no sharpness; they are counted and
 named in the run's ``error``, and the means are over the others.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.constants import ECE_BINS, SOFTEN_TEMPERATURE
 from .incremental import RUN_KEYS, evaluation_states, state_report
-from .ranking import ndcg_per_query
+from .ranking import ndcg_values
 from ..session import materialized
 
 def evaluation_grid(runs: DataFrame, datasets: Sequence[str], run_col: str = "run") -> DataFrame:
@@ -67,7 +67,7 @@ def leaderboard(scores: DataFrame, expected: DataFrame | None = None, qid: str =
     results; those without any score row get an ``error`` row (T22).  Sorted
     by run name as text (G4).
     """
-    pq = ndcg_per_query(scores, qid=qid, rel=rel, score=score, tie=tie, by=keys)
+    pq = ndcg_values(scores, qid=qid, rel=rel, score=score, tie=tie, by=keys)
     ndcg = pq.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_queries"),
                                  F.avg("ndcg5").alias("ndcg5"), F.avg("ndcg10").alias("ndcg10"))
     cs = calibration_sharpness(scores, score, rel, probs, num_labels, label_max, keys=keys)
@@ -100,7 +100,9 @@ def evaluate_runs(scores: DataFrame, pairs: DataFrame, join_keys: Sequence[str]
     if "score" not in scores.columns:
         scores = scores.withColumn("score", dist.weighted_score("probs", n))
     # the flag tells matched rows, so that the scores are read once
-    joined = scores.join(pairs.withColumn("__hit", F.lit(True)), list(join_keys), "left")
+    # row keys first: a sort compares by its first column, which run keys hardly tell apart
+    on = sorted(join_keys, key=keys.__contains__)
+    joined = scores.join(pairs.withColumn("__hit", F.lit(True)), on, "left")
     if materialize:
         joined = materialized(joined, "runs")
     board = leaderboard(joined.where("__hit"), expected=expected, **kw)
