@@ -147,3 +147,10 @@ def test_slices_hold_the_values_to_the_last_bit(monkeypatch):
         found = list(softfit._slices(iter([some]), unit))
         got = np.concatenate([s.value for s in found])
         assert got.tobytes() == value[len(value) - len(got):].tobytes() and sum(len(s.t) for s in found) == some.num_rows
+
+
+def test_sums_by_row_with_empty_rows():
+    value, size = np.arange(1.0, 7.0), np.array([0, 2, 0, 0, 3, 1, 0])
+    assert softfit._by_row(value, size).tolist() == [0, 3, 0, 0, 12, 6, 0]
+    assert softfit._by_row(np.zeros(0), np.zeros(3, int)).tolist() == [0, 0, 0]
+    assert softfit._by_row(np.zeros(0), np.zeros(0, int)).tolist() == []
