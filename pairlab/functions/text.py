@@ -37,15 +37,19 @@ def _col(c) -> Column:
 # Any character the folding changes; most text has none, and one regex scan
 # is about half the cost of ``translate``'s per-character map lookups.
 _FW_CLASS = "[" + FULLWIDTH_SPACE + chr(FULLWIDTH_FIRST) + "-" + chr(FULLWIDTH_LAST) + "]"
+# How those characters begin in UTF-8: a search for bytes costs far less than the regex.
+_FW_BYTES = (FULLWIDTH_SPACE.encode(), *sorted({chr(c).encode()[:2] for c in range(FULLWIDTH_FIRST, FULLWIDTH_LAST + 1)}))
 
 
 def to_halfwidth(c) -> Column:
     """Full-width to half-width: U+3000 -> space, U+FF01..FF5E -> ASCII (B1).
 
-    ``translate`` runs only on strings that contain such a character.
+    ``translate`` runs only on strings that contain such a character, and the
+    regex that finds it only on strings with the bytes it begins with.
     """
     c = _col(c)
-    return F.when(c.rlike(_FW_CLASS), F.translate(c, _FW_FROM, _FW_TO)).otherwise(c)
+    some = [F.contains(c.cast("binary"), F.lit(b)) for b in _FW_BYTES]
+    return F.when((some[0] | some[1] | some[2]) & c.rlike(_FW_CLASS), F.translate(c, _FW_FROM, _FW_TO)).otherwise(c)
 
 
 def py_strip(c) -> Column:

@@ -20,10 +20,11 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, IDF, IDFModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import SparseMatrix
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +32,7 @@ from ..functions import dist
 from ..functions.parse import decode_probs, prob_vector
 from ..functions.text import clamp_label, doc_text, label_int, normalize_field
 from ..session import materialized
-from .softfit import fit_saved, fit_weighted, saved_rows
+from .softfit import fit_saved, fit_weighted, saved_rows, softmax_model
 
 # Hash space per text side; the gradient L-BFGS aggregates every iteration is
 # 2 * NUM_FEATURES * num_labels doubles, so this is the knob for speed.
@@ -54,7 +55,7 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     df = pairs.withColumn("__qtext", q).withColumn("__dtext", d)
     for side in ("q", "d"):  # one split per text, read by the overlap and the counts
         df = df.withColumn(f"__{side}tok", F.array_remove(F.split(f"__{side}text", NON_WORD), ""))
-    known = F.size(F.array_intersect("__qtok", "__dtok"))  # distinct tokens
+    known = F.size(F.array_intersect("__dtok", "__qtok"))  # distinct tokens; the second side, the short one, is hashed
     overlap = known / F.greatest(F.size(F.array_distinct("__qtok")), F.lit(1))
     return df.withColumn("__overlap", overlap.cast("double"))
 
@@ -174,11 +175,25 @@ def fit_soft(soft: DataFrame, num_labels: int, kind: str = "fkl", probs: str = "
     return PipelineModel([*features.stages, model])
 
 
+def _dense(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The same stages, their classifier with dense coefficients.
+
+    Spark ML returns coefficients as a sparse matrix where many hashed tokens do
+    not occur, and then walks all its entries for each row it scores; of a dense
+    one it reads only the row's own tokens.
+    """
+    *features, last = model.stages
+    if isinstance(last, LogisticRegressionModel) and isinstance(matrix := last.coefficientMatrix, SparseMatrix) \
+            and matrix.numRows == last.numClasses:
+        last = last._copyValues(softmax_model(spark, matrix.toArray(), last.interceptVector.toArray()))
+    return PipelineModel([*features, last])
+
+
 def score_pairs(model: PipelineModel, pairs: DataFrame, num_labels: int) -> DataFrame:
     """Score a pair table into the score schema (I3): ``global_idx, probs
     (map "0".."n-1"), output_text (predicted label), weighted_score``.  Pairs of
     ``token_counts`` are scored from their counts."""
-    counted = set(COUNTS) <= set(pairs.columns)
+    model, counted = _dense(model, pairs.sparkSession), set(COUNTS) <= set(pairs.columns)
     out = _after_counts(model).transform(pairs) if counted else model.transform(pair_features(pairs))
     p = vector_to_array("probability")
     out = out.withColumn("__p", p)
